@@ -73,6 +73,7 @@ class Words(NamedTuple):
     ends: np.ndarray
     hashes: np.ndarray
     bounds: np.ndarray  #: words of text i are ``bounds[i]:bounds[i + 1]``
+    offsets: np.ndarray  #: bytes of text i are ``offsets[i]:offsets[i + 1]`` of ``data``
 
     def word(self, i: int, fold: bool) -> bytes:
         raw = self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -117,7 +118,7 @@ def words_of(texts: pa.Array, table: np.ndarray, fold: bool, hashed: bool = True
         j = min(j, n)
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, hashes = _split(part, own, table, fold, hashed)
-        yield Words(i, j - i, part, starts, ends, hashes, np.searchsorted(starts, own, side="left"))
+        yield Words(i, j - i, part, starts, ends, hashes, np.searchsorted(starts, own, side="left"), own)
         i = j
 
 
