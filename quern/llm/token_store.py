@@ -11,7 +11,8 @@ whole documents in ascending order of ``doc_id`` (then of text), with about
   ``codes`` byte for each id that has a k-th chunk, a ``more`` bitmap that says
   which of these have another, and ``ranks`` uint32[], the number of set bits
   before each 512 of ``more``;
-* ``part``, ``seq``: where the block stands in the order of the store.
+* ``part``, ``seq``, ``before``: where the block stands in the order of the store,
+  and the number of ids before it in its part.
 
 The k-th id of a block is read by ``get(k)``: one byte and one bit on each level
 and one rank (a directory entry and at most 64 bytes) between levels; nothing
@@ -34,27 +35,30 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm._io import per_batch, shared_dir
 
-MEMORY = 300_000
-_BLANKS = re.compile(r" (?=\s)|(?<=\s) |^ | $")
+MEMORY = 1_000_000
+# A blank beside white space or at an end, or white space that only Unicode knows.
+_ODD = r"  | [\t\n\v\f\r]|[\t\n\v\f\r] |^ | $|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INNER = re.compile(r"(?<=\S)(?= \S)")
 
 BLOCK_SCHEMA = (
-    "part int, seq int, n_tokens long, doc_ids binary, null_ids binary, doc_offsets binary, "
+    "part int, seq int, before long, n_tokens long, doc_ids binary, null_ids binary, doc_offsets binary, "
     "levels array<struct<codes: binary, more: binary, ranks: binary>>"
 )
 _LEVEL = pa.struct([("codes", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
 _BLOCK = pa.schema(
-    [("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_offsets", pa.binary()), ("levels", pa.list_(_LEVEL))]
+    [("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_offsets", pa.binary()), ("levels", pa.list_(_LEVEL))]
 )
 
 
@@ -108,7 +112,14 @@ def get(levels: list[dict[str, bytes]], k: int) -> int:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, with a bounded memory of pieces."""
+    """Ids of texts by a tokenizers file, with a bounded memory of pieces.
+
+    ``known`` has the ids (little-endian uint32) of pieces that follow a blank, by
+    the piece without it.
+    New pieces are encoded many at a time as one text; as each token stands for a
+    known number of bytes, and none crosses a piece, its ids are cut by length.
+    (The vocabulary must be byte-level.)
+    """
 
     def __init__(self, path: str, end_id: int | None) -> None:
         from tokenizers import Tokenizer
@@ -116,27 +127,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)  # byte-level: one character stands for one byte
         self.known: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.stops = {c: self._plain(c) for c in ".,;:!?"}
 
-    def pieces(self, text: str) -> list[str]:
-        if _BLANKS.search(text):
-            return _INNER.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Little-endian uint32 ids of each text, with the end id."""
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of " word" into memory for each of ``words``."""
         known = self.known
-        cut = [self.pieces(x) if x else [] for x in texts]
-        if new := list({p for pieces in cut for p in pieces if p not in known}):
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list({p for pieces in cut for p in pieces})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, pieces), self.end]), dtype="<u4") for pieces in cut]
+        # A letter and then one stop at the end are two tokens' place: " word," is " word" and ",".
+        stopped = [w for w in words if len(w) > 1 and w[-1] in self.stops and w[-2].isascii() and w[-2].isalpha()]
+        new = list({w[:-1] for w in stopped if w[:-1] not in known} | words.difference(stopped))
+        for at in range(0, len(new), 4000):
+            part = [" " + w for w in new[at : at + 4000]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(self.size[ids])
+            cuts = np.cumsum([len(p.encode("utf-8")) for p in part])
+            places = np.searchsorted(ends, cuts) + 1
+            if not np.array_equal(ends[places - 1], cuts):
+                raise ValueError("a token crosses a place where texts are cut")
+            data = memoryview(ids.tobytes())
+            lo = 0
+            for w, hi in zip(new[at : at + 4000], (4 * places).tolist(), strict=True):
+                known[w] = bytes(data[lo:hi])
+                lo = hi
+        for w in stopped:
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
+
+    def pieces(self, text: str) -> bytes:
+        """Ids of a text whose blanks stand beside other white space, cut at the other blanks only."""
+        first, *rest = _INNER.split(text)
+        self.learn({x[1:] for x in rest if x[1:] not in self.known})
+        return b"".join([self._plain(first), *(self.known[x[1:]] for x in rest)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (little-endian uint32) of all texts, with end ids, and where each text's begin (one more than texts)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        words = split.values.dictionary_encode()
+        at = split.offsets.to_numpy()
+        codes, spelled = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        begins = at[:-1]
+        # A text's first word follows no blank, and odd texts stand for themselves: own entries after the words.
+        firsts = [self.pieces(texts[i].as_py()) if is_odd else self._first(spelled[c]) for i, (is_odd, c) in enumerate(zip(odd.tolist(), codes[begins].tolist(), strict=True))]
+        codes[begins] = len(spelled) + np.arange(len(firsts))
+        got = list(map(self.known.get, spelled))
+        if new := {w for w, ids in zip(spelled, got, strict=True) if ids is None}:
+            if len(self.known) + len(new) > MEMORY:
+                self.known.clear()
+                new = set(spelled)
+            self.learn(new)
+            got = list(map(self.known.__getitem__, spelled))
+        table = [*got, *firsts, self.end]
+        n = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) >> 2
+        start = np.cumsum(n) - n
+        data = np.frombuffer(b"".join(table), dtype="<u4")
+        codes = np.insert(codes, at[1:], len(table) - 1)
+        sizes = n[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = data[np.arange(total) + np.repeat(start[codes] - (ends - sizes), sizes)]
+        return ids, np.concatenate(([0], ends[at[1:] + np.arange(len(texts))]))
+
+    def _first(self, word: str) -> bytes:
+        if word not in self.firsts:
+            if len(self.firsts) > MEMORY // 8:
+                self.firsts.clear()
+            self.firsts[word] = self._plain(word) if word else b""
+        return self.firsts[word]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -154,6 +219,12 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 # ---- writing and reading
 
 
+def slice_of(texts: pa.Array, at: int, most: int = 4 << 20) -> pa.Array:
+    """The texts from ``at`` on that take about ``most`` bytes together; one at least."""
+    sizes = pc.fill_null(pc.binary_length(texts.slice(at, 4096)), 0).to_numpy(zero_copy_only=False)
+    return texts.slice(at, max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right"))))
+
+
 def write(
     docs: DataFrame,
     tokenizer_path: str,
@@ -172,7 +243,7 @@ def write(
     path = path or f"{shared_dir(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
@@ -181,6 +252,7 @@ def write(
             row = {
                 "part": part,
                 "seq": seq,
+                "before": before,
                 "n_tokens": size,
                 "doc_ids": np.array([i or 0 for i in ids], dtype="<i8").tobytes(),
                 "null_ids": np.packbits([i is None for i in ids], bitorder="little").tobytes(),
@@ -192,14 +264,18 @@ def write(
         enc = encoder(tokenizer_path, end_id)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                for doc_id, own in zip(ids[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    if held and size + len(own) > block_tokens:
+            at = 0
+            while at < len(ids):
+                few = slice_of(texts, at)
+                tokens, ends = enc.encode(few)
+                for doc_id, lo, hi in zip(ids[at : at + len(few)], ends.tolist(), ends[1:].tolist(), strict=False):
+                    if held and size + hi - lo > block_tokens:
                         yield block()
-                        seq, size = seq + 1, 0
+                        seq, before, size = seq + 1, before + size, 0
                         held.clear()
-                    held.append((doc_id, own))
-                    size += len(own)
+                    held.append((doc_id, tokens[lo:hi]))
+                    size += hi - lo
+                at += len(few)
         if held:
             yield block()
 
@@ -209,19 +285,19 @@ def write(
     return path
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, most_parts: int = 1_000_000) -> DataFrame:
     """Blocks with ``first``: the number of ids in the store before the block.
 
-    Sums go over one row per part, then over the blocks of a part; neither
-    grows with the number of documents in a block.
+    The sums go over one row per part. Parts are as many as the tasks that wrote
+    the store; up to ``most_parts`` their places are broadcast, beyond they are joined.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    sizes = blocks.select("part", "seq", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))
-    before = F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sizes.withColumn("_in", inside).join(parts.select("part", before.alias("_before")), "part").select("part", "seq", (F.col("_before") + F.col("_in")).alias("first"))
-    return blocks.join(first, ["part", "seq"])
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_own"))
+    first = F.coalesce(F.sum("_own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = parts.select("part", first.alias("_first"))
+    if parts.count() <= most_parts:
+        places = F.broadcast(places)
+    return blocks.join(places, "part").withColumn("first", F.col("_first") + F.col("before")).drop("_first")
 
 
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
