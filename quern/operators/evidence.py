@@ -41,7 +41,7 @@ def to_properties(evidence: DataFrame, as_of: Column, terms: list[str] = ()) ->
         year.alias("possession_year"),
         display.alias("possession_display"),
         F.nullif(F.col("rera"), F.lit("")).alias("rera"),
-        F.filter(F.transform("amenities", F.trim), lambda a: a != "").alias("amenities"),
+        F.filter(F.transform("amenities", lambda a: F.trim(a)), lambda a: a != "").alias("amenities"),
         F.nullif(F.trim("description"), F.lit("")).alias("description"),
         "source",
         "source_url",

@@ -72,6 +72,8 @@ class PagedSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known; filters reach a Python source only where this setting is on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSource)
 
 
