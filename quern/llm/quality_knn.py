@@ -35,8 +35,12 @@ from quern.llm._words import SPACED, Words, words_of
 _CLASSES = 13
 _STYLE = _CLASSES**3
 _WORDS = 1 << 12
-#: Style trigrams, hashed words, repeats of the word before, words that come again.
-TERMS = _STYLE + _WORDS + 2
+#: Steps of a share: a text with a share of 0.4 has the terms of 1/8, 2/8 and 3/8.
+_STEPS = 8
+#: Style trigrams, hashed words, steps of the shares of words that repeat the word before and of words that come again.
+TERMS = _STYLE + _WORDS + 2 * _STEPS
+#: What a step counts; so many words are long enough for full counts.
+_STEP_COUNT, _FULL = 20.0, 20
 
 
 def _class_table() -> np.ndarray:
@@ -71,8 +75,10 @@ def counts(words: Words) -> np.ndarray:
         if b > a:
             out[i, _STYLE : _STYLE + _WORDS] = np.bincount(slots[a:b], minlength=_WORDS)
             own = words.hashes[a:b]
-            out[i, -2] = np.count_nonzero(own[1:] == own[:-1])
-            out[i, -1] = b - a - len(np.unique(own))
+            again = np.count_nonzero(own[1:] == own[:-1]), b - a - len(np.unique(own))
+            for k, n in enumerate(again):
+                at_least = _STYLE + _WORDS + k * _STEPS
+                out[i, at_least : at_least + int(n * _STEPS / (b - a))] = _STEP_COUNT * min(1.0, (b - a) / _FULL)
     return out
 
 
