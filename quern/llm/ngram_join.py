@@ -1,33 +1,39 @@
 """N-gram Jaccard self-join by signature trees, exact.
 
 Documents are sets of word shingles; two link when the Jaccard similarity of
-their sets reaches a threshold. The result is each document's component of
+their sets reaches a threshold t. The result is each document's component of
 links. Steps:
 
-1. Shingles are hashed (64 bits; hashes stand for shingles, a document's
-   digest of 128 bits for its set). Equal sets become one node, whatever the
-   number of copies.
-2. A count sketch of fixed size (``sketch_bits``) over the shingles of all
-   documents orders shingles from rare to common, and each node keeps its
-   prefix: two sets that reach the threshold share a shingle of their prefixes
-   (Chaudhuri et al. 2006; it holds for every common order, so the sketch may
-   be as coarse as it likes). Common passages come last and are in few
-   prefixes, so they bring few nodes together.
-3. Nodes with a common prefix shingle are joined to the shingle's smallest
-   node; the components of these (unproven) edges are blocks. Linked nodes are
-   always in one block, each node is in one block, so its set is read once.
-4. A block is one task, or, if it holds more than ``task_shingles``, chunks by
-   size band and hash, and a task for each pair of chunks whose sizes fit. In a
-   task a signature tree holds, for each tree node, the OR of its documents'
-   token bitmaps and its range of sizes. Dual traversal goes down pairs of tree
-   nodes and leaves a pair as soon as its largest possible overlap is too small
-   for its sizes, or both sides are one component already. Pairs of documents
-   that are left are compared by their sets. Tasks return spanning links.
-5. Components of the links, then of all copies.
-
-Bounds: a bitmap of W bits can merge tokens, so a tree node also keeps its
-``excess``, the most that a document's size is over its bitmap's bits; an
-overlap is at most ``popcount(A & B) + min(excess)``. No link is lost.
+1. Shingles are hashed (64 bits; hashes stand for shingles, a digest of 128 bits
+   for a set). Equal sets become one node, whatever the number of copies.
+2. Blocks. Sets that reach t differ in at most H shingles (those in one of the
+   two only), H being (1 - t) / t of the smaller's size. Sizes are in geometric
+   bands of ratio 1 / t, so two such sets are in one band or in neighbours; a
+   band and the next share one random deal of all shingles into G > H parts. At
+   least G - H parts of the two sets are then equal. Each set gives a signature
+   (a hash of the part) for each part of two shingles or more; parts of fewer
+   say little, so they are given only by sets that have at least G - H of them:
+   if all equal parts are small, both sets have so many (Arasu et al. 2006, with
+   this refinement). Nodes that share a signature are joined to the smallest of
+   them; the components of these unproven edges are blocks. Linked nodes are
+   always in one block, each node is in one, and chance hardly ever joins two:
+   parts have some six shingles.
+3. Only texts of nodes in blocks are read again. A block is one task, or, if it
+   holds more than ``task_shingles`` or ``task_docs``, chunks by size band and
+   hash, and a task for each pair of chunks whose sizes fit. In a task a
+   signature tree holds, for each tree node, the OR of its documents' token
+   bitmaps and its range of sizes. Dual traversal goes down pairs of tree nodes
+   and leaves a pair as soon as its largest possible overlap is too small for
+   its sizes. Pairs of documents that are left, and not in one component of the
+   task already, are compared by their sets. Tasks return spanning links. A
+   bitmap of W bits can merge tokens, so a tree node also keeps its ``excess``,
+   the most that a set is larger than its bitmap's bits; an overlap is at most
+   ``popcount(A & B) + min(excess)``. No link is lost.
+4. Components of the links, then of all copies.
+
+Hot groups: before the shuffle each task brings a signature that many of its
+sets share down to one row and local edges, so a signature has at most a row for
+each batch of sets, however many copies there are.
 
 Cost: a block in which many chunks have fitting sizes (a huge group of near
 copies, not of exact ones) needs the pairs of these chunks.
@@ -45,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._io import stored
@@ -53,7 +59,6 @@ from quern.llm._words import SPACED, mix, shingle_sets, words_of
 from quern.llm.components import connected_components
 
 _U = np.uint64
-_PARTS = 64  # of the sketch, for its sum
 
 
 # ---- sets
@@ -73,125 +78,158 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Counts of all documents' shingles by their last ``bits`` bits; of fixed size."""
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, d1, d2) of each row."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
-        mask = _U((1 << bits) - 1)
-        for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for s in _sets(batch.column(0), k):
-                held.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                    held, size = [], 0
-            if held:
-                counts += np.bincount((np.concatenate(held) & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), type=pa.int32()), pa.array([x.tobytes() for x in np.split(counts, _PARTS)], type=pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_buffer(), dtype=np.uint32).astype(np.uint64)
-                sums[part] = sums[part] + own if part in sums else own
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), pa.array([x.tobytes() for x in sums.values()], type=pa.binary())], names=["part", "counts"])
-
-    rows = docs.select("_t").mapInArrow(count, "part int, counts binary").repartition(F.col("part")).mapInArrow(add, "part int, counts binary").collect()
-    out = np.zeros((_PARTS, (1 << bits) // _PARTS), dtype=np.uint64)
-    for row in rows:
-        out[row["part"]] += np.frombuffer(row["counts"], dtype=np.uint64)
-    return np.minimum(out.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
-
-
-def _least_overlap(n: int, num: int, den: int) -> int:
-    """Of a set of n with any set that reaches the threshold."""
-    return -(-num * n // den)
+            rows = [(len(s), *_digest(s)) for s in _sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(3))], names=["doc_id", "n", "d1", "d2"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+
+
+# ---- blocks
+
+
+class Deals:
+    """How shingles are dealt into parts, by size band."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.log = np.log(den / num) * (1 + 1e-9)
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def band(self, n: int) -> int:
+        return int(np.floor(np.log(n) / self.log))
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """(G, H) for pairs of which the smaller set is in ``band``."""
+        if band not in self.known:
+            low, high = np.exp(band * self.log), int(np.exp((band + 1) * self.log)) + 1
+            most = high * (self.den - self.num) // self.num
+            g = most + 1
+            for _ in range(4 if most else 0):  # parts of fewer than two shingles are to be fewer than g - most
+                mean = low / g
+                small = g * np.exp(-mean) * (1 + mean)
+                g = most + 1 + int(np.ceil(small + 2 * np.sqrt(small)))
+            self.known[band] = g, most
+        return self.known[band]
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Of a set that is not empty. Sets that only equal ones reach have none."""
+        out = []
+        own = self.band(len(s))
+        for band in (own - 1, own):
+            if band < 0:
+                continue
+            g, most = self.parts(band)
+            if not most:
+                continue
+            salt = mix(np.array([band], dtype=np.uint64))
+            dealt = mix(s ^ salt)
+            part = ((dealt >> _U(32)) * _U(g)) >> _U(32)
+            order = np.argsort(part, kind="stable")
+            part, dealt = part[order], dealt[order]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            count = np.diff(np.append(first, len(part)))
+            sums = mix(np.add.reduceat(dealt, first) + (part[first] + _U(1)) * _U(0x9E3779B97F4A7C15) + salt)
+            empty = g - len(first)
+            if empty + np.count_nonzero(count < 2) >= g - most:
+                out.append(sums)
+                if empty:
+                    there = np.ones(g, dtype=bool)
+                    there[part[first].astype(np.int64)] = False
+                    out.append(mix((np.flatnonzero(there).astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) + salt))
+            else:
+                out.append(sums[count > 1])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _local(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch of (signature, node) with one row for each signature, its smallest node; the other nodes are joined to that by rows of their own."""
+    order = np.lexsort((nodes, signatures))
+    signatures, nodes = signatures[order], nodes[order]
+    new = np.concatenate(([True], signatures[1:] != signatures[:-1]))
+    first = np.flatnonzero(new)
+    leader = nodes[first][np.cumsum(new) - 1]
+    apart = nodes != leader
+    if not apart.any():
+        return signatures[first], nodes[first]
+    edges = np.unique(np.stack((nodes[apart], leader[apart])), axis=1)
+    made = mix(edges[0].view(np.uint64) * _U(0xA24BAED4963EE407) + mix(edges[1].view(np.uint64)))
+    return np.concatenate((signatures[first], made, made)), np.concatenate((nodes[first], edges[0], edges[1]))
+
+
+def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 2_000_000) -> DataFrame:
+    """(a, b): digests of sets that share a signature, each with the smallest that does."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deals = Deals(num, den)
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+        size = 0
 
-def _profiles(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
-    """(doc_id, n, d1, d2, prefix) of each row."""
-    order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k, bits))
+        def rows() -> pa.RecordBatch:
+            keys, nodes = _local(np.concatenate(held), np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in held]))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mask = order.value, _U((1 << bits) - 1)
         for batch in batches:
-            n, d1, d2, prefix = [], [], [], []
-            for s in _sets(batch.column(1), k):
-                a, b = _digest(s)
-                size = len(s)
-                keep = size - _least_overlap(size, num, den) + 1 if size else 0
-                if keep:
-                    by = counts[s & mask]
-                    if keep < size:  # ties at the edge go by the hash, the same in all sets
-                        edge = np.partition(by, keep - 1)[keep - 1]
-                        sure, tied = s[by < edge], s[by == edge]
-                        s = np.concatenate((sure, tied[: keep - len(sure)]))
-                n.append(size)
-                d1.append(a)
-                d2.append(b)
-                prefix.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix"]
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix binary")
-
-
-def _prefix_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node to the smallest node of each prefix shingle that it shares."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 2048)
-                at += 2048
-                own = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], names=["shingle", "node"])
-
-    rows = nodes.select("node", "prefix").mapInArrow(explode, "shingle long, node long")
-    # The smallest and the largest node of a shingle: two nodes are an edge at once, and only
-    # shingles of more (few) go back to their nodes.
-    ends = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("c")).where("a <> b")
-    ends = stored(ends, "shingles")
-    more = ends.where("c > 2").select("shingle", "a")
-    return ends.select("a", "b").unionByName(rows.join(more, "shingle").select("a", F.col("node").alias("b"))).where("a <> b").distinct()
+            for s in _sets(batch.column(0), k):
+                node = _digest(s)[0]
+                if not len(s) or node in seen:  # a copy's signatures are there already
+                    continue
+                seen.add(node)
+                held.append(deals.signatures(s))
+                owners.append(node)
+                size += len(held[-1])
+                if size >= hold:
+                    yield rows()
+                    held, owners, size = [], [], 0
+                    seen.clear()
+        if size:
+            yield rows()
+
+    shared = Window.partitionBy("key")
+    rows = docs.select("_t").mapInArrow(run, "key long, node long")
+    return rows.select(F.min("node").over(shared).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 # ---- signature trees
 
 
+class Level:
+    """Tree nodes: bitmaps, least and largest size, excess."""
+
+    def __init__(self, maps: np.ndarray, low: np.ndarray, high: np.ndarray, excess: np.ndarray) -> None:
+        self.maps, self.low, self.high, self.excess = maps, low, high, excess
+
+    def above(self, fan: int) -> Level:
+        cuts = np.arange(0, len(self.maps), fan)
+        return Level(np.bitwise_or.reduceat(self.maps, cuts), np.minimum.reduceat(self.low, cuts), np.maximum.reduceat(self.high, cuts), np.maximum.reduceat(self.excess, cuts))
+
+
 class Tree:
     """Documents in the order of the tree, and its levels from documents upwards.
 
-    A level is (bitmaps, least size, largest size, excess); node i of a level
-    has nodes ``FAN * i`` to ``FAN * i + FAN - 1`` of the level below.
+    Node i of a level has nodes ``FAN * i`` to ``FAN * i + FAN - 1`` of the level below.
     """
 
     FAN = 8
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], bits: int) -> None:
+    def __init__(self, ids: list[int], sets: list[np.ndarray], bits: int) -> None:
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        lead = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
+        lead = np.array([s[0] for s in sets], dtype=np.uint64)
         order = np.lexsort((lead, sizes // 8))
-        self.ids, self.sizes, self.sets = ids[order], sizes[order], [sets[i] for i in order]
+        self.ids, self.sizes, self.sets = np.array(ids, dtype=np.int64)[order], sizes[order], [sets[i] for i in order]
         maps = np.zeros((len(sets), bits // 64), dtype=np.uint64)
         for i, s in enumerate(self.sets):
             at = s & _U(bits - 1)
             np.bitwise_or.at(maps[i], (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
-        excess = self.sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, self.sizes, self.sizes, excess)]
-        while len(self.levels[-1][0]) > 1:
-            maps, low, high, excess = self.levels[-1]
-            cuts = np.arange(0, len(maps), self.FAN)
-            self.levels.append((np.bitwise_or.reduceat(maps, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(excess, cuts)))
+        self.levels = [Level(maps, self.sizes, self.sizes, self.sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
+        while len(self.levels[-1].maps) > 1:
+            self.levels.append(self.levels[-1].above(self.FAN))
 
 
 class Union:
@@ -207,49 +245,49 @@ class Union:
         return np.array([self.find(i) for i in range(len(self.up))], dtype=np.int64)
 
 
-def traverse(left: Tree, right: Tree, num: int, den: int, batch: int = 8192) -> list[tuple[int, int]]:
+def traverse(left: Tree, right: Tree, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning links between the documents of two trees (or of one: ``left is right``)."""
     same = left is right
     shift = 0 if same else len(left.ids)
     union = Union(shift + len(right.ids))
     links: list[tuple[int, int]] = []
+    batch = max(256, (1 << 21) // left.levels[0].maps.shape[1])
     work = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while work:
         x, y, i, j = work.pop()
         if len(i) > batch:
             work.append((x, y, i[batch:], j[batch:]))
             i, j = i[:batch], j[:batch]
-        (am, al, ah, ax), (bm, bl, bh, bx) = left.levels[x], right.levels[y]
-        fit = (den * ah[i] >= num * bl[j]) & (den * bh[j] >= num * al[i])
+        a, b = left.levels[x], right.levels[y]
+        fit = (den * a.high[i] >= num * b.low[j]) & (den * b.high[j] >= num * a.low[i])
         i, j = i[fit], j[fit]
-        if not len(i):
-            continue
-        shared = np.bitwise_count(am[i] & bm[j]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(np.minimum(shared + np.minimum(ax[i], bx[j]), ah[i]), bh[j])
-        fit = (num + den) * most >= num * (al[i] + bl[j])
-        i, j = i[fit], j[fit]
-        if not len(i):
-            continue
         if x == y == 0:
             roots = union.roots()
             fit = roots[i] != roots[shift + j]
             if same:
                 fit &= i < j
-            for a, b in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
-                ra, rb = union.find(a), union.find(shift + b)
-                if ra != rb:
-                    s, t = left.sets[a], right.sets[b]
+            i, j = i[fit], j[fit]
+        if not len(i):
+            continue
+        shared = np.bitwise_count(a.maps[i] & b.maps[j]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(np.minimum(shared + np.minimum(a.excess[i], b.excess[j]), a.high[i]), b.high[j])
+        fit = (num + den) * most >= num * (a.low[i] + b.low[j])
+        i, j = i[fit], j[fit]
+        if x == y == 0:
+            for c, d in zip(i.tolist(), j.tolist(), strict=True):
+                rc, rd = union.find(c), union.find(shift + d)
+                if rc != rd:
+                    s, t = left.sets[c], right.sets[d]
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if den * both >= num * (len(s) + len(t) - both):
-                        union.up[max(ra, rb)] = min(ra, rb)
-                        links.append((int(left.ids[a]), int(right.ids[b])))
+                        union.up[max(rc, rd)] = min(rc, rd)
+                        links.append((int(left.ids[c]), int(right.ids[d])))
             continue
         down_x, down_y = x >= y and x > 0, y >= x and y > 0
         for down, level, which in ((down_x, x, 0), (down_y, y, 1)):
             if down:
-                below = len((left, right)[which].levels[level - 1][0])
-                own = (i, j)[which]
-                child = own[:, None] * Tree.FAN + np.arange(Tree.FAN)
+                below = len((left, right)[which].levels[level - 1].maps)
+                child = (i, j)[which][:, None] * Tree.FAN + np.arange(Tree.FAN)
                 there = child < below
                 i, j = (np.repeat(v, there.sum(axis=1)) for v in (i, j))
                 if which:
@@ -263,15 +301,11 @@ def traverse(left: Tree, right: Tree, num: int, den: int, batch: int = 8192) ->
     return links
 
 
-def _task(rows: list[tuple[int, int, bytes]], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a task's rows (side, id, set): within side 0, or between 0 and 1 if both are there."""
-    sides: list[tuple[list[int], list[np.ndarray]]] = [([], []), ([], [])]
-    for side, doc, raw in rows:
-        sides[side][0].append(doc)
-        sides[side][1].append(np.frombuffer(raw, dtype=np.uint64))
+def _task(sides: list[tuple[list[int], list[np.ndarray]]], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of a task: within side 0, or between 0 and 1 if both are there."""
     largest = max((len(s) for _, sets in sides for s in sets), default=1)
-    bits = min(1 << 16, max(256, 1 << (2 * largest - 1).bit_length()))
-    trees = [Tree(np.array(ids, dtype=np.int64), sets, bits) for ids, sets in sides if ids]
+    bits = min(1 << 15, max(256, 1 << (2 * largest - 1).bit_length()))
+    trees = [Tree(ids, sets, bits) for ids, sets in sides if ids]
     return traverse(trees[0], trees[-1], num, den) if trees else []
 
 
@@ -288,6 +322,55 @@ def _wanted(ids: DataFrame, bits: int = 23) -> np.ndarray:
     return out
 
 
+def _tasks(members: DataFrame, num: int, den: int, task_shingles: int, task_docs: int) -> DataFrame:
+    """(node, key_a, key_b, side): the tasks of each of ``members`` (node, n, block)."""
+    of_block = members.groupBy("block").agg(F.sum("n").alias("_w"), F.count("*").alias("_c"))
+    whole = (F.col("_w") <= task_shingles) & (F.col("_c") <= task_docs)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * (1 + 1e-9)))
+    members = members.join(of_block, "block").withColumn("band", F.when(whole, F.lit(-9)).otherwise(band).cast("int")).drop("_w", "_c")
+    of_band = members.groupBy("block", "band").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.ceil(F.count("*") / task_docs)).alias("_k"))
+    chunk = F.when(F.col("band") == -9, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_k"))).cast("int")
+    members = stored(members.join(of_band, ["block", "band"]).select("node", "block", "band", chunk.alias("chunk")), "members")
+    chunks = members.groupBy("block", "band", "chunk").agg(F.min("node").alias("key"))
+    a, b = (chunks.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "chunk", "key"))) for s in "ab")
+    pairs = a.join(b, "block").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (F.col("key_a") <= F.col("key_b")))
+    one, two = (F.struct(F.lit(k).alias("side"), F.col(f"band_{s}").alias("band"), F.col(f"chunk_{s}").alias("chunk")) for k, s in enumerate("ab"))
+    sides = F.when(F.col("key_a") == F.col("key_b"), F.array(one)).otherwise(F.array(one, two))
+    tasks = pairs.select("block", "key_a", "key_b", F.explode(sides).alias("s")).select("block", "key_a", "key_b", "s.side", "s.band", "s.chunk")
+    return members.join(tasks, ["block", "band", "chunk"]).select("node", "key_a", "key_b", "side")
+
+
+def _tree_join(dealt: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(a, b): spanning links of each task of ``dealt`` (key_a, key_b, side, node, n, text)."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task: tuple | None = None
+        sides: list[tuple[list[int], list[np.ndarray]]] = [([], []), ([], [])]
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+            for (key_a, key_b, side, node, n), s in zip(keys, _sets(batch.column(5), k), strict=True):
+                if (key_a, key_b) != task:
+                    out += _task(sides, num, den)
+                    task, sides = (key_a, key_b), [([], []), ([], [])]
+                if n == len(s):  # else the text of another row of this id
+                    sides[side][0].append(node)
+                    sides[side][1].append(s)
+            if out:
+                yield _edges(out)
+                out = []
+        out += _task(sides, num, den)
+        if out:
+            yield _edges(out)
+
+    keys = ["key_a", "key_b"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")
+
+
+def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+
 def components(
     df: DataFrame,
     *,
@@ -295,7 +378,6 @@ def components(
     threshold: tuple[int, int] = (85, 100),
     id_col: str = "doc_id",
     text_col: str = "text",
-    sketch_bits: int = 20,
     task_shingles: int = 2_000_000,
     task_docs: int = 4096,
 ) -> DataFrame:
@@ -303,28 +385,10 @@ def components(
     num, den = threshold
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
-    profiles = stored(_profiles(docs, k, num, den, sketch_bits), "profiles")
-    nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = stored(nodes, "nodes")
-    blocks = connected_components(_prefix_edges(nodes)).withColumnRenamed("component", "block")
-
-    # The sets of all nodes in blocks, with the task or tasks of each.
-    members = stored(nodes.select("node", "n", "d1", "d2").join(blocks, "node"), "members")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num))))
-    of_block = members.groupBy("block").agg(F.sum("n").alias("_n"), F.count("*").alias("_c"))
-    whole = (F.col("_n") <= task_shingles) & (F.col("_c") <= task_docs)
-    members = members.join(of_block, "block").withColumn("band", F.when(whole, F.lit(-9)).otherwise(band).cast("int")).drop("_n", "_c")
-    of_band = members.groupBy("block", "band").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.ceil(F.count("*") / task_docs)).alias("_k"))
-    members = members.join(of_band, ["block", "band"]).withColumn("chunk", F.when(F.col("band") == -9, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_k"))).cast("int")).drop("_k")
-    members = stored(members, "members")
-    chunks = members.groupBy("block", "band", "chunk").agg(F.min("node").alias("key"))
-    a, b = (chunks.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "chunk", "key"))) for s in "ab")
-    pairs = a.join(b, "block").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & ((F.col("key_a") <= F.col("key_b"))))
-    sides = F.when(F.col("key_a") == F.col("key_b"), F.array(F.struct(F.lit(0).alias("side"), F.col("band_a").alias("band"), F.col("chunk_a").alias("chunk")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("side"), F.col("band_a").alias("band"), F.col("chunk_a").alias("chunk")), F.struct(F.lit(1).alias("side"), F.col("band_b").alias("band"), F.col("chunk_b").alias("chunk")))
-    )
-    tasks = pairs.select("block", "key_a", "key_b", F.explode(sides).alias("s")).select("block", "key_a", "key_b", "s.side", "s.band", "s.chunk")
-
+    profiles = stored(_profiles(docs, k), "profiles")
+    nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
+    blocks = connected_components(_block_edges(docs.where("_i IS NOT NULL"), k, num, den)).select(F.col("node").alias("d1"), F.col("component").alias("block"))
+    members = stored(nodes.join(blocks, "d1").select("node", "n", "block"), "nodes")
     wanted = spark.sparkContext.broadcast(_wanted(members))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,44 +396,11 @@ def components(
         for batch in batches:
             yield batch.filter(pa.array(flags[batch.column(2).to_numpy()])).select(["_i", "_t"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "band", "chunk", "node", "shingles"]
-        for batch in batches:
-            rows: list[list] = [[], [], []]
-            keep = []
-            for r, s in enumerate(_sets(batch.column(1), k)):
-                a, b = _digest(s)
-                if (a, b) == (batch.column(2)[r].as_py(), batch.column(3)[r].as_py()):
-                    keep.append(r)
-                    rows[0].append(s.tobytes())
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), part.column(0), pa.array(rows[0], pa.binary())], names=names)
-
-    some = docs.where("_i IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 23))).mapInArrow(select, "_i long, _t string")
-    full = some.join(members, F.col("_i") == F.col("node")).select("_i", "_t", "d1", "d2", "block", "band", "chunk")
-    sets = full.mapInArrow(to_sets, "block long, band int, chunk int, node long, shingles binary")
-    dealt = sets.join(tasks, ["block", "band", "chunk"]).select("key_a", "key_b", "side", "node", "shingles")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, []
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            for key in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if key[:2] != task:
-                    out += _task(rows, num, den) if len(rows) > 1 else []
-                    task, rows = key[:2], []
-                rows.append(key[2:])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
-                out = []
-        out += _task(rows, num, den) if len(rows) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
-
-    links = dealt.repartition("key_a", "key_b").sortWithinPartitions("key_a", "key_b").mapInArrow(link, "a long, b long")
-    found = connected_components(links).withColumnRenamed("component", "_c")
+    texts = docs.where("_i IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 23))).mapInArrow(select, "_i long, _t string")
+    tasks = _tasks(members, num, den, task_shingles, task_docs)
+    dealt = texts.join(tasks.join(members.select("node", "n"), "node"), F.col("_i") == F.col("node")).select("key_a", "key_b", "side", "node", "n", "_t")
+    found = connected_components(_tree_join(dealt, num, den, k)).withColumnRenamed("component", "_c")
     reps = nodes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("_c", "node").alias("_c"))
-    # Rows of one id with different texts are one document: the smallest component of the id's rows.
     return (
         profiles.select("doc_id", "n", "d1", "d2")
         .join(reps, ["d1", "d2"], "left")
@@ -378,7 +409,11 @@ def components(
 
 
 def keep_one(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``df`` with one row of each component: that of the smallest id. Columns stay as they are."""
+    """``df`` with one row of each component: that of the smallest id. Columns stay as they are.
+
+    Rows without id belong to no component and stay; of rows of one id one stays.
+    """
     found = components(df, k=k, threshold=threshold, id_col=id_col, text_col=text_col, **options)
     best = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(best, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    kept = df.join(best, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
