@@ -604,7 +604,7 @@ FROM documents""")
 def usp_array_rules(spark: SparkSession, d: str) -> DataFrame:
     wanted = ["Metro connectivity", "Security", "Green spaces", "Gym"]
     found = classify.selling_points("text", F.lit(""), F.array().cast("array<string>"), 20)
-    return t(spark, d, "documents").select("doc_id", joined(F.filter(F.array(*map(F.lit, wanted)), lambda x: F.array_contains(found, x)), "|").alias("points"))
+    return t(spark, d, "documents").select("doc_id", joined(F.array_intersect(F.array(*map(F.lit, wanted)), found), "|").alias("points"))
 
 
 @query("SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS r FROM pages) WHERE r = 1")
