@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import classify, extract, nl, scalar
-from quern.operators import catalog, entity, evidence, geo, keyed, leads
+from quern.operators import catalog, entity, evidence, geo, keyed, leads, secondary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -637,6 +637,121 @@ def money_format(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", scalar.format_inr(v).alias("price"))
 
 
+# ---- scalars and labels over made texts
+
+
+@query(r"""
+WITH q AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '₹' || p_size || ' - ' || (p_size + 2) || ' Cr' WHEN 1 THEN p_size || '-' || (p_size + 9) || ' lakhs' WHEN 2 THEN 'from ' || p_size || ' crore' WHEN 3 THEN p_size || ' L onwards' ELSE 'on request' END AS s FROM part),
+r AS (SELECT p_partkey, p_partkey % 5 AS k, TRY_CAST(regexp_extract(s, '(\d+)', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(s, '\d+ ?- ?(\d+)', 1) AS BIGINT) AS b FROM q)
+SELECT p_partkey, CASE k WHEN 0 THEN a * 100 WHEN 1 THEN a WHEN 2 THEN a * 100 WHEN 3 THEN a END AS min_l, CASE k WHEN 0 THEN b * 100 WHEN 1 THEN b WHEN 2 THEN a * 100 WHEN 3 THEN a END AS max_l FROM r""")
+def price_parse(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 5, F.col("p_size")
+    text = (
+        F.when(k == 0, F.concat(F.lit("₹"), n, F.lit(" - "), n + 2, F.lit(" Cr")))
+        .when(k == 1, F.concat(n, F.lit("-"), n + 9, F.lit(" lakhs")))
+        .when(k == 2, F.concat(F.lit("from "), n, F.lit(" crore")))
+        .when(k == 3, F.concat(n, F.lit(" L onwards")))
+        .otherwise("on request")
+    )
+    return t(spark, d, "part").select("p_partkey", scalar.parse_price(text).alias("p")).select("p_partkey", F.col("p.min").alias("min_l"), F.col("p.max").alias("max_l"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Ready to Move' WHEN 1 THEN strftime(o_orderdate, '%b %Y') WHEN 2 THEN 'Q' || quarter(o_orderdate) || ' 20' || lpad(CAST(o_orderkey % 90 AS VARCHAR), 2, '0') ELSE '' END AS label,
+  CASE o_orderkey % 4 WHEN 0 THEN 2026 WHEN 1 THEN CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) END WHEN 2 THEN 2000 + o_orderkey % 90 END AS year FROM orders""")
+def possession_parse(spark: SparkSession, d: str) -> DataFrame:
+    k, at = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    text = (
+        F.when(k == 0, "ready to move homes")
+        .when(k == 1, F.concat(F.lit("possession "), F.date_format(at, "MMMM yyyy")))
+        .when(k == 2, F.concat(F.lit("handover q"), F.quarter(at), F.lit("-20"), F.lpad((F.col("o_orderkey") % 90).cast("string"), 2, "0")))
+        .otherwise("soon")
+    )
+    rows = t(spark, d, "orders").select("o_orderkey", text.alias("s"))
+    return rows.select("o_orderkey", scalar.possession_label("s").alias("label"), scalar.possession_year("s", F.lit("2026-05-01").cast("date")).cast("long").alias("year"))
+
+
+@query(r"""
+WITH q AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'P518' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') WHEN 1 THEN 'pending' WHEN 2 THEN 'PR' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE '' END AS code, c_name, c_mktsegment, 'http://x.com/' || c_custkey AS url FROM customer)
+SELECT c_custkey, regexp_full_match(code, '(?i)P[A-Z]{0,2}\d{9,13}') AS valid, nullif(upper(regexp_extract('reg ' || code || ' ok', '(?i)\b(P[A-Z]{0,2}\d{9,13})\b', 1)), '') AS found,
+  CASE WHEN c_custkey % 4 IN (0, 1, 2) THEN 'rera:' || lower(code) WHEN c_custkey % 3 = 0 THEN 'url:' || substr(rtrim(translate(base64(encode(url)), '+/', '-_'), '='), 1, 60)
+    ELSE 'nameloc:' || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(c_mktsegment), '[^a-z0-9]', '', 'g') END AS id FROM q""")
+def registration_and_ids(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    digits = k.cast("string")
+    code = F.when(k % 4 == 0, F.concat(F.lit("P518"), F.lpad(digits, 8, "0"))).when(k % 4 == 1, "pending").when(k % 4 == 2, F.concat(F.lit("PR"), F.lpad(digits, 9, "0"))).otherwise("")
+    rows = t(spark, d, "customer").select("c_custkey", code.alias("code"), F.when(k % 3 != 0, F.col("c_name")).alias("name"), "c_mktsegment", F.concat(F.lit("http://x.com/"), digits).alias("url"))
+    return rows.select("c_custkey", scalar.rera_valid("code").alias("valid"), scalar.rera_of(F.concat(F.lit("reg "), "code", F.lit(" ok"))).alias("found"), scalar.candidate_id("code", "name", "c_mktsegment", "url").alias("id"))
+
+
+@query("""
+SELECT event_id, CASE WHEN a <= 1 THEN 'Seen today' WHEN a <= 7 THEN 'Seen ' || a || 'd ago' WHEN a <= 30 THEN 'Seen ' || CAST(floor(a / 7.0 + 0.5) AS BIGINT) || 'w ago' ELSE 'Seen ' || CAST(floor(a / 30.0 + 0.5) AS BIGINT) || 'mo ago' END AS freshness,
+  CASE WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age
+FROM (SELECT event_id, CAST(floor(s / 86400.0 + 0.5) AS BIGINT) AS a, s FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-20 00:00:00') - floor(epoch(ts)) AS BIGINT) AS s FROM events))""")
+def freshness_labels(spark: SparkSession, d: str) -> DataFrame:
+    now = F.lit("2024-02-20 00:00:00").cast("timestamp")
+    at = F.col("ts").cast("timestamp")
+    return t(spark, d, "events").select("event_id", scalar.freshness_label(at, now).alias("freshness"), scalar.age_label(at, now).alias("age"))
+
+
+@query("""
+SELECT CASE WHEN k = 1 THEN 'All' ELSE label END AS label, n FROM (
+  SELECT CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE o_orderstatus END AS label, count(*) AS n, grouping(CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE o_orderstatus END) AS k
+  FROM orders GROUP BY ROLLUP (CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE o_orderstatus END))""")
+def source_counts_with_all(spark: SparkSession, d: str) -> DataFrame:
+    return secondary.source_counts(t(spark, d, "orders"), "o_orderstatus", {"O": "Open", "F": "Filled"})
+
+
+@query("""
+SELECT p_brand, p_partkey, pos, greatest(40, 95 - 4 * (pos - 1)) AS score, CASE pos WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'SECONDARY' WHEN 3 THEN 'TERTIARY' ELSE pos || 'TH MATCH' END AS label FROM (
+  SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part)""")
+def positional_ranks(spark: SparkSession, d: str) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    rows = t(spark, d, "part").select("p_brand", "p_partkey", pos.cast("long").alias("pos"))
+    return rows.select("*", secondary.positional_score(F.col("pos")).alias("score"), secondary.rank_label(F.col("pos")).alias("label"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents), q(k, w1) AS (VALUES (0, 'for'), (1, 'the'), (2, 'with')),
+n AS (SELECT count(*) AS n FROM w), df AS (SELECT w1, count(*) FILTER (list_contains(w, w1)) AS df FROM w, q GROUP BY w1)
+SELECT doc_id, round(sum(ln(1 + n / greatest(df, 1)::DOUBLE)), 6) AS score FROM w, df, n WHERE list_contains(w, w1) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def text_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.text_search(t(spark, d, "documents"), "doc_id", "text", "With the for", 20)
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'locked_by_human' END AS reason, s_suppkey % 5 <> 0 AS applied,
+  CASE WHEN s_suppkey % 5 <> 0 THEN CASE s_nationkey % 3 WHEN 0 THEN 'qualified' WHEN 1 THEN 'disqualified' ELSE 'unknown' END END AS qualification FROM supplier""")
+def qualification_lock(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("s_nationkey") % 3 == 0, "Won").when(F.col("s_nationkey") % 3 == 1, "Lost").otherwise("New")
+    locked = F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0)
+    none = F.lit(None).cast("timestamp")
+    return t(spark, d, "supplier").select("s_suppkey", classify.qualification_update(status, F.lit("auto"), locked, none, none).alias("u")).select("s_suppkey", "u.reason", "u.applied", "u.qualification")
+
+
+@query("""
+SELECT conv_id, count(*) AS fetched, count(*) FILTER (role = 'user') AS created, count(*) FILTER (role = 'assistant') AS duplicates, count(*) FILTER (role = 'system') AS skipped FROM conversations GROUP BY conv_id""")
+def sync_summary_by_run(spark: SparkSession, d: str) -> DataFrame:
+    role = F.col("role")
+    counts = {"created": role == "user", "duplicates": role == "assistant", "skipped": role == "system"}
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("fetched"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN least(s, 55) ELSE s END AS confidence FROM (
+  SELECT *, CAST(floor(100.0 * (pl + pb + pc + 8) / 80 + 0.5) AS INT) AS s FROM (
+    SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 ELSE 11 END AS pl, CASE WHEN floor(p_retailprice) <= 1200 THEN 15 WHEN (floor(p_retailprice) - 1200) / 1200.0 <= 0.15 THEN 8 ELSE 0 END AS pb, 25 AS pc FROM part))""")
+def external_confidence(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size") % 3
+    none = F.lit(None).cast("string")
+    items = t(spark, d, "part").select(
+        k, F.lit("Tower").alias("name"), none.alias("city"), F.when(size == 1, "Malad East").when(size == 2, "Malad").otherwise("Nerul").alias("location"), none.alias("community"), F.lit("2 BHK").alias("configuration"),
+        F.lit(2).alias("bedrooms"), F.lit(None).cast("long").alias("budget_min"), F.floor("p_retailprice").alias("budget_max"), none.alias("handover_date"), none.alias("possession_date"), F.lit("medium").alias("source_quality"), F.lit("2025-12-01").alias("last_seen_at"),
+    )
+    want = catalog.Wanted(locations=["Malad East"], bedrooms=2, budget_max=1200)
+    return catalog.external_score(items, want, F.lit("2025-12-20").cast("timestamp")).select("p_partkey", "confidence")
+
+
 # ---- extensions: not in the reference
 
 
