@@ -125,8 +125,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1000, dims: int
     """A model of the labelled rows; rows to hold out are not in ``labels``."""
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     known = known.join(docs.select(F.col(id_col).cast("long").alias("i")).distinct(), "i", "left_semi")
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
-    chosen = {r["i"]: r["y"] for r in known.withColumn("r", place).where(F.col("r") <= per_label).select("i", "y").collect()}
+    # The smallest hashes of each label. About twice as many as wanted are below a cut, so few
+    # rows meet to be ranked, however many there are.
+    known = known.withColumn("u", F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40))
+    cuts = {r["y"]: 2.0 * per_label / r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    below = F.col("u") < F.when(F.col("y") == 1, cuts.get(1, 1.0)).otherwise(cuts.get(0, 1.0))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("u", "i"))
+
+    def sample(rows: DataFrame) -> dict[int, int]:
+        return {r["i"]: r["y"] for r in rows.withColumn("r", place).where(F.col("r") <= per_label).select("i", "y").collect()}
+
+    chosen = sample(known.where(below))
+    if any(sum(y == k for y in chosen.values()) < per_label and cut < 1 for k, cut in cuts.items()):
+        chosen = sample(known)  # a very uneven draw
     ids = list(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
