@@ -20,7 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _LENGTH = _U(0xD6E8FEB86659FD93)

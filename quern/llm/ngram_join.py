@@ -156,12 +156,12 @@ def _local(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     apart = nodes != leader
     if not apart.any():
         return signatures[first], nodes[first]
-    edges = np.unique(np.stack((nodes[apart], leader[apart])), axis=1)
-    made = mix(edges[0].view(np.uint64) * _U(0xA24BAED4963EE407) + mix(edges[1].view(np.uint64)))
-    return np.concatenate((signatures[first], made, made)), np.concatenate((nodes[first], edges[0], edges[1]))
+    a, b = nodes[apart], leader[apart]
+    made, at = np.unique(mix(a.view(np.uint64) * _U(0xA24BAED4963EE407) + mix(b.view(np.uint64))), return_index=True)
+    return np.concatenate((signatures[first], made, made)), np.concatenate((nodes[first], a[at], b[at]))
 
 
-def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 2_000_000) -> DataFrame:
+def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 500_000, copies: int = 100_000) -> DataFrame:
     """(a, b): digests of sets that share a signature, each with the smallest that does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,8 @@ def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 2_000_
                 if size >= hold:
                     yield rows()
                     held, owners, size = [], [], 0
-                    seen.clear()
+                    if len(seen) > copies:
+                        seen.clear()
         if size:
             yield rows()
 
@@ -251,7 +252,7 @@ def traverse(left: Tree, right: Tree, num: int, den: int) -> list[tuple[int, int
     shift = 0 if same else len(left.ids)
     union = Union(shift + len(right.ids))
     links: list[tuple[int, int]] = []
-    batch = max(256, (1 << 21) // left.levels[0].maps.shape[1])
+    batch = max(256, (1 << 20) // left.levels[0].maps.shape[1])
     work = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while work:
         x, y, i, j = work.pop()
