@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._io import per_batch
+from quern.llm._io import frugal, per_batch
 
 #: Profiles' length; n-grams of 1 to 3 characters fit 63 bits.
 SIZE = 400
@@ -133,7 +133,7 @@ def train(docs: DataFrame, *, size: int = SIZE, text_col: str = "text", lang_col
         yield from rows()
 
     some = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    sums = some.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = some.mapInArrow(frugal(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     out: dict[str, list[int]] = {}
     for row in sums.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", "place").orderBy("lang", "place").collect():

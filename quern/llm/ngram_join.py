@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._io import stored
+from quern.llm._io import frugal, stored
 from quern.llm._words import SPACED, mix, shingle_sets, words_of
 from quern.llm.components import connected_components
 
@@ -86,7 +86,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             rows = [(len(s), *_digest(s)) for s in _sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(3))], names=["doc_id", "n", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, d1 long, d2 long")
 
 
 # ---- blocks
@@ -193,7 +193,7 @@ def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 500_00
             yield rows()
 
     shared = Window.partitionBy("key")
-    rows = docs.select("_t").mapInArrow(run, "key long, node long")
+    rows = docs.select("_t").mapInArrow(frugal(run), "key long, node long")
     return rows.select(F.min("node").over(shared).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
@@ -365,7 +365,7 @@ def _tree_join(dealt: DataFrame, num: int, den: int, k: int) -> DataFrame:
             yield _edges(out)
 
     keys = ["key_a", "key_b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(link), "a long, b long")
 
 
 def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -397,7 +397,7 @@ def components(
         for batch in batches:
             yield batch.filter(pa.array(flags[batch.column(2).to_numpy()])).select(["_i", "_t"])
 
-    texts = docs.where("_i IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 23))).mapInArrow(select, "_i long, _t string")
+    texts = docs.where("_i IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 23))).mapInArrow(frugal(select), "_i long, _t string")
     tasks = _tasks(members, num, den, task_shingles, task_docs)
     dealt = texts.join(tasks.join(members.select("node", "n"), "node"), F.col("_i") == F.col("node")).select("key_a", "key_b", "side", "node", "n", "_t")
     found = connected_components(_tree_join(dealt, num, den, k)).withColumnRenamed("component", "_c")

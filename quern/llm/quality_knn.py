@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm._io import frugal
 from quern.llm._words import SPACED, Words, words_of
 
 _CLASSES = 13
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1000, dims: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["i", "at", "n"])
 
     found = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isin(ids)) if ids else docs.limit(0).select(F.lit(0).cast("long").alias("i"), F.lit("").alias("t"))
-    rows = {r["i"]: r for r in found.mapInArrow(run, "i long, at binary, n binary").toLocalIterator()}
+    rows = {r["i"]: r for r in found.mapInArrow(frugal(run), "i long, at binary, n binary").toLocalIterator()}
     order = sorted(rows)
     x = np.zeros((len(order), TERMS), dtype=np.float32)
     for r, i in enumerate(order):
@@ -181,4 +182,4 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             scores = [m.score(x) for x in _runs(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(frugal(run), SCHEMA)

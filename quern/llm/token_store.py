@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._io import per_batch, shared_dir
+from quern.llm._io import frugal, per_batch, shared_dir
 
 MEMORY = 1_000_000
 # A blank beside white space or at an end, or white space that only Unicode knows.
@@ -281,7 +281,7 @@ def write(
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(frugal(run), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 
