@@ -1,5 +1,6 @@
 """Operators of ``quern.llm`` against brute force, round trips and planted cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -26,6 +27,13 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "s", "ing", "ed"]) for _ in range(n))
 
 
+def vocabulary_prose(rng, n):
+    """About n bytes of words that come again as often as in real prose."""
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+    out = rng.choices(words, [1 / (k + 3) for k in range(600)], k=n // 4)
+    return " ".join(out)[:n]
+
+
 def docs(frame, texts, extra=False):
     rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     df = frame(rows, DOC)
@@ -265,6 +273,27 @@ def test_bands_reject_filler_and_noise_and_keep_prose():
     assert why(real + "spam spam " * 1300) in ("repetitive", "repetitive chunks")
 
 
+def why_of(text):
+    bands = quality_rules.Bands()
+    return quality_rules.judge(text, bands, zstandard.ZstdCompressor(level=bands.level))[-1]
+
+
+def test_blobs_in_long_prose_are_found():
+    rng = random.Random(10)
+    good = [vocabulary_prose(rng, n) for n in (1500, 6000, 30_000, 100_000)]
+    blobs = {
+        "base64": base64.b64encode(rng.randbytes(75_000)).decode(),
+        "base64 lines": base64.encodebytes(rng.randbytes(9_000)).decode(),
+        "hex": " ".join(rng.randbytes(32).hex() for _ in range(900)),
+        "random ASCII": "".join(chr(rng.randint(0x20, 0x7E)) for _ in range(8192)),
+    }
+    assert [why_of(x) for x in good] == [None] * 4
+    for name, blob in blobs.items():
+        for text in (good[2] + "\n" + blob, good[2][:15_000] + blob + good[2][15_000:], "\n".join(good[2:]) + blob[:8192] + good[1]):
+            assert why_of(text) is not None, name
+    assert why_of(blobs["hex"]) is not None and why_of(blobs["hex"][:3900]) is not None
+
+
 # ---- 7
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page sidebar-left">
