@@ -50,7 +50,8 @@ class Bands:
 
     ``whole`` lists (from this many bytes, least ratio, largest ratio); the last
     that fits holds, and shorter texts have no limits. Chunks of ``chunk_bytes``
-    (the last, shorter one only if it is the only one) have limits of their own,
+    (the last one begins earlier, so that it is full too; a shorter text is its
+    only chunk) have limits of their own,
     and ``max_bad_chunks`` is the share of them that may fail.
 
     A chunk of ``blob_bytes`` or more is a blob if at most ``blob_spaces`` of its
@@ -114,6 +115,8 @@ def ratios(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> t
     if len(data) <= size:
         return len(data) / whole, [len(data) / whole], int(is_blob(data, whole, bands))
     chunks = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]
+    if len(data) % size:
+        chunks.append(data[-size:])
     sizes = [len(compressor.compress(x)) for x in chunks]
     return len(data) / whole, [size / x for x in sizes], sum(is_blob(x, k, bands) for x, k in zip(chunks, sizes, strict=True))
 

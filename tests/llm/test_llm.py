@@ -294,6 +294,18 @@ def test_blobs_in_long_prose_are_found():
     assert why_of(blobs["hex"]) is not None and why_of(blobs["hex"][:3900]) is not None
 
 
+def test_junk_at_the_end_is_in_a_chunk():
+    rng, bands = random.Random(11), quality_rules.Bands()
+    zstd = zstandard.ZstdCompressor(level=bands.level)
+    for n_good, n_bad in ((4200, 3900), (3300, 3900), (2300, 4000)):
+        good = vocabulary_prose(rng, n_good)
+        for junk in ("".join(chr(rng.randint(0x21, 0x7E)) + " " * (k % 6 == 5) for k in range(n_bad))[:n_bad], base64.b64encode(rng.randbytes(n_bad)).decode()[:n_bad]):
+            assert why_of(good) is None and why_of(good + junk) is not None and why_of(junk + good) is not None, (n_good, n_bad)
+    for n in (4096, 4097, 8191, 8192, 8193):
+        assert len(quality_rules.ratios(bytes(n), bands, zstd)[1]) == -(-n // 4096)
+        assert why_of(vocabulary_prose(rng, n)) is None
+
+
 # ---- 7
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page sidebar-left">
