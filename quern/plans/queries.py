@@ -506,6 +506,19 @@ def pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
     return geo.within(points, there, km)
 
 
+def all_pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
+    """Every supplier as point and as place, without itself."""
+    own = places(spark, d)
+    points = own.select(F.col("s_suppkey").alias("id"), "lat", "lon")
+    there = own.select(F.col("s_suppkey").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), "kind")
+    return geo.within(points, there, km).where("id <> place")
+
+
+def all_pairs_sql(sql: str) -> str:
+    """An oracle over ``pairs`` as one over ``all_pairs``."""
+    return sql.replace("a.s_suppkey % 5 = 0 AND b.s_suppkey % 5 <> 0", "a.s_suppkey <> b.s_suppkey")
+
+
 def pairs_sql(km: float) -> str:
     return f"""WITH s AS (SELECT s_suppkey, 18.9 + (s_suppkey * 37 % 1000) / 2500.0 AS lat, 72.8 + (s_suppkey * 91 % 1000) / 2500.0 AS lon, s_nationkey % 6 AS kind FROM supplier),
 h AS (SELECT a.s_suppkey AS id, b.s_suppkey AS place, b.kind, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
@@ -521,7 +534,11 @@ def haversine_within_radius(spark: SparkSession, d: str) -> DataFrame:
 @query(pairs_sql(8.0) + """, f AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY round(km, 6), place) AS r FROM p),
 g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (r > 1)::INT, round(km, 6), place) AS pos FROM f) SELECT id, place, kind, pos FROM g WHERE pos <= 8""")
 def nearest_per_type(spark: SparkSession, d: str) -> DataFrame:
-    near = pairs(spark, d, 8.0).withColumn("km", F.round("km", 6))
+    return nearest(pairs(spark, d, 8.0))
+
+
+def nearest(near: DataFrame) -> DataFrame:
+    near = near.withColumn("km", F.round("km", 6))
     return geo.nearest_per_type(near, "id", "kind", "place").select("id", "place", "kind", "pos")
 
 
@@ -532,7 +549,11 @@ t3 AS (SELECT id, kind, least(sum(CASE WHEN r <= 3 THEN greatest(0, 1 - km / 5.0
 q AS (SELECT id, CAST(least(100, floor(round(sum(s) / 19.2 * 100, 6) + 0.5)) AS INT) AS quality, count(*) AS categories, CAST(sum(n1) AS BIGINT) AS within_1km, CAST(sum(n3) AS BIGINT) AS within_3km FROM t3 GROUP BY id)
 SELECT id, score, quality, categories, within_1km, within_3km FROM l JOIN q USING (id)""")
 def location_score_decay(spark: SparkSession, d: str) -> DataFrame:
-    near = pairs(spark, d, 5.0).cache()
+    return location_scores(pairs(spark, d, 5.0))
+
+
+def location_scores(near: DataFrame) -> DataFrame:
+    near = near.cache()
     names = list(geo.DIMENSIONS)
     dimension = F.element_at(F.array(*map(F.lit, names)), (F.col("kind") + 1).cast("int"))
     points = geo.location_score(near.withColumn("dim", dimension), "id", "dim", F.col("km") * 1000).select("id", "score")
@@ -540,6 +561,21 @@ def location_score_decay(spark: SparkSession, d: str) -> DataFrame:
     return points.join(quality, "id")
 
 
+@query(all_pairs_sql(ORACLE["haversine_within_radius"]))
+def haversine_within_radius_all(spark: SparkSession, d: str) -> DataFrame:
+    return all_pairs(spark, d, 5.0).select("id", "place", F.round("km", 4).alias("km"))
+
+
+@query(all_pairs_sql(ORACLE["nearest_per_type"]))
+def nearest_per_type_all(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(all_pairs(spark, d, 8.0))
+
+
+@query(all_pairs_sql(ORACLE["location_score_decay"]))
+def location_score_decay_all(spark: SparkSession, d: str) -> DataFrame:
+    return location_scores(all_pairs(spark, d, 5.0))
+
+
 # ---- pages and texts
 
 

@@ -46,6 +46,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_supplier_is_point_and_place(spark):
+    rows = QUERIES["haversine_within_radius_all"](spark, "/root/testdata/sf0.01").collect()
+    found, keys = {(r.id, r.place) for r in rows}, {r.s_suppkey for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").collect()}
+    assert len(found) == len(rows) and found == {(b, a) for a, b in found} and all(a != b for a, b in found)
+    assert len({a for a, _ in found if a % 5}) > len(keys) / 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
