@@ -2,7 +2,7 @@
 
 Format. A store is a Parquet folder (Spark commits its tasks, on any file
 system; a lost executor leaves no half-written file). Each row is a block of
-whole documents in ascending order of ``doc_id`` (then of text), with about
+whole documents in ascending order of ``doc_id`` (then of a hash of the text), with about
 ``block_tokens`` ids in four parts, all little-endian:
 
 * ``doc_ids`` int64[] and ``doc_offsets`` int64[] (documents + 1): where each
@@ -21,13 +21,15 @@ is decoded. ``tokens`` decodes whole blocks, vectorised.
 Encoding uses the tokenizers library. A text is cut before each single blank
 between two characters that are not white space; byte-level BPE never joins
 over such a place, so the ids of the pieces, one after the other, are those of
-the text. Each Python worker keeps the ids of pieces that it has seen (at most
-``MEMORY`` of them), and hands only new ones to the tokenizer.
+the text. Each Python worker keeps the ids of words that it has seen (at most
+``MEMORY`` of them, those used last), and hands only new ones to the tokenizer.
+A text that holds the string of an added token is left to the tokenizer whole.
 
 Defined results: null and empty texts have only the end id; repeated rows and
-equal ``doc_id`` stay (ordered by text); a null ``doc_id`` comes first and reads
-back as null; an empty table gives an empty store. Only the two named columns
-are read, so other columns never clash.
+equal ``doc_id`` stay (ordered by a hash of the text); a null ``doc_id`` comes
+first and reads back as null; a text longer than a block is a block of its own; an
+empty table gives an empty store. Only the two named columns are read, so other
+columns never clash.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._io import frugal, per_batch, shared_dir
 
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 # A blank beside white space or at an end, or white space that only Unicode knows.
 _ODD = r"  | [\t\n\v\f\r]|[\t\n\v\f\r] |^ | $|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INNER = re.compile(r"(?<=\S)(?= \S)")
@@ -112,96 +113,141 @@ def get(levels: list[dict[str, bytes]], k: int) -> int:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, with a bounded memory of pieces.
-
-    ``known`` has the ids (little-endian uint32) of pieces that follow a blank, by
-    the piece without it.
-    New pieces are encoded many at a time as one text; as each token stands for a
-    known number of bytes, and none crosses a piece, its ids are cut by length.
-    (The vocabulary must be byte-level.)
+    """Ids of texts by a tokenizers file, with a bounded memory of words.
+
+    The memory is an Arrow array of words and, for each, its ids as they follow a
+    blank. A word that ends in one stop after a letter is that word and the stop:
+    " word," is " word" and ",". New words are encoded many at a time as one text;
+    as each token stands for a known number of bytes, and none crosses a word, its
+    ids are cut by length. (The vocabulary must be byte-level.) Beyond ``MEMORY``
+    words the half that was used last stays.
     """
 
     def __init__(self, path: str, end_id: int | None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
+        self.end = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, k in vocabulary.items():
             self.size[k] = len(token)  # byte-level: one character stands for one byte
-        self.known: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.stops = {c: self._plain(c) for c in ".,;:!?"}
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of " word" into memory for each of ``words``."""
-        known = self.known
-        # A letter and then one stop at the end are two tokens' place: " word," is " word" and ",".
-        stopped = [w for w in words if len(w) > 1 and w[-1] in self.stops and w[-2].isascii() and w[-2].isalpha()]
-        new = list({w[:-1] for w in stopped if w[:-1] not in known} | words.difference(stopped))
-        for at in range(0, len(new), 4000):
-            part = [" " + w for w in new[at : at + 4000]]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.size[ids])
-            cuts = np.cumsum([len(p.encode("utf-8")) for p in part])
-            places = np.searchsorted(ends, cuts) + 1
-            if not np.array_equal(ends[places - 1], cuts):
-                raise ValueError("a token crosses a place where texts are cut")
-            data = memoryview(ids.tobytes())
-            lo = 0
-            for w, hi in zip(new[at : at + 4000], (4 * places).tolist(), strict=True):
-                known[w] = bytes(data[lo:hi])
-                lo = hi
-        for w in stopped:
-            known[w] = known[w[:-1]] + self.stops[w[-1]]
-
-    def pieces(self, text: str) -> bytes:
-        """Ids of a text whose blanks stand beside other white space, cut at the other blanks only."""
-        first, *rest = _INNER.split(text)
-        self.learn({x[1:] for x in rest if x[1:] not in self.known})
-        return b"".join([self._plain(first), *(self.known[x[1:]] for x in rest)])
+        self.stops = [(c, self._plain(c)[0]) for c in ".,;:!?"]
+        self.firsts: dict[str, np.ndarray] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.at, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.calls = 0
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " word" for each word, one after the other, and how many each has."""
+        n = len(words)
+        heads = np.append(np.arange(0, n, 500), n)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(heads, pa.int32()), words), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids = [np.array(self.tokenizer.encode_batch_fast([" " + t], add_special_tokens=False)[0].ids, dtype=np.uint32) for t in texts]
+        ids = np.concatenate(ids)
+        ends = np.cumsum(self.size[ids])
+        cuts = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        last = np.searchsorted(ends, cuts)
+        if not np.array_equal(ends[last], cuts):
+            raise ValueError("a token crosses a place where texts are cut")
+        return ids, np.diff(last + 1, prepend=0)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words`` is in memory; those that are not there are learnt."""
+        self.calls += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        lost = at < 0
+        self.used[at[~lost]] = self.calls
+        if lost.any():
+            new = words.filter(pa.array(lost)).dictionary_encode()
+            if len(self.words) + len(new.dictionary) > MEMORY:
+                at[~lost] = self._forget()[at[~lost]]
+            at[lost] = len(self.words) + new.indices.to_numpy()
+            ids, n = self._new(new.dictionary)
+            self.words = pa.concat_arrays([self.words, new.dictionary])
+            self.ids = np.concatenate((self.ids, ids))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(n)))
+            self.used = np.concatenate((self.used, np.full(len(n), self.calls, np.int32)))
+        return at
+
+    def _forget(self) -> np.ndarray:
+        """Keep the words of this call and of those before it, at most half of all; the new places."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: max(MEMORY // 2, np.count_nonzero(self.used == self.calls))])
+        moved = np.full(len(self.words), -1, np.int64)
+        moved[keep] = np.arange(len(keep))
+        self.words = self.words.take(pa.array(keep))
+        n = np.diff(self.at)[keep]
+        self.ids = self.ids[_ranges(self.at[keep], n)]
+        self.at = np.concatenate(([0], np.cumsum(n)))
+        self.used = self.used[keep]
+        return moved
+
+    def _first(self, word: str) -> np.ndarray:
+        if word not in self.firsts:
+            if len(self.firsts) > MEMORY // 16:
+                self.firsts.clear()
+            if len(word) > 1000:
+                return self._plain(word)
+            self.firsts[word] = self._plain(word)
+        return self.firsts[word]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (little-endian uint32) of all texts, with end ids, and where each text's begin (one more than texts)."""
+        """Ids (unsigned, 32 bits) of all texts, with end ids, and where each text's begin (one more than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        whole = np.zeros(len(texts), dtype=bool)  # with the string of an added token: left to the tokenizer
+        for token in self.special:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) | whole
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        words = split.values.dictionary_encode()
-        at = split.offsets.to_numpy()
-        codes, spelled = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-        begins = at[:-1]
-        # A text's first word follows no blank, and odd texts stand for themselves: own entries after the words.
-        firsts = [self.pieces(texts[i].as_py()) if is_odd else self._first(spelled[c]) for i, (is_odd, c) in enumerate(zip(odd.tolist(), codes[begins].tolist(), strict=True))]
-        codes[begins] = len(spelled) + np.arange(len(firsts))
-        got = list(map(self.known.get, spelled))
-        if new := {w for w, ids in zip(spelled, got, strict=True) if ids is None}:
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = set(spelled)
-            self.learn(new)
-            got = list(map(self.known.__getitem__, spelled))
-        table = [*got, *firsts, self.end]
-        n = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) >> 2
-        start = np.cumsum(n) - n
-        data = np.frombuffer(b"".join(table), dtype="<u4")
-        codes = np.insert(codes, at[1:], len(table) - 1)
-        sizes = n[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = data[np.arange(total) + np.repeat(start[codes] - (ends - sizes), sizes)]
-        return ids, np.concatenate(([0], ends[at[1:] + np.arange(len(texts))]))
-
-    def _first(self, word: str) -> bytes:
-        if word not in self.firsts:
-            if len(self.firsts) > MEMORY // 8:
-                self.firsts.clear()
-            self.firsts[word] = self._plain(word) if word else b""
-        return self.firsts[word]
+        values, at = split.values, split.offsets.to_numpy()
+        lo, n = at[:-1].copy(), np.diff(at)
+        own = [[t] if is_whole else _INNER.split(t) for t, is_whole in zip(texts.filter(pa.array(odd)).to_pylist(), whole[odd].tolist(), strict=True)]
+        if own:  # their words (without the blank) stand after those of the others
+            n[odd] = list(map(len, own))
+            lo[odd] = len(values) + np.cumsum(n[odd]) - n[odd]
+            values = pa.concat_arrays([values, pa.array([x[1:] if k else x for t in own for k, x in enumerate(t)], pa.large_string())])
+        firsts = [self._first(w) for w in values.take(pa.array(lo)).to_pylist()]
+        # A text's first word follows no blank: it is an entry of its own.
+        words = pc.if_else(pa.array(_flags(len(values), lo)), "", values).dictionary_encode()
+        codes, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+        stop = np.full(len(words), -1, np.int64)
+        stopped = pc.match_substring_regex(words, "[A-Za-z][.,;:!?]$").to_numpy(zero_copy_only=False)
+        for c, token in self.stops:
+            stop[stopped & pc.ends_with(words, c).to_numpy(zero_copy_only=False)] = token
+        place = self.places(pc.if_else(pa.array(stopped), pc.utf8_slice_codeunits(words, 0, -1), words))
+        # A table of entries: the words, the firsts, the end.
+        plain = np.diff(self.at)[place]
+        sizes = np.concatenate((plain + stopped, np.fromiter(map(len, firsts), np.int64, len(firsts)), [len(self.end)]))
+        starts = np.cumsum(sizes) - sizes
+        table = np.zeros(int(sizes.sum()), np.uint32)
+        table[_ranges(starts[: len(words)], plain)] = self.ids[_ranges(self.at[place], plain)]
+        table[(starts[: len(words)] + plain)[stopped]] = stop[stopped]
+        table[starts[len(words)] :] = np.concatenate((*firsts, self.end))
+        codes[lo] = len(words) + np.arange(len(firsts))
+        entries = np.full(int((n + 1).sum()), len(sizes) - 1, np.int64)
+        begin = np.cumsum(n + 1) - n - 1
+        entries[_ranges(begin, n)] = codes[_ranges(lo, n)]
+        ends = np.cumsum(sizes[entries])
+        return table[_ranges(starts[entries], sizes[entries])], np.concatenate(([0], ends[begin + n]))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...``, as many as its size, for each start."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _flags(n: int, where: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[where] = True
+    return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -219,9 +265,9 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 # ---- writing and reading
 
 
-def slice_of(texts: pa.Array, at: int, most: int = 4 << 20) -> pa.Array:
+def slice_of(texts: pa.Array, at: int, most: int = 8 << 20) -> pa.Array:
     """The texts from ``at`` on that take about ``most`` bytes together; one at least."""
-    sizes = pc.fill_null(pc.binary_length(texts.slice(at, 4096)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts.slice(at, 16384)), 0).to_numpy(zero_copy_only=False)
     return texts.slice(at, max(1, int(np.searchsorted(np.cumsum(sizes), most, side="right"))))
 
 
@@ -280,7 +326,8 @@ def write(
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
+    # Rows of one id may be many: they are dealt, and ordered, by a hash of the text.
+    ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("i", "h").sortWithinPartitions("i", "h").drop("h")
     ordered.mapInArrow(frugal(run), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 

@@ -97,8 +97,7 @@ def test_encoder_equals_the_tokenizer():
     rng = random.Random(3)
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [*ODD[:5], "it's 'll 'quoted' <|endoftext|> a.b, c!? d.", "\x1c \x85 a  b\n c \n"]
+    texts = [*ODD[:5], "it's 'll 'quoted' <|endoftext|> a.b, c!? d.", "<|endoftext|>", "x<|endoftext|>  y, z.", "it's, we'll. a1, b!? é. ß,", "\x1c \x85 a  b\n c \n"]
     texts += ["".join(rng.choice("ab .,'\n\t éß1!\u00a0\u2003\u200b😀") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     enc = token_store.Encoder(path, 2)
     for _ in range(2):
@@ -107,6 +106,24 @@ def test_encoder_equals_the_tokenizer():
             assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMORY", 40)
+    rng = random.Random(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), token_store.Encoder(path, None)
+    for _ in range(30):
+        texts = [prose(rng, rng.randint(0, 12)) + rng.choice([".", ", and", "  x"]) for _ in range(5)]
+        ids, at = enc.encode(pa.array(texts, pa.string()))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(5)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_of_equal_and_null_ids(frame, spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, "b"), (5, "x"), (5, "x"), (5, "y z"), (None, None), (-1, "w" * 3000)]
+    got = [tuple(r)[:3] for r in token_store.documents(spark, token_store.write(frame(rows, "doc_id long, text string").repartition(3), path, block_tokens=2)).orderBy("start").collect()]
+    assert [i for i, _, _ in got] == [None, None, -1, 5, 5, 5] and [s for _, s, _ in got] == np.cumsum([0, *(n for _, _, n in got)])[:-1].tolist()
+
+
 def test_token_store(frame, spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     df = docs(frame, ODD, True).repartition(3)
