@@ -6,6 +6,12 @@ and encoded blobs hardly shrink at all. How far prose shrinks depends on how
 much of it there is, so each band of lengths has its own limits. Chunks find
 what a long text hides: a few kilobytes of filler inside good prose.
 
+Limits are of two kinds, and both hold. Those in ``Bands`` are absolute. Those of
+``fit`` come from the corpus: the ratios of all distinct texts that pass the base rules are counted in
+bands of a quarter of an octave of length (chunks, being of one length, are one
+band), and a ratio beyond the fences of its band's quartiles is out of its length.
+A band of fewer than ``least_texts`` texts (or chunks) has no fences.
+
 No limit of the ratio parts hex and base32 from prose: their few symbols alone
 shrink by 1.5 to 2, as prose does. What parts them is repetition. A chunk is a
 blob if it is nearly all ASCII, has few spaces, and zstandard needs no less than
@@ -16,21 +22,23 @@ Base rules come first: a text needs ``min_words`` words and at most a share
 ``max_repeat`` of them in 3-word windows that occur more than once.
 
 Defined results: null is an empty text; an empty text has no words and fails
-the base rules. Rows are judged one by one, so ties, repeated rows and an empty
-table need nothing special. ``score`` returns only ``id`` and its own columns;
+the base rules. A very long text is held once as words, with 16 bytes for each of
+their 3-word windows, and compressed in chunks. Copies of a text count once in
+``fit``, and rows are judged one by one, so ties and repeated rows need nothing
+special; an empty table has no fences. ``score`` returns only ``id`` and its own columns;
 ``keep`` returns its input's columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm._io import per_batch
 
@@ -75,6 +83,60 @@ class Bands:
     max_blob_chunks: int = 0
     min_words: int = 50
     max_repeat: float = 0.5
+    #: Fences: so many quartile distances above and below the quartiles of log ratio, and at least ``fence_least``.
+    fence_high: float = 1.5
+    fence_low: float = 3.0
+    fence_least: float = 0.05
+    least_texts: int = 100
+    #: What ``fit`` found: (band, least ratio, largest ratio); band -1 is that of chunks.
+    fitted: tuple[tuple[int, float, float], ...] = ()
+
+
+STEP = 0.0025  # of log ratio, in which ratios are counted
+CHUNKS = -1
+
+
+def length_band(n_bytes: int) -> int:
+    """Quarters of an octave."""
+    return int(np.floor(np.log2(n_bytes) * 4))
+
+
+def fit(df: DataFrame, bands: Bands = Bands(), *, text_col: str = "text") -> Bands:
+    """``bands`` with fences from all texts of ``df``.
+
+    One pass that compresses each text, one shuffle of a few numbers for each, and
+    at most a row for each band and step of the ratio to the driver.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        compressor = zstandard.ZstdCompressor(level=bands.level)
+        rows: list[tuple[int, int, int, int]] = []
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            data = text.encode("utf-8")
+            if len(data) < bands.whole[0][0] or base_failed(base_counts(text), bands):
+                continue
+            whole, chunks, _ = ratios(data, bands, compressor, blobs=False)
+            rows.append((h, length_band(len(data)), int(np.floor(np.log(whole) / STEP)), 1))
+            if len(chunks) > 1:
+                at, n = np.unique(np.floor(np.log(chunks) / STEP).astype(np.int64), return_counts=True)
+                rows += [(h, CHUNKS, a, c) for a, c in zip(at.tolist(), n.tolist(), strict=True)]
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["h", "band", "step", "n"])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    found = per_batch(df.select(F.xxhash64(text).alias("h"), text.alias("t")), run, "h long, band long, step long, n long")
+    once = found.groupBy("h", "band", "step").agg(F.max("n").alias("n"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in once.groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["band"], []).append((r["step"], r["n"]))
+    fitted = []
+    for band, pairs in sorted(counts.items()):
+        steps, n = (np.array(x, dtype=np.int64) for x in zip(*sorted(pairs), strict=True))
+        if n.sum() >= bands.least_texts:
+            low, high = ((steps[np.searchsorted(np.cumsum(n), q * n.sum())] + 0.5) * STEP for q in (0.25, 0.75))
+            below, above = (max(k * (high - low), bands.fence_least) for k in (bands.fence_low, bands.fence_high))
+            fitted.append((band, float(np.exp(low - below)), float(np.exp(high + above))))
+    return replace(bands, fitted=tuple(fitted))
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -83,17 +145,22 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     symbols = sum(map(len, _SYMBOL.findall(text)))
     lines = [x for x in text.split("\n") if _WORD.search(x)]
     n_repeat = 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    counts = Counter(windows)
-    if len(counts) < len(windows):
-        covered = 0  # words up to here are counted
-        for i, window in enumerate(windows):
-            if counts[window] > 1:
-                n_repeat += i + 3 - max(covered, i)
-                covered = i + 3
+    if len(words) > 2:
+        codes = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy().astype(np.int64)
+        _, pairs = np.unique(codes[:-1] * (codes.max() + 1) + codes[1:], return_inverse=True)
+        _, at, counts = np.unique(pairs[:-1] * (codes.max() + 1) + codes[2:], return_inverse=True, return_counts=True)
+        again = counts[at] > 1
+        covered = np.zeros(len(words), dtype=bool)
+        for k in range(3):
+            covered[k : k + len(again)] |= again
+        n_repeat = int(covered.sum())
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), n_repeat
 
 
+def base_failed(counts: tuple[int, int, int, int, int], bands: Bands) -> bool:
+    return counts[0] < bands.min_words or counts[4] > bands.max_repeat * counts[0]
+
+
 def is_blob(chunk: bytes, compressed: int, bands: Bands) -> bool:
     """If a chunk is an encoded blob, keys or hashes; ``compressed`` is its size in zstandard."""
     n = len(chunk)
@@ -106,19 +173,19 @@ def is_blob(chunk: bytes, compressed: int, bands: Bands) -> bool:
     return compressed >= bands.blob_gain * float((counts * np.log2(n / counts)).sum()) / 8
 
 
-def ratios(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float, list[float], int]:
-    """Of the whole text and of its chunks, and how many chunks are blobs."""
+def ratios(data: bytes, bands: Bands, compressor: zstandard.ZstdCompressor, blobs: bool = True) -> tuple[float, list[float], int]:
+    """Of the whole text and of its chunks, and how many chunks are blobs (0 if that isn't asked)."""
     if not data:
         return 1.0, [], 0
     size = bands.chunk_bytes
     whole = len(compressor.compress(data))
     if len(data) <= size:
-        return len(data) / whole, [len(data) / whole], int(is_blob(data, whole, bands))
+        return len(data) / whole, [len(data) / whole], int(blobs and is_blob(data, whole, bands))
     chunks = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]
     if len(data) % size:
         chunks.append(data[-size:])
     sizes = [len(compressor.compress(x)) for x in chunks]
-    return len(data) / whole, [size / x for x in sizes], sum(is_blob(x, k, bands) for x, k in zip(chunks, sizes, strict=True))
+    return len(data) / whole, [size / x for x in sizes], sum(is_blob(x, k, bands) for x, k in zip(chunks, sizes, strict=True)) if blobs else 0
 
 
 def verdict(n_bytes: int, whole: float, chunks: list[float], blobs: int, bands: Bands) -> str | None:
@@ -131,8 +198,16 @@ def verdict(n_bytes: int, whole: float, chunks: list[float], blobs: int, bands:
         return "repetitive"
     if limits and whole < limits[0]:
         return "incompressible"
+    fences = {band: limits for band, *limits in bands.fitted}
+    if n_bytes >= bands.whole[0][0] and (own := fences.get(length_band(n_bytes))):
+        if whole > own[1]:
+            return "repetitive for its length"
+        if whole < own[0]:
+            return "incompressible for its length"
     if n_bytes > bands.chunk_bytes and chunks:
         low, high = bands.chunk
+        if own := fences.get(CHUNKS):
+            low, high = max(low, own[0]), min(high, own[1])
         if sum(x > high for x in chunks) > bands.max_bad_chunks * len(chunks):
             return "repetitive chunks"
         if sum(x < low for x in chunks) > bands.max_bad_chunks * len(chunks):
@@ -145,17 +220,18 @@ def verdict(n_bytes: int, whole: float, chunks: list[float], blobs: int, bands:
 def judge(text: str | None, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple:
     """The columns of SCHEMA after ``doc_id``."""
     text = text or ""
-    n_words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text)
-    base_failed = n_words < bands.min_words or n_repeat > bands.max_repeat * n_words
+    counts = base_counts(text)
+    failed = base_failed(counts, bands)
     data = text.encode("utf-8")
     whole, chunks, blobs = ratios(data, bands, compressor)
     why = verdict(len(data), whole, chunks, blobs, bands)
-    reason = "base rules" if base_failed else why
-    return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, reason is None, whole, min(chunks, default=1.0), max(chunks, default=1.0), reason
+    reason = "base rules" if failed else why
+    return *counts, failed, reason is None, whole, min(chunks, default=1.0), max(chunks, default=1.0), reason
 
 
-def score(df: DataFrame, bands: Bands = Bands(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: counts, ratios, the verdict and its reason."""
+def score(df: DataFrame, bands: Bands | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: counts, ratios, the verdict and its reason; limits fitted to ``df`` if none are given."""
+    bands = fit(df, text_col=text_col) if bands is None else bands
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         compressor = zstandard.ZstdCompressor(level=bands.level)
@@ -168,8 +244,9 @@ def score(df: DataFrame, bands: Bands = Bands(), *, id_col: str = "doc_id", text
     return per_batch(df.select(id_col, text_col), run, SCHEMA)
 
 
-def keep(df: DataFrame, bands: Bands = Bands(), *, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with all its columns; streams, no shuffle."""
+def keep(df: DataFrame, bands: Bands | None = None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that pass, with all its columns; limits fitted to ``df`` if none are given."""
+    bands = fit(df, text_col=text_col) if bands is None else bands
     at = df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
