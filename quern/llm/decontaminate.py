@@ -14,21 +14,28 @@ vectorised) leaves the stretches where such a match is possible, and only those
 go through the automaton, by the words themselves. The table can only keep too
 much, never lose a match.
 
-The automaton goes to executors by broadcast. Its size is bound: items are
-dealt into shards of at most ``shard_words`` words; with more than one shard
-the texts pass one automaton after the other in the same stage.
+Automata go to executors by broadcast, and their size is bound: items are dealt
+into shards of at most ``shard_words`` words. The driver builds one shard at a
+time. With one shard, texts stream through it. With more, a task takes about
+``hold_bytes`` of texts and leads them through one automaton after the other, each
+loaded from the executor's disk and dropped again, so a worker never has two.
 
 Defined results: null or empty texts have no words and no hits; null or empty
-items have no windows; equal items all count; rows are judged one by one, so
+items have no windows; items of equal text all count, rows of one item_id are one
+item with the windows of all of them, and rows without item_id are one item
+without a name: it counts, and the digest leaves it out. A very long text is
+one run of words (some 40 bytes for each). Rows are judged one by one, so
 repeated rows and ties need nothing special; an empty table of items marks
-nothing. Only the named columns are read, other columns never clash.
+nothing, an empty table of documents gives no rows. Only the named columns are
+read, other columns never clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._io import per_batch
+from quern.llm._io import frugal, release
 from quern.llm._words import ALNUM, mix, words_of
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -238,61 +245,110 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards(items: DataFrame, window: int, shard_words: int, *, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
-    """Automata of at most ``shard_words`` words each (or of one item).
+def shards(items: DataFrame, window: int, shard_words: int, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
+    """Automata of at most ``shard_words`` words each (or of one item), one after the other.
 
     Items come to the driver one partition after the other, and each shard is
     built from at most ``shard_words`` words.
     """
-    out, own, size = [], [], 0
+    own, size = [], 0
     for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = normalise(row["t"])
         if own and size + len(words) > shard_words:
-            out.append(Automaton(own, window))
+            yield Automaton(own, window)
             own, size = [], 0
         own.append((row["i"], words))
         size += len(words)
-    return [*out, Automaton(own, window)]
+    yield Automaton(own, window)
+
+
+class Shards:
+    """Broadcast automata, and how a task leads its batches through them."""
+
+    def __init__(self, docs: DataFrame, automata: Iterable[Automaton], hold_bytes: int) -> None:
+        send = docs.sparkSession.sparkContext.broadcast
+        self.held = [(uuid.uuid4().hex, send(a)) for a in automata]
+        self.hold_bytes = hold_bytes
+
+    def over(self, at: int, f: Callable[[pa.RecordBatch, list[tuple[list[object], list[Marks]]]], pa.RecordBatch | pa.Table]) -> Callable:
+        """A function for ``mapInArrow``: ``f`` of each batch and, for each automaton, its ids and its marks of the texts in column ``at``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: list[pa.RecordBatch] = []
+            size = 0
+            for batch in batches:
+                own.append(batch)
+                size += batch.column(at).nbytes
+                if len(self.held) == 1 or size >= self.hold_bytes:
+                    yield from self._judged(own, at, f)
+                    own, size = [], 0
+            if own:
+                yield from self._judged(own, at, f)
+
+        return frugal(run)
+
+    def _judged(self, batches: list[pa.RecordBatch], at: int, f: Callable) -> Iterator[pa.RecordBatch]:
+        found: list[list] = [[] for _ in batches]
+        for key, automaton in self.held:
+            m = matcher(key, automaton, keep=len(self.held) == 1)
+            for marks, batch in zip(found, batches, strict=True):
+                marks.append((m.automaton.ids, m.marks(batch.column(at))))
+            del m
+        if len(self.held) > 1:
+            release()
+        for batch, marks in zip(batches, found, strict=True):
+            out = f(batch, marks)
+            if out.num_rows:
+                yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher(key: str, broadcast, keep: bool) -> Matcher:  # noqa: ANN001
+    """The matcher of a broadcast automaton; a worker keeps that of a benchmark of one shard, and else none."""
+    if key in _MATCHERS:
+        return _MATCHERS[key]
+    _MATCHERS.clear()
+    made = Matcher(broadcast.value)
+    broadcast.__dict__.pop("_value", None)  # it can be read from disk again
+    if keep:
+        _MATCHERS[key] = made
+    return made
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
 def find(
-    docs: DataFrame, items: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    window: int = 10,
+    shard_words: int = 1_000_000,
+    hold_bytes: int = 32 << 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: hit words, the spans of words, the items."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(a) for a in shards(items, window, shard_words, id_col=item_id, text_col=item_text)]
+    held = Shards(docs, shards(items, window, shard_words, id_col=item_id, text_col=item_text), hold_bytes)
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        parts = [(x.value.ids, matcher(x).marks(batch.column(1))) for x in held]
+    def judged(batch: pa.RecordBatch, parts: list[tuple[list[object], list[Marks]]]) -> pa.Table:
         rows = []
         for i in range(batch.num_rows):
             spans = merged([s for _, m in parts for s in m[i].spans])
-            ids = sorted({str(names[k]) for names, m in parts for k in m[i].items})
-            n_items = sum(len(m[i].items) for _, m in parts)
+            found = {names[k] for names, m in parts for k in m[i].items}
+            ids = sorted(str(x) for x in found if x is not None)
             digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
-            rows.append((parts[0][1][i].n_words, sum(e - s for s, e in spans), n_items, digest, bool(spans), [{"start": s, "stop": e} for s, e in spans], ids))
+            rows.append((parts[0][1][i].n_words, sum(e - s for s, e in spans), len(found), digest, bool(spans), [{"start": s, "stop": e} for s, e in spans], ids))
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), span, pa.list_(pa.string())]
         return pa.table([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types))], names=names)
 
-    return per_batch(docs.select(id_col, text_col), run, SCHEMA)
-
-
-_MATCHERS: dict[int, Matcher] = {}
-
-
-def matcher(broadcast) -> Matcher:  # noqa: ANN001
-    """The matcher of a broadcast automaton; made once in each Python worker."""
-    a = broadcast.value
-    if id(a) not in _MATCHERS:
-        if len(_MATCHERS) >= 16:
-            _MATCHERS.clear()
-        _MATCHERS[id(a)] = Matcher(a)  # holds the automaton, so its id stays its own
-    return _MATCHERS[id(a)]
+    return docs.select(id_col, text_col).mapInArrow(held.over(1, judged), SCHEMA)
 
 
 def clean(
@@ -303,6 +359,7 @@ def clean(
     max_span: int = 0,
     max_coverage: float = 0.5,
     shard_words: int = 1_000_000,
+    hold_bytes: int = 32 << 20,
     text_col: str = "text",
     length_col: str | None = "n_chars",
     item_id: str = "item_id",
@@ -315,14 +372,13 @@ def clean(
     hit is dropped. Other texts stay as they are. ``length_col``, if the table
     has it, follows the new text.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    held = [spark.sparkContext.broadcast(a) for a in shards(items, window, shard_words, id_col=item_id, text_col=item_text)]
+    columns = docs.columns
+    held = Shards(docs, shards(items, window, shard_words, id_col=item_id, text_col=item_text), hold_bytes)
     at = columns.index(text_col)
     count_at = columns.index(length_col) if length_col in columns else None
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(at)
-        parts = [matcher(x).marks(texts) for x in held]
+    def judged(batch: pa.RecordBatch, found: list[tuple[list[object], list[Marks]]]) -> pa.RecordBatch:
+        texts, parts = batch.column(at), [m for _, m in found]
         stays, new = [True] * len(texts), {}
         for i in range(len(texts)):
             spans = merged([s for m in parts for s in m[i].spans])
@@ -344,4 +400,4 @@ def clean(
                 out[count_at] = pa.array([len(new[i]) if i in new else x.as_py() for i, x in enumerate(batch.column(count_at))], type=batch.column(count_at).type)
         return pa.RecordBatch.from_arrays(out, schema=batch.schema).filter(pa.array(stays, type=pa.bool_()))
 
-    return per_batch(docs, run, docs.schema)
+    return docs.mapInArrow(held.over(at, judged), docs.schema)

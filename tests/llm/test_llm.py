@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -208,11 +209,11 @@ def naive_hits(text, items, window=10):
                 if words[i : i + k] == own[j : j + k]:
                     hit.update(range(i, i + k))
                     found.add(item_id)
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("shard_words", [1_000_000, 30])
-def test_decontamination_equals_brute_force(frame, shard_words):
+@pytest.mark.parametrize(("shard_words", "hold_bytes"), [(1_000_000, 1), (30, 1), (60, 1 << 20)])
+def test_decontamination_equals_brute_force(frame, shard_words, hold_bytes):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.choice([1, 3, 9, 10, 11, 40]))) for i in range(25)] + [(50, None), (51, "..."), (52, "Zebra"), (53, prose(rng, 12)), (54, "É É é")]
     texts = list(ODD)
@@ -224,9 +225,10 @@ def test_decontamination_equals_brute_force(frame, shard_words):
         texts.append(" ".join(t))
     df = docs(frame, texts, True)
     bench = frame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find(df, bench, shard_words=shard_words).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find(df, bench, shard_words=shard_words, hold_bytes=hold_bytes).collect()}
     assert got == {i: naive_hits(t, items) for i, t in enumerate(texts)}
     assert not any(r.contaminated for r in decontaminate.find(df, bench.limit(0)).collect())
+    assert decontaminate.find(df.limit(0), bench).count() == 0 and decontaminate.clean(df.limit(0), bench).count() == 0
 
 
 def test_cleaning_cuts_passages_and_keeps_clean_texts(frame):
@@ -262,6 +264,7 @@ def test_quality_rules(frame):
     texts = [*ODD, *(prose(rng, rng.randint(0, 200)) + rng.choice(["", "\n" + "dup line\n" * 3, " # * | <>"]) for _ in range(40)), "a\u00a0b \x85 c\x0bd", "one two three " * 3]
     df = docs(frame, texts, True)
     bands = quality_rules.Bands()
+    assert quality_rules.score(df.limit(0)).count() == 0 and quality_rules.keep(df.limit(0)).count() == 0
     rows = {r.doc_id: r for r in quality_rules.score(df).collect()}
     zstd = zstandard.ZstdCompressor(level=bands.level)
     for i, t in enumerate(texts):
@@ -276,6 +279,74 @@ def test_quality_rules(frame):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
+def naive_verdict(text, bands, fences):
+    """Kept or not, step by step from the definition."""
+    data, zstd = (text or "").encode(), zstandard.ZstdCompressor(level=bands.level)
+    counts = naive_counts(text)
+    if counts[0] < bands.min_words or counts[4] > bands.max_repeat * counts[0]:
+        return False
+    ratio = len(data) / len(zstd.compress(data))
+    limits = [(low, high) for least, low, high in bands.whole if len(data) >= least][-1:]
+    limits += [fences[k] for k in [math.floor(4 * math.log2(len(data)))] if k in fences and len(data) >= bands.whole[0][0]]
+    if any(not low <= ratio <= high for low, high in limits):
+        return False
+    pieces = [data[i : i + 4096] for i in range(0, len(data) - 4095, 4096)] + ([data[-4096:]] if len(data) % 4096 else []) if len(data) > 4096 else [data]
+    sizes = [len(zstd.compress(x)) for x in pieces]
+    if len(data) > 4096:
+        low, high = bands.chunk
+        if -1 in fences:
+            low, high = max(low, fences[-1][0]), min(high, fences[-1][1])
+        for bad in (sum(len(x) / n > high for x, n in zip(pieces, sizes)), sum(len(x) / n < low for x, n in zip(pieces, sizes))):
+            if bad > bands.max_bad_chunks * len(pieces):
+                return False
+    for x, n in zip(pieces, sizes):
+        share = [c / len(x) for c in Counter(x).values()]
+        bits = -sum(p * math.log2(p) for p in share) * len(x)
+        if len(x) >= 2048 and sum(x.count(c) for c in b" \n\t\r") <= 0.12 * len(x) and sum(b > 127 for b in x) <= 0.125 * len(x) and n >= bits / 8:
+            return False
+    return True
+
+
+def naive_fences(texts, bands):
+    logs, zstd = {}, zstandard.ZstdCompressor(level=bands.level)
+    step = 0.0025
+    for text in set(texts):
+        data, counts = (text or "").encode(), naive_counts(text)
+        if len(data) < 256 or counts[0] < 50 or counts[4] > 0.5 * counts[0]:
+            continue
+        logs.setdefault(math.floor(4 * math.log2(len(data))), []).append(math.floor(math.log(len(data) / len(zstd.compress(data))) / step))
+        if len(data) > 4096:
+            pieces = [data[i : i + 4096] for i in range(0, len(data) - 4095, 4096)] + ([data[-4096:]] if len(data) % 4096 else [])
+            logs.setdefault(-1, []).extend(math.floor(math.log(4096 / len(zstd.compress(x))) / step) for x in pieces)
+    out = {}
+    for band, values in logs.items():
+        if len(values) >= bands.least_texts:
+            values.sort()
+            a, b = ((values[math.ceil(q * len(values)) - 1] + 0.5) * step for q in (0.25, 0.75))
+            out[band] = math.exp(a - max(3 * (b - a), 0.05)), math.exp(b + max(1.5 * (b - a), 0.05))
+    return out
+
+
+def test_fences_come_from_the_corpus_and_decide(frame):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(180, 210))) for _ in range(160)] + [" ".join(rng.choices(words, k=rng.randint(800, 2500))) for _ in range(40)]
+    texts += [texts[0]] * 60 + ["same same " * 40] * 50  # copies and rejected texts move no fence
+    symbols = [" ".join(w + c * 3 for w, c in zip(rng.choices(words, k=135), rng.choices("*#%", k=135))) for _ in range(8)]
+    some = rng.sample(words, 95)
+    filler = [" ".join(rng.sample(some, 95) + some) for _ in range(4)]
+    noise = ["".join(chr(rng.randint(33, 126)) + " " * (k % 7 == 6) for k in range(1100)) for _ in range(4)]
+    texts += symbols + filler + noise
+    df = docs(frame, texts, True)
+    bands = quality_rules.fit(df)
+    fences = naive_fences(texts, bands)
+    assert {b: pytest.approx((low, high)) for b, low, high in bands.fitted} == fences and -1 in fences and len(fences) > 1
+    got = {r.doc_id: r for r in quality_rules.score(df).collect()}
+    assert {i: r.kept for i, r in got.items()} == {i: naive_verdict(t, bands, fences) for i, t in enumerate(texts)}
+    assert all(got[i].kept for i in range(260)) and not any(got[i].kept for i in range(310, len(texts)))
+    assert sum(not r.kept and not r.base_failed for r in got.values()) == 16
+
+
 def test_bands_reject_filler_and_noise_and_keep_prose():
     rng, zstd, bands = random.Random(9), zstandard.ZstdCompressor(level=3), quality_rules.Bands()
     real = " ".join("".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9))) for _ in range(900))
