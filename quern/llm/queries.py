@@ -73,7 +73,7 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Sources of equal weight would repeat small ones without end: half as often again at most, and no text is lost.
-MIX = mixing.Mix(entropy=None, max_repeat=1.5, budget=None)
+MIX = mixing.Mix(entropy=None, max_repeat=1.5, budget=None, block_tokens=20_000)
 
 
 @query

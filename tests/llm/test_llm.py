@@ -176,7 +176,7 @@ def test_alpha_meets_its_target():
     assert mixing.repeat_of(tokens, mixing.weights(tokens, mixing.solve(tokens, mix)), mix) == pytest.approx(2.0, rel=1e-6)
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(max_repeat=1.5, block_tokens=400), mixing.Mix(entropy=1.0, budget=3000, block_tokens=200), mixing.Mix(budget=500, block_tokens=100)])
+@pytest.mark.parametrize("mix", [mixing.Mix(max_repeat=1.5, block_tokens=400), mixing.Mix(entropy=1.0, budget=3000, block_tokens=200), mixing.Mix(budget=500, block_tokens=100), mixing.Mix(max_repeat=1.5)])
 def test_mixture_meets_quotas_and_loses_nothing_it_should_keep(frame, mix):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(1, 30)), "en", "big" if i % 4 else f"small{i % 3}", 0) for i in range(400)]
@@ -195,6 +195,55 @@ def test_mixture_meets_quotas_and_loses_nothing_it_should_keep(frame, mix):
     assert mixing.mixed(df.limit(0), mix).count() == 0
 
 
+def naive_plan(rows, mix, hashed, keyed):
+    """Copies of each row by walking through each source's permutation. ``hashed``: hash and block hash by id; ``keyed``: of (source, pass, block)."""
+    own = Counter()
+    for i, text, source in rows:
+        own[source or ""] += len((text or "").split())
+    names = sorted(own)
+    tokens = np.array([own[s] for s in names], dtype=float)
+    w = mixing.weights(tokens, mixing.solve(tokens, mix))
+    budget, copies = mixing.budget_of(tokens, w, mix), {}
+    for s, have, weight in zip(names, tokens, w):
+        mine = [(i, len((t or "").split())) for i, t, x in rows if (x or "") == s]
+        if not have:
+            copies |= {i: 0 for i, _ in mine}
+            continue
+        n, left = max(1, math.ceil(have / mix.block_tokens)), budget * weight
+        passes = math.floor(left / have + 1e-9)
+        left = max(0.0, left - passes * have)
+        dealt = {}
+        for i, size in mine:
+            dealt.setdefault(hashed[i][1] % n, []).append((hashed[i][0], i, size))
+        copies |= {i: passes for i, _ in mine}
+        for b in sorted(dealt, key=lambda b: (keyed(s, passes, b), b)):
+            for _, i, size in sorted(dealt[b]):
+                if size > left + 0.5:
+                    left = -1
+                    break
+                copies[i] += left > 0.5
+                left -= size
+            if left < 0.5:
+                break
+    return copies
+
+
+@pytest.mark.parametrize("mix", [mixing.Mix(max_repeat=1.5, block_tokens=100), mixing.Mix(entropy=1.2, budget=4000, block_tokens=60), mixing.Mix(max_repeat=1.5, block_tokens=100, max_sources=0, max_totals=0)])
+def test_mixture_equals_a_walk_through_the_permutation(frame, mix):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(1, 30)), rng.choices(["a", "b", "c", None, "d"], [60, 20, 10, 5, 5])[0]) for i in range(300)] + [(900, None, "e")]
+    df = frame(rows, "doc_id long, text string, source string")
+    hashed = {r[0]: (r[1], r[2]) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(mix.seed)).alias("h")).select("doc_id", "h", F.xxhash64("h")).collect()}
+    keys = {tuple(r)[:3]: r[3] for r in df.select(F.coalesce("source", F.lit("")).alias("s")).distinct().crossJoin(df.sparkSession.range(4).toDF("p")).crossJoin(df.sparkSession.range(200).toDF("b")).select("s", "p", "b", F.xxhash64("s", "p", "b", F.lit(mix.seed))).collect()}
+    planned = mixing.plan(df, mix).collect()
+    if mix.max_totals:
+        assert {r.doc_id: r._mix_copies for r in planned} == naive_plan(rows, mix, hashed, lambda *k: keys[k])
+        assert len({(r._mix_source, r._mix_block) for r in planned if r._mix_source == "a"}) > 10 and len({r._mix_weight for r in planned}) > 3
+    else:  # joined sources and rounded totals: near the same
+        want = naive_plan(rows, mix, hashed, lambda *k: keys[k])
+        assert sum(r._mix_copies != want[r.doc_id] for r in planned) < 9
+
+
 # ---- 5
 
 
