@@ -31,9 +31,10 @@ links. Steps:
    ``popcount(A & B) + min(excess)``. No link is lost.
 4. Components of the links, then of all copies.
 
-Hot groups: before the shuffle each task brings a signature that many of its
-sets share down to one row and local edges, so a signature has at most a row for
-each batch of sets, however many copies there are.
+Hot groups, in two steps: before the shuffle each task brings a signature that
+many of its sets share down to one row and local edges to a leader, and keeps the
+leader for the batches that follow; the minimum over tasks comes after the shuffle.
+So a hot signature has about a row for each task, however many copies there are.
 
 Cost: a block in which many chunks have fitting sizes (a huge group of near
 copies, not of exact ones) needs the pairs of these chunks.
@@ -42,7 +43,9 @@ Defined results: a document without words (null or empty text too) has no
 shingles and links with nothing. Rows of the same id are one document of the
 result (each row is returned, in one component). A row without id is returned
 with the component of its copies, or null. Ties need nothing special: the
-result is a set of components. Only the named columns are read.
+result is a set of components. A very long text is one set, held by one task (eight
+bytes for each shingle). An empty table gives no rows. Only the named columns are
+read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._io import frugal, stored
@@ -146,33 +149,59 @@ class Deals:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _local(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A batch of (signature, node) with one row for each signature, its smallest node; the other nodes are joined to that by rows of their own."""
+class Leaders:
+    """Leaders of signatures that many sets of a task have shared (a bounded number of them)."""
+
+    def __init__(self, shared: int = 4, most: int = 200_000) -> None:
+        self.shared, self.most = shared, most
+        self.keys, self.nodes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which signatures have a leader, and the leaders of those."""
+        if not len(self.keys):
+            return np.zeros(len(signatures), bool), self.nodes
+        at = np.minimum(np.searchsorted(self.keys, signatures), len(self.keys) - 1)
+        known = self.keys[at] == signatures
+        return known, self.nodes[at[known]]
+
+    def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self.keys, self.nodes = self.keys[:0], self.nodes[:0]
+        keys, nodes = np.concatenate((self.keys, keys[: self.most])), np.concatenate((self.nodes, nodes[: self.most]))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.nodes = keys[order], nodes[order]
+
+
+def _local(signatures: np.ndarray, nodes: np.ndarray, leaders: Leaders) -> tuple[np.ndarray, np.ndarray]:
+    """A batch of (signature, node) with one row for each signature that has no leader yet; other nodes are joined to the leader by rows of their own."""
+    known, leader = leaders.of(signatures)
+    a, b = [nodes[known]], [leader]
+    signatures, nodes = signatures[~known], nodes[~known]
     order = np.lexsort((nodes, signatures))
     signatures, nodes = signatures[order], nodes[order]
-    new = np.concatenate(([True], signatures[1:] != signatures[:-1]))
-    first = np.flatnonzero(new)
-    leader = nodes[first][np.cumsum(new) - 1]
-    apart = nodes != leader
-    if not apart.any():
-        return signatures[first], nodes[first]
-    a, b = nodes[apart], leader[apart]
-    made, at = np.unique(mix(a.view(np.uint64) * _U(0xA24BAED4963EE407) + mix(b.view(np.uint64))), return_index=True)
-    return np.concatenate((signatures[first], made, made)), np.concatenate((nodes[first], a[at], b[at]))
+    first = np.flatnonzero(np.concatenate(([True], signatures[1:] != signatures[:-1]))) if len(signatures) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(signatures)))
+    a.append(nodes)
+    b.append(np.repeat(nodes[first], count))
+    leaders.add(signatures[first[count >= leaders.shared]], nodes[first[count >= leaders.shared]])
+    left, right = np.concatenate(a), np.concatenate(b)
+    left, right = left[left != right], right[left != right]
+    made, at = np.unique(mix(left.view(np.uint64) * _U(0xA24BAED4963EE407) + mix(right.view(np.uint64))), return_index=True)
+    return np.concatenate((signatures[first], made, made)), np.concatenate((nodes[first], left[at], right[at]))
 
 
 def _block_edges(docs: DataFrame, k: int, num: int, den: int, hold: int = 500_000, copies: int = 100_000) -> DataFrame:
     """(a, b): digests of sets that share a signature, each with the smallest that does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deals = Deals(num, den)
+        deals, leaders = Deals(num, den), Leaders()
         seen: set[int] = set()
         held: list[np.ndarray] = []
         owners: list[int] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            keys, nodes = _local(np.concatenate(held), np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in held]))
+            keys, nodes = _local(np.concatenate(held), np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in held]), leaders)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
         for batch in batches:
@@ -313,14 +342,22 @@ def _task(sides: list[tuple[list[int], list[np.ndarray]]], num: int, den: int) -
 # ---- the join
 
 
-def _wanted(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A bitmap of fixed size of the hashes of ids; it only lets too many through."""
-    at = F.pmod(F.xxhash64("node"), F.lit(1 << bits)) + 1  # bit v of bucket 1 stands for v + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
-    for row in rows:
-        out[(row["k"] - 1) * 4096 : row["k"] * 4096] = np.frombuffer(row["m"], dtype=np.uint8)
-    return out
+def _flagged(df: DataFrame, id_col: str, ids: DataFrame, node: str) -> DataFrame:
+    """``df`` with ``_near_flag``: true for all rows whose id is in ``ids``, and for a few others.
+
+    Hashes of ids are flags of a bitmap of 128 KB to 16 MB, by the number of ids,
+    which is broadcast in rows of 4 KB. (Of more ids it lets more through.)
+    """
+    bits = min(27, max(20, (16 * ids.count()).bit_length()))
+
+    def at(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits)) + 1  # bit v of bucket 1 stands for v + 1
+
+    maps = ids.groupBy(F.bitmap_bucket_number(at(node)).alias("_near_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(node))).alias("_near_bits"))
+    place = F.bitmap_bit_position(at(id_col))
+    octet = F.conv(F.hex(F.substring(F.col("_near_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    flag = F.coalesce(F.getbit(octet, (place % 8).cast("int")) == 1, F.lit(False)) & F.col(id_col).isNotNull()
+    return df.join(F.broadcast(maps), F.bitmap_bucket_number(at(id_col)) == F.col("_near_bucket"), "left").select(*(F.col(f"`{c}`") for c in df.columns), flag.alias("_near_flag"))
 
 
 def _tasks(members: DataFrame, num: int, den: int, task_shingles: int, task_docs: int) -> DataFrame:
@@ -384,20 +421,12 @@ def components(
 ) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id`` (the smallest id reached)."""
     num, den = threshold
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
     profiles = stored(_profiles(docs, k), "profiles")
     nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
     blocks = connected_components(_block_edges(docs.where("_i IS NOT NULL"), k, num, den)).select(F.col("node").alias("d1"), F.col("component").alias("block"))
     members = stored(nodes.join(blocks, "d1").select("node", "n", "block"), "nodes")
-    wanted = spark.sparkContext.broadcast(_wanted(members))
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(wanted.value, bitorder="little").view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(flags[batch.column(2).to_numpy()])).select(["_i", "_t"])
-
-    texts = docs.where("_i IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("_i"), F.lit(1 << 23))).mapInArrow(frugal(select), "_i long, _t string")
+    texts = _flagged(docs, "_i", members, "node").where("_near_flag").select("_i", "_t")
     tasks = _tasks(members, num, den, task_shingles, task_docs)
     dealt = texts.join(tasks.join(members.select("node", "n"), "node"), F.col("_i") == F.col("node")).select("key_a", "key_b", "side", "node", "n", "_t")
     found = connected_components(_tree_join(dealt, num, den, k)).withColumnRenamed("component", "_c")
@@ -415,6 +444,10 @@ def keep_one(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100
     Rows without id belong to no component and stay; of rows of one id one stays.
     """
     found = components(df, k=k, threshold=threshold, id_col=id_col, text_col=text_col, **options)
-    best = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = df.join(best, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    # What goes and what comes again is told by ids alone; only rows of such ids are shuffled with their texts.
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_c"))
+    odd = stored(ids.where("_n > 1 OR _c <> doc_id").select(F.col("doc_id").alias("_near_id"), (F.col("_c") == F.col("doc_id")).alias("_near_stays")), "odd-ids")
+    rows = _flagged(df, id_col, odd, "_near_id")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    close = rows.where("_near_flag").join(odd, F.col(id_col) == F.col("_near_id"), "left").where(F.coalesce("_near_stays", F.lit(True)))
+    return rows.where("NOT _near_flag").select(columns).unionByName(close.select(columns).dropDuplicates([id_col]))

@@ -623,6 +623,47 @@ def test_join_of_odd_tables(frame):
     assert ngram_join.keep_one(frame(rows, "doc_id long, text string")).count() == 4
 
 
+def test_hot_signatures_have_a_row_for_each_task():
+    rng, leaders = np.random.default_rng(5), ngram_join.Leaders()
+    edges, rows = set(), Counter()
+    for batch in range(6):
+        nodes = np.arange(100 * batch, 100 * batch + 100, dtype=np.int64)
+        keys = np.where(nodes % 2 == 0, np.uint64(7), rng.integers(10, 40, 100, dtype=np.uint64))
+        got, owners = ngram_join._local(keys, nodes, leaders)
+        by = {}
+        for k, n in zip(got.tolist(), owners.tolist()):
+            by.setdefault(k, []).append(n)
+            rows[k] += 1
+        edges |= {tuple(v) for v in by.values() if len(v) == 2}
+        for key in set(keys.tolist()):  # all nodes of a key hang together, over batches too
+            rows[key, "seen"] += 1
+    assert rows[7] == 1 and all(rows[k] <= 6 for k in range(10, 40))
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+    assert len({find(n) for n in range(0, 600, 2)}) == 1
+
+
+def test_keep_one_with_clashing_names(frame):
+    texts = ["a b c d e f g h"] * 3 + ["x y z w v u t s r"] * 2 + [None, ""]
+    df = docs(frame, texts).withColumns({c: F.lit("clash") for c in ("node", "_near_flag2", "component_id", "_n", "_c", "n", "block")})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6]
+
+
+def test_components_of_hot_nodes(frame):
+    edges = [(5, k) for k in range(6, 3000)] + [(3000 + k, 6 + k) for k in range(50)] + [(9000, 9001), (9001, None), (4, 4)]
+    got = {r.node: r.component for r in connected_components(frame(edges, "a long, b long")).collect()}
+    assert got == {n: 5 for n in range(5, 3050)} | {9000: 9000, 9001: 9000}
+    assert connected_components(frame([], "a long, b long")).count() == 0
+
+
 def test_components_settle(frame):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(1, 60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(60)] + [(7, 7)]
