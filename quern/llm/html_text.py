@@ -3,9 +3,15 @@
 The page is cut into blocks at block tags (and at two line breaks in a row).
 First pass: each block is classed by itself, from where it stands (menus,
 headers, footers, sidebars, forms, adverts, notices and comments are known by
-element, role or a word of their class or id; so is an article or main element)
-and from its length, its share of stop words and the share of its characters in
-links: good, bad, or, where the text is too short to tell, open. Second pass:
+element, role or a word of their container's class or id; so is an article or
+main element) and from its length, its share of stop words and the share of its
+characters in links: good, bad, or, where the text is too short to tell, open. A
+word in a paragraph's own class never decides alone: a marked paragraph that is
+short or has few stop words is bad, another is judged as any.
+
+Stop words are known for four languages. Where hardly any word of a page's
+unlinked text is one, the page is in another language or script, and stop words
+say nothing: length and links decide. Second pass:
 open blocks take the label of the nearest decided blocks before and after: alike
 if both agree, else of the nearer one (by characters between), the bad one if
 they are as near. Blocks in an article element look at such blocks only; blocks
@@ -17,14 +23,16 @@ and markup never count.
 
 Defined results: null or empty HTML, or a page without a good block, gives an
 empty text; broken HTML is read as far as it goes (an unknown end tag is
-ignored, an open element ends with its parent or the page); repeated rows are
-read each; an empty table gives no rows. Only the named columns are read.
+ignored, an open element ends with its parent or the page); a very long page is
+read in time in proportion to its length; repeated rows are read each; an empty
+table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -65,6 +73,7 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S
 )
+_OPEN = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"\w+")
@@ -81,6 +90,7 @@ class Rules:
     stop_high: float = 0.22
     links: float = 0.34
     links_inside: float = 0.6
+    known: float = 0.05  #: share of stop words in unlinked text from which the page's language is known
 
 
 @dataclass
@@ -89,15 +99,16 @@ class Block:
     links: int  #: characters in links
     place: str  #: "out", "in" (an article or main element) or ""
     heading: bool
+    marked: bool = False  #: by a word of its own class or id
 
 
 def _place(attributes: str, tag: str) -> str:
-    """What an element's attributes say: out, in or nothing."""
+    """What an element's attributes say: hidden, out, in or nothing."""
     said = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true" or name == "style" and _HIDING.search(value):
-            return "out"
+            return "hidden"
         if name in ("class", "id", "role", "itemprop"):
             for word in value.split():
                 if word in ARTICLE_MARKS or name == "role" and word in ("main", "article"):
@@ -113,22 +124,25 @@ def blocks(page: str) -> list[Block]:
     held: list[str] = []
     # open holders: (tag, place, in comments or the like)
     stack: list[tuple[str, str]] = []
-    place = own = ""
+    open_tags: Counter[str] = Counter()
+    deep = 0  # open holders of comments
+    place = ""
+    marked = hidden = False
     in_link = in_link_chars = breaks = 0
     heading = False
 
     def flush() -> None:
-        nonlocal in_link_chars, breaks, heading, own
+        nonlocal in_link_chars, breaks
         if held:
             raw = "".join(held)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, min(in_link_chars, len(text)), own or place, heading))
+                out.append(Block(text, min(in_link_chars, len(text)), "out" if hidden else place, heading, marked))
             held.clear()
         in_link_chars = breaks = 0
 
-    at, n = 0, len(page)
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    at, n, last = 0, len(page), page.rfind(">")
+    while at <= last and (m := _TOKEN.search(page, at)):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
@@ -161,22 +175,24 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCKS:
             continue
         flush()
-        in_link, own, heading = 0, "", False
+        in_link, marked, hidden, heading = 0, False, False, False
         if tag in HOLDERS:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while open_tags[tag]:  # what is open inside ends too
+                    ended, was = stack.pop()
+                    open_tags[ended] -= 1
+                    deep -= was == "deep"
+                    if ended == tag:
                         break
             elif not attributes.endswith("/"):
-                said = _place(attributes, tag)
+                said = _place(attributes, tag).replace("hidden", "out")
                 up = stack[-1][1] if stack else ""
                 if tag in OUT or said == "out":
                     said = "out"
                 elif tag == "header":
                     said = "out" if up != "in" else "head"
                 elif tag in ("article", "main") or said == "in":
-                    said = "in" if up != "out" or not any(p == "deep" for _, p in stack) else "out"
+                    said = "in" if up != "out" or not deep else "out"
                 else:
                     said = up
                 if said == "out" and re.search(r"comment|respond|repl(y|ies)|disqus", attributes, re.I):
@@ -184,21 +200,30 @@ def blocks(page: str) -> list[Block]:
                 elif up == "deep":
                     said = "deep"
                 stack.append((tag, said))
+                open_tags[tag] += 1
+                deep += said == "deep"
             place = stack[-1][1] if stack else ""
             place = "out" if place == "deep" else place
         elif not closing:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if attributes and _place(attributes, tag) == "out":
-                own = "out"
-    if at < n:
-        held.append(page[at:])
+            said = _place(attributes, tag) if attributes else ""
+            marked, hidden = said == "out", said == "hidden"
+    if at < n:  # no tag ends here any more; an open comment or declaration is none of the text
+        rest = _OPEN.split(page[at:], maxsplit=1)[0]
+        held.append(rest)
         if in_link:
-            in_link_chars += len(page) - at
+            in_link_chars += len(rest)
     flush()
     return out
 
 
-def first_pass(b: Block, rules: Rules) -> str:
+def stop_share(blocks_: list[Block]) -> float:
+    words = [w for b in blocks_ for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(b: Block, rules: Rules, known: bool = True) -> str:
+    """``known``: whether stop words of the page's language are known."""
     size = len(b.text)
     links = b.links / size
     if b.place == "out":
@@ -207,8 +232,9 @@ def first_pass(b: Block, rules: Rules) -> str:
         return GOOD if b.heading else BAD
     if links > (rules.links_inside if b.place == "in" else rules.links):
         return BAD
-    words = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    stop = stop_share([b]) if known else rules.stop_high if size >= rules.short else 0.0
+    if b.marked and (size < rules.short or stop < rules.stop_high):
+        return BAD
     if b.place == "in":
         return GOOD if size >= rules.short or stop >= rules.stop_low or b.heading else OPEN
     if size < rules.short or b.heading:
@@ -259,7 +285,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     found = blocks(page or "")
-    labels = [first_pass(b, rules) for b in found]
+    known = stop_share([b for b in found if b.place != "out" and b.links < rules.links * len(b.text)]) >= rules.known
+    labels = [first_pass(b, rules, known) for b in found]
     return "\n".join(b.text for b, stays in zip(found, second_pass(found, labels), strict=True) if stays)
 
 

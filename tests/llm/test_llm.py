@@ -466,8 +466,71 @@ def test_main_text():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_other_languages_and_marked_paragraphs():
+    russian = ["Москва является столицей страны, и каждый год сюда приезжают миллионы людей из разных областей, чтобы увидеть старый город, музеи, парки и реку. " * 2 + str(k) for k in range(4)]
+    chinese = ["北京是一座历史悠久的城市每年都有很多人来到这里参观古老的宫殿公园和博物馆了解这座城市的过去与现在。" * 5 + str(k) for k in range(4)]
+    for body in (russian, chinese):
+        for holder in ("div", "article"):
+            page = f"<body><div><a href=1>Новости</a> <a href=2>Спорт</a></div><{holder}>" + "".join(f"<p>{x}</p>" for x in body) + f"</{holder}><footer>© 2024</footer></body>"
+            assert html_text.main_text(page).split("\n") == body
+    price = "The share price of the firm went up by a tenth on the day that it said it would sell all of its shops."
+    page = f'<article><h1>News of it</h1><p class="share-price">{price}</p><p class="share">Share this</p><p class="ad-label">Advertisement</p><p style="display:none">{price} hidden</p><p>The end of it is here and it is not so long as that.</p></article>'
+    assert html_text.main_text(page).split("\n") == ["News of it", price, "The end of it is here and it is not so long as that."]
+
+
+def naive_second_pass(found, labels):
+    """From the definition, looking left and right of each block."""
+    out = []
+    for k, b in enumerate(found):
+        label, inside = labels[k], b.place == "in"
+        sides = []
+        for step in (-1, 1):
+            j, chars = k + step, 0
+            while 0 <= j < len(found):
+                x = found[j]
+                if labels[j] != html_text.OPEN and x.place != "out" and (x.place == "in" or not inside):
+                    sides.append((labels[j], chars))
+                    break
+                chars += len(x.text)
+                j += step
+            else:
+                sides.append(None)
+        if label == html_text.OPEN:
+            left, right = sides
+            if b.heading and not inside:
+                label = right[0] if right and right[1] < 200 else html_text.BAD
+            elif left and right:
+                label = left[0] if left[0] == right[0] else html_text.BAD if left[1] == right[1] else (left if left[1] < right[1] else right)[0]
+            else:
+                label = (left or right or (html_text.GOOD if inside else html_text.BAD, 0))[0]
+        out.append(label == html_text.GOOD)
+    return out
+
+
+def test_second_pass_equals_brute_force():
+    rng = random.Random(14)
+    for _ in range(400):
+        found = [html_text.Block("x" * rng.choice([5, 20, 90, 220]), 0, rng.choice(["", "", "in", "out"]), rng.random() < 0.2) for _ in range(rng.randint(0, 14))]
+        labels = [html_text.BAD if b.place == "out" else rng.choice([html_text.GOOD, html_text.BAD, html_text.OPEN, html_text.OPEN]) for b in found]
+        assert html_text.second_pass(found, labels) == naive_second_pass(found, labels)
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece, end in (("<div>", "</section>"), ('<a href="', ""), ("<a href='x ", ">"), ("<p class=x", ""), ("<div class=comment><article>", ""), ("<!-- ", ""), ("<a '\">", "")):
+        took = []
+        for n in (4000, 32_000):
+            page = piece * n + end * n
+            began = time.perf_counter()
+            html_text.main_text(page)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 0.3, piece
+
+
 def test_html_frame(frame):
     df = frame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert html_text.extract(df.limit(0)).count() == 0
     rows = {r.page_id: r for r in html_text.extract(df).collect()}
     assert rows[1].n_chars == len(rows[1].text) and rows[2].text == "" and rows[2].n_chars == 0
 
