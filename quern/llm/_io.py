@@ -29,12 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read again.
 
-    Cuts the lineage: a lost executor costs a read, not the work before it.
+    Cuts the lineage: a lost executor costs a read, not the work before it. The
+    folder goes when the application ends, or by ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _system(spark, path).deleteOnExit(_path(spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing may read it any more."""
+    _system(df.sparkSession, df.stored_path).delete(_path(df.sparkSession, df.stored_path), True)
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202  a Hadoop path
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _system(spark: SparkSession, path: str):  # noqa: ANN202  the Hadoop file system of a path
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

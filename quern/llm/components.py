@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._io import stored
+from quern.llm._io import drop, stored
 
 
 def _to_least(edges: DataFrame, least: DataFrame, heavy: int) -> DataFrame:
@@ -53,7 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_ro
     seen, count = None, now.count()
     for _ in range(max_rounds):
         heavy = max(1000, count // 10_000)
-        now = stored(_star(_star(now, True, heavy), False, heavy), "edges")
+        before, now = now, stored(_star(_star(now, True, heavy), False, heavy), "edges")
+        drop(before)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

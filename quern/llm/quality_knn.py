@@ -150,8 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 1000, dims: int
                     rows.append((at.astype("<i4").tobytes(), own[at].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["i", "at", "n"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isin(ids)) if ids else docs.limit(0).select(F.lit(0).cast("long").alias("i"), F.lit("").alias("t"))
-    rows = {r["i"]: r for r in found.mapInArrow(frugal(run), "i long, at binary, n binary").toLocalIterator()}
+    # Rows of one id may be many: one text of each goes on, that of the smallest hash.
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isin(ids))
+    found = texts.groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = {r["i"]: r for r in found.mapInArrow(frugal(run), "i long, at binary, n binary").toLocalIterator()} if ids else {}
     order = sorted(rows)
     x = np.zeros((len(order), TERMS), dtype=np.float32)
     for r, i in enumerate(order):

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crc_mod(column: str, n: int) -> Column:
-    """crc32 of a number's text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of a number's text, modulo n; that of no number is -1."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 #: Verdict, host, path.

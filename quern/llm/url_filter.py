@@ -9,25 +9,31 @@ are hashed and probed together by vectorised binary search; a key that is found
 is confirmed by its full string, so equal keys of different strings never
 decide. The longest rule that fits wins (then the longest host).
 
-The array is broadcast only up to ``max_bytes``; a larger rule table is joined
-by the same keys and strings (``_by_join``), in Spark.
+A rule table is measured first. Beyond ``max_bytes`` it is dealt, by a hash of the
+host, into arrays of about that size; the driver fetches and packs one at a time,
+each is broadcast (Spark keeps it on the executors' disks) and mapped, and URLs
+are probed against one after the other. A worker drops the bytes once they are
+mapped, so its memory does not grow with the rules.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and
 no rule but an empty host's fits; an empty table gives no rows; repeated rows
 are judged each; of rules that are equal the first verdict (in order of their
-text) counts. Only the two named columns are read.
+text) counts; a rule with a null in it is none; a very long URL has as many candidates as its host
+has labels, times the lengths of rule paths. Only the two named columns are read,
+so other columns never clash.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._io import per_batch
@@ -152,34 +158,45 @@ class DigestArray:
         return out
 
 
-_MAPPED: dict[int, tuple[bytes, DigestArray]] = {}
+_MAPPED: dict[str, DigestArray] = {}
 
 
-def mapped(data: bytes) -> DigestArray:
-    """The array of a broadcast file; mapped once in each Python worker."""
-    if id(data) not in _MAPPED:
-        if len(_MAPPED) >= 8:
+def mapped(key: str, broadcast) -> DigestArray:  # noqa: ANN001
+    """The array of a broadcast file; mapped once in each Python worker, and only the map is kept."""
+    if key not in _MAPPED:
+        if len(_MAPPED) >= 256:
             _MAPPED.clear()
-        _MAPPED[id(data)] = (data, DigestArray(data))
-    return _MAPPED[id(data)][1]
+        _MAPPED[key] = DigestArray(broadcast.value)
+        broadcast.__dict__.pop("_value", None)  # it can be read from disk again
+    return _MAPPED[key]
+
+
+def _packed(rules: DataFrame | Iterable[Rule], max_bytes: int) -> Iterator[bytes]:
+    """Rule files of about ``max_bytes`` each; equal strings are in one of them."""
+    if not isinstance(rules, DataFrame):
+        yield pack(rules)
+        return
+    rules = rules.select("verdict", "host", "path").dropna()
+    size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
+    count = max(1, -(-size // max(1, max_bytes)))
+    dealt = F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(count))
+    for k in range(count):
+        yield pack(Rule(*r) for r in (rules if count == 1 else rules.where(dealt == k)).collect())
 
 
 def judge(pages: DataFrame, rules: DataFrame | list[Rule], *, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``pages``: host, path, the longest rule that fits, its verdict or ``default``.
 
-    ``rules`` is a list or a table ``verdict, host, path``. A table is measured
-    before it is fetched: beyond ``max_bytes`` of packed rules it is joined.
+    ``rules`` is a list or a table ``verdict, host, path``.
     """
-    spark = pages.sparkSession
-    if isinstance(rules, DataFrame):
-        size = rules.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 64), F.lit(0))).first()[0]
-        if size > max_bytes:
-            return _by_join(pages, rules, default, id_col, url_col)
-        rules = [Rule(*r) for r in rules.select("verdict", "host", "path").collect()]
-    held = spark.sparkContext.broadcast(pack(rules))
+    held = [(uuid.uuid4().hex, pages.sparkSession.sparkContext.broadcast(x)) for x in _packed(rules, max_bytes)]
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        rows = mapped(held.value).judge(batch.column(1).to_pylist())
+        urls = batch.column(1).to_pylist()
+        rows = None
+        for key, data in held:
+            found = mapped(key, data).judge(urls)
+            rows = found if rows is None else [_longer(a, b) for a, b in zip(rows, found, strict=True)]
         text = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
         verdicts = pa.array([r[3] if r[3] is not None else default for r in rows], pa.string())
         return pa.table([batch.column(0), *text, verdicts], names=["page_id", "host", "path", "rule", "verdict"])
@@ -187,18 +204,8 @@ def judge(pages: DataFrame, rules: DataFrame | list[Rule], *, default: str = "al
     return per_batch(pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).cast("string").alias("u")), run, SCHEMA)
 
 
-def _by_join(pages: DataFrame, rules: DataFrame, default: str, id_col: str, url_col: str) -> DataFrame:
-    """``judge`` for rule tables that are too large to send everywhere."""
-    first = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in first.select(F.length("path")).distinct().collect())  # bound by the longest rule
-    rest = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^?#]*)", 1)
-    host = F.translate(F.substring_index(rest, "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    urls = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.substring(rest, F.length(host) + 1, F.length(rest)).alias("path"))
-    labels = F.split("host", r"\.", -1)
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tries = urls.select("_row", F.explode(above).alias("h"), "path", "host").select("_row", "h", F.explode(heads).alias("p"))
-    keyed = first.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict", F.xxhash64("host", "path").alias("k"))
-    hits = tries.withColumn("k", F.xxhash64("h", "p")).join(keyed, ["k", "h", "p"])
-    best = hits.groupBy("_row").agg(F.max(F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("m"), F.concat("h", "p").alias("rule"), "verdict")).alias("b"))
-    return urls.join(best, "_row", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+def _longer(a: tuple, b: tuple) -> tuple:
+    """Of the answers of two arrays that of the longer rule (of equal length, of the longer host: the later start of the path)."""
+    if a[2] is None or b[2] is None:
+        return a if b[2] is None else b
+    return max(a, b, key=lambda x: (len(x[2]), (x[2] + "/").index("/"), x[2]))

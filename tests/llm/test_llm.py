@@ -62,8 +62,11 @@ def test_url_rules(frame):
     got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, URL_RULES).collect()}
     assert got == {i: naive_rule(u, URL_RULES) for i, u in enumerate(urls * 2)}
     table = df.sparkSession.createDataFrame(URL_RULES, "verdict string, host string, path string")
-    joined = {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, table, max_bytes=0).collect()}
-    assert joined == got
+    for most in (1, 100, 1 << 20):  # dealt into several arrays
+        assert len(list(url_filter._packed(table, most))) > (most < 200)
+        assert {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, table, max_bytes=most).collect()} == got
+    clash = df.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict")})
+    assert {r.page_id: tuple(r)[1:] for r in url_filter.judge(clash, table).collect()} == got
     assert url_filter.judge(df.limit(0), URL_RULES).count() == 0
 
 
@@ -160,6 +163,11 @@ def test_quality_separates_and_is_exact(frame, spark):
         sims = sorted(((float(row @ w), y) for w, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: model.k]
         weights = [max(s, 0) ** model.sharp for s, _ in sims]
         assert score == pytest.approx(sum(w * y for w, (_, y) in zip(weights, sims, strict=True)) / sum(weights), abs=1e-3)
+    assert quality_knn.predict(df.limit(0), model).count() == 0 and not len(quality_knn.fit(df.limit(0), labels).labels)
+    twice = df.unionByName(df.withColumn("text", F.lit("other words " * 9))).withColumns({c: F.lit("x") for c in ("i", "t", "score", "y")})
+    a, b = quality_knn.fit(twice, labels), quality_knn.fit(twice.repartition(5), labels)
+    assert np.array_equal(a.labels, b.labels) and np.allclose(np.abs(a.vectors), np.abs(b.vectors), atol=1e-3)
+    assert {r.score for r in quality_knn.predict(frame([(None, "a b c d")], "doc_id long, text string"), model).collect()} != {None}
     empty = quality_knn.fit(df, labels.limit(0))
     assert {r.score for r in quality_knn.predict(df, empty).collect()} == {0.5}
 
@@ -564,6 +572,29 @@ def test_profiles_count_all_ngrams():
         assert all("_" in k[1:-1] for k in extra), extra  # n-grams over a gap of two words are ours alone
 
 
+def test_distance_equals_brute_force(frame):
+    """Out-of-place distance and its ties, from the definition."""
+    rng = random.Random(15)
+    texts = [(" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(25)), rng.choice(["x", "y", "z"])) for _ in range(30)]
+    df = frame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string").withColumns({c: F.lit("q") for c in ("l", "t", "code", "lang_pred")})
+    size = 60
+    model = language_id.train(df, size=size)
+    ranked = {}
+    for lang in ("x", "y", "z"):
+        n = Counter()
+        for t, own in texts:
+            if own == lang:
+                for c, k in zip(*(v.tolist() for v in language_id.counted(language_id.grams(t)))):
+                    n[c] += k
+        ranked[lang] = [c for c, _ in sorted(n.items(), key=lambda p: (-p[1], p[0]))[:size]]
+    for t in [*(t for t, _ in texts), "a", "éé bb", "zzzz"]:
+        codes, counts = language_id.counted(language_id.grams(t))
+        own = [c for c, _ in sorted(zip(codes.tolist(), counts.tolist()), key=lambda p: (-p[1], p[0]))[:size]]
+        away = {lang: sum(abs(r.index(c) - k) if c in r else size for k, c in enumerate(own)) for lang, r in ranked.items()}
+        name, score = model.judge(t)
+        assert away[name] == min(away.values()) and name == min(x for x in away if away[x] == min(away.values())) and score == pytest.approx(1 - away[name] / (size * len(own)))
+
+
 def test_language(frame):
     rng = random.Random(11)
     fr = "le la les de des un une et que qui pour dans avec est sur pas plus".split()
@@ -575,6 +606,7 @@ def test_language(frame):
     got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
     assert all(got[i].lang_pred == ("en", "fr", "de")[i // 30] for i in range(90)) and got[900].lang_pred == got[901].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values()) and got[902].lang_pred in ("en", "fr", "de")
+    assert language_id.predict(df.limit(0), model).count() == 0
     again = language_id.train(df.where("doc_id % 4 <> 2").repartition(7), hold=100)
     assert (again.ranks == model.ranks).all() and (again.codes == model.codes).all()
     assert {r.lang_pred for r in language_id.predict(df, language_id.train(df.limit(0))).collect()} == {"und"}
