@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._io import frugal, stored
 from quern.llm._words import SPACED, mix, shingle_sets, words_of
-from quern.llm.components import connected_components
+from quern.llm.components import connected_components, heavy_of, join_dealt
 
 _U = np.uint64
 
@@ -362,13 +362,18 @@ def _flagged(df: DataFrame, id_col: str, ids: DataFrame, node: str) -> DataFrame
 
 def _tasks(members: DataFrame, num: int, den: int, task_shingles: int, task_docs: int) -> DataFrame:
     """(node, key_a, key_b, side): the tasks of each of ``members`` (node, n, block)."""
-    of_block = members.groupBy("block").agg(F.sum("n").alias("_w"), F.count("*").alias("_c"))
-    whole = (F.col("_w") <= task_shingles) & (F.col("_c") <= task_docs)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * (1 + 1e-9)))
-    members = members.join(of_block, "block").withColumn("band", F.when(whole, F.lit(-9)).otherwise(band).cast("int")).drop("_w", "_c")
-    of_band = members.groupBy("block", "band").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.ceil(F.count("*") / task_docs)).alias("_k"))
-    chunk = F.when(F.col("band") == -9, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_k"))).cast("int")
-    members = stored(members.join(of_band, ["block", "band"]).select("node", "block", "band", chunk.alias("chunk")), "members")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * (1 + 1e-9))).cast("int")
+    members = members.withColumn("_band", band)
+    sizes = stored(members.groupBy("block", "_band").agg(F.sum("n").alias("_w"), F.count("*").alias("_c")), "bands")
+    of_block = sizes.groupBy("block").agg((F.sum("_w") <= task_shingles).alias("_light"), (F.sum("_c") <= task_docs).alias("_few"))
+    whole = F.col("_light") & F.col("_few")
+    count = F.when(whole, 1).otherwise(F.greatest(F.ceil(F.col("_w") / task_shingles), F.ceil(F.col("_c") / task_docs)))
+    sizes = sizes.join(of_block, "block").select("block", "_band", "_c", F.when(whole, -9).otherwise(F.col("_band")).alias("band"), count.alias("_k"))
+    most = sizes.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max("_c"), F.lit(0))).first()
+    heavy = heavy_of(most[0])
+    dealt = members.join(sizes, ["block", "_band"]) if most[1] <= heavy else join_dealt(members, sizes, ["block", "_band"], "_c", heavy)
+    chunk = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    members = stored(dealt.select("node", "block", "band", chunk.alias("chunk")), "members")
     chunks = members.groupBy("block", "band", "chunk").agg(F.min("node").alias("key"))
     a, b = (chunks.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "chunk", "key"))) for s in "ab")
     pairs = a.join(b, "block").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (F.col("key_a") <= F.col("key_b")))

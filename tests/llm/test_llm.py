@@ -683,6 +683,11 @@ def near_texts(rng):
     return texts
 
 
+def test_join_of_hot_blocks(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "heavy_of", lambda n: 3)
+    test_join_equals_brute_force(frame, 5, (80, 100), {"task_docs": 8})
+
+
 @pytest.mark.parametrize(("k", "threshold", "options"), [(4, (85, 100), {}), (5, (80, 100), {"task_docs": 8, "task_shingles": 900})])
 def test_join_equals_brute_force(frame, k, threshold, options):
     texts = near_texts(random.Random(k))
@@ -752,7 +757,11 @@ def test_keep_one_with_clashing_names(frame):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6]
 
 
-def test_components_of_hot_nodes(frame):
+@pytest.mark.parametrize("heavy", [100, 10_000])
+def test_components_of_hot_nodes(frame, monkeypatch, heavy):
+    import quern.llm.components as own
+
+    monkeypatch.setattr(own, "heavy_of", lambda n: heavy)
     edges = [(5, k) for k in range(6, 3000)] + [(3000 + k, 6 + k) for k in range(50)] + [(9000, 9001), (9001, None), (4, 4)]
     got = {r.node: r.component for r in connected_components(frame(edges, "a long, b long")).collect()}
     assert got == {n: 5 for n in range(5, 3050)} | {9000: 9000, 9001: 9000}
