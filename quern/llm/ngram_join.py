@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm._io import frugal, stored
+from quern.llm._io import frugal, small_batches, stored
 from quern.llm._words import SPACED, mix, shingle_sets, words_of
 from quern.llm.components import connected_components, heavy_of, join_dealt
 
@@ -427,6 +427,12 @@ def components(
     """One row per row of ``df``: ``doc_id, n_shingles, component_id`` (the smallest id reached)."""
     num, den = threshold
     docs = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
+    with small_batches(df.sparkSession):
+        return _components(docs, k, num, den, task_shingles, task_docs)
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, task_shingles: int, task_docs: int) -> DataFrame:
+    """All but the last, narrow joins are run here."""
     profiles = stored(_profiles(docs, k), "profiles")
     nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
     blocks = connected_components(_block_edges(docs.where("_i IS NOT NULL"), k, num, den)).select(F.col("node").alias("d1"), F.col("component").alias("block"))

@@ -31,7 +31,7 @@ special; an empty table has no fences. ``score`` returns only ``id`` and its own
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -40,11 +40,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._io import per_batch
+from quern.llm._io import per_batch, small_batches
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WHITE = " \t\n\x0b\x0c\r"
 _SPACES = (b" ", b"\n", b"\t", b"\r")
-_SYMBOL = re.compile(r"[#*$%&|<>]+")
+_SYMBOLS = "#*$%&|<>"
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -127,7 +127,9 @@ def fit(df: DataFrame, bands: Bands = Bands(), *, text_col: str = "text") -> Ban
     found = per_batch(df.select(F.xxhash64(text).alias("h"), text.alias("t")), run, "h long, band long, step long, n long")
     once = found.groupBy("h", "band", "step").agg(F.max("n").alias("n"))
     counts: dict[int, list[tuple[int, int]]] = {}
-    for r in once.groupBy("band", "step").agg(F.sum("n").alias("n")).collect():
+    with small_batches(df.sparkSession):
+        steps_of = once.groupBy("band", "step").agg(F.sum("n").alias("n")).collect()
+    for r in steps_of:
         counts.setdefault(r["band"], []).append((r["step"], r["n"]))
     fitted = []
     for band, pairs in sorted(counts.items()):
@@ -141,20 +143,32 @@ def fit(df: DataFrame, bands: Bands = Bands(), *, text_col: str = "text") -> Ban
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """Words, their code points, symbols, repeated lines, words in repeated 3-word windows."""
-    words = _WORD.findall(text)
-    symbols = sum(map(len, _SYMBOL.findall(text)))
-    lines = [x for x in text.split("\n") if _WORD.search(x)]
-    n_repeat = 0
-    if len(words) > 2:
-        codes = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    words = text.encode("utf-8").split()  # bytes are split at ASCII white space
+    chars = len(text) - sum(map(text.count, _WHITE))
+    lines = [x for x in text.split("\n") if x.strip(_WHITE)]
+    return len(words), chars, sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), _repeated(words)
+
+
+def _repeated(words: list[bytes], long: int = 20_000) -> int:
+    """Words in 3-word windows that occur more than once."""
+    n = len(words) - 2
+    if n < 2:
+        return 0
+    if n <= long:
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        if len(set(windows)) == n:
+            return 0
+        counts = Counter(windows)
+        again = np.fromiter((counts[x] > 1 for x in windows), dtype=bool, count=n)
+    else:  # by numbers of 8 bytes, not tuples
+        codes = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
         _, pairs = np.unique(codes[:-1] * (codes.max() + 1) + codes[1:], return_inverse=True)
-        _, at, counts = np.unique(pairs[:-1] * (codes.max() + 1) + codes[2:], return_inverse=True, return_counts=True)
-        again = counts[at] > 1
-        covered = np.zeros(len(words), dtype=bool)
-        for k in range(3):
-            covered[k : k + len(again)] |= again
-        n_repeat = int(covered.sum())
-    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), n_repeat
+        _, at, numbers = np.unique(pairs[:-1] * (codes.max() + 1) + codes[2:], return_inverse=True, return_counts=True)
+        again = numbers[at] > 1
+    covered = np.zeros(len(words), dtype=bool)
+    for k in range(3):
+        covered[k : k + n] |= again
+    return int(covered.sum())
 
 
 def base_failed(counts: tuple[int, int, int, int, int], bands: Bands) -> bool:

@@ -336,6 +336,13 @@ def test_quality_rules(frame):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
+def test_repeated_windows_of_long_texts():
+    rng = random.Random(13)
+    for n in (0, 1, 2, 3, 4, 50, 400):
+        words = [rng.choice("abcdefgh").encode() for _ in range(n)]
+        assert quality_rules._repeated(words) == quality_rules._repeated(words, long=0) == naive_counts(" ".join(w.decode() for w in words))[4]
+
+
 def naive_verdict(text, bands, fences):
     """Kept or not, step by step from the definition."""
     data, zstd = (text or "").encode(), zstandard.ZstdCompressor(level=bands.level)
