@@ -27,8 +27,9 @@ def within(points: DataFrame, places: DataFrame, radius_km: float, *, lat: str =
     """Pairs within a radius, with ``km``: a range join over latitude bands and longitude cells.
 
     Cells are as high as the radius; a place stands in its cell, a point looks
-    into the cells around it (three by as many as its latitude needs). Good up
-    to 85 degrees and radii up to some hundred kilometres.
+    into the cells around it (three by as many as its latitude needs), over the
+    180 degree meridian too. Good up to 85 degrees and radii up to some hundred
+    kilometres.
     """
     step = radius_km / 111.19492664455873 * (1 + 1e-9)
     band = F.floor(F.col(lat) / step)
@@ -37,12 +38,15 @@ def within(points: DataFrame, places: DataFrame, radius_km: float, *, lat: str =
         """Longitude cells of a band are as wide as the radius at its outer edge."""
         edge = F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)) + step, F.lit(89.0))
         wide = F.least(F.lit(step) / F.cos(F.radians(edge)), F.lit(360.0))
-        return F.floor((x + 180.0) / wide)
+        return F.floor((x + 180.0) / wide), F.floor(F.lit(360.0) / wide)
 
     near = points.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
-    own = cell(F.col(lon), F.col("_band"))
-    near = near.withColumn("_cell", F.explode(F.array(own - 1, own, own + 1)))
-    there = places.withColumn("_band", F.floor(F.col(plat) / step)).withColumn("_cell", cell(F.col(plon), F.col("_band")))
+    own, last = cell(F.col(lon), F.col("_band"))
+    # The cell before the first is the last (which may be narrow: so is looked into with the one before it), and the other way round.
+    around = F.array(own - 1, own, own + 1)
+    around = F.when(own <= 0, F.concat(around, F.array(last - 1, last))).when(own >= last - 1, F.concat(around, F.array(F.lit(0).cast("long")))).otherwise(around)
+    near = near.withColumn("_cell", F.explode(F.array_distinct(around)))
+    there = places.withColumn("_band", F.floor(F.col(plat) / step)).withColumn("_cell", cell(F.col(plon), F.col("_band"))[0])
     return near.join(there, ["_band", "_cell"]).drop("_band", "_cell").withColumn("km", haversine_km(lat, lon, plat, plon)).where(F.col("km") <= radius_km)
 
 
@@ -117,6 +121,7 @@ def tag_kind(tags: Column) -> Column:
 def trend(points: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
     """Mean of the last seven points against the seven before: ``pct_change`` and ``direction`` (over 5 either way)."""
     own = Window.partitionBy(key).orderBy(F.desc(order)) if key else Window.orderBy(F.desc(order))
+    points = points if key else points.orderBy(F.desc(order)).limit(14)
     last = points.withColumn("_r", F.row_number().over(own)).where("_r <= 14")
     grouped = last.groupBy(*([key] if key else [])).agg(F.avg(F.when(F.col("_r") <= 7, F.col(value))).alias("last7"), F.avg(F.when(F.col("_r") > 7, F.col(value))).alias("prior7"), F.count("*").alias("_n"))
     change = F.when((F.col("prior7") == 0) & (F.col("last7") == 0), 0).when(F.col("prior7") == 0, 100).otherwise(half_up((F.col("last7") - F.col("prior7")) / F.nullif(F.col("prior7"), F.lit(0.0)) * 100)).cast("int")

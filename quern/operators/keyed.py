@@ -80,9 +80,12 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[s
     return joined.select(key, "c.field", "c.old_value", "c.new_value").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
-def update_fields(current: DataFrame, edits: DataFrame, key: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(updated rows, audit rows) of edits (key, field, value); other fields than ``allowed`` are ignored, '' sets null."""
-    wanted = edits.where(F.col("field").isin(allowed)).groupBy(key).pivot("field", allowed).agg(F.last(F.struct(F.nullif(F.col("value"), F.lit("")).alias("v"))))
+def update_fields(current: DataFrame, edits: DataFrame, key: str, allowed: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(updated rows, audit rows) of edits (key, field, value); other fields than ``allowed`` are ignored, '' sets null.
+
+    Of several edits of a field the last by ``order`` counts, of equal ones the largest value.
+    """
+    wanted = edits.where(F.col("field").isin(allowed)).groupBy(key).pivot("field", allowed).agg(F.max_by(F.struct(F.nullif(F.col("value"), F.lit("")).alias("v")), F.struct(order, "value")))
     wanted = wanted.select(key, *(F.col(f).alias(f"_new_{f}") for f in allowed))
     after = current.join(wanted, key, "left")
     for f in allowed:
@@ -155,7 +158,8 @@ def collapse_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame
     """The first row of each key (by ``order``); rows whose key is null or '' all stay."""
     marked = df.withColumn("_key", F.nullif(key, F.lit("")))
     rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    return marked.withColumn("_rank", rank).where((F.col("_rank") == 1) | F.col("_key").isNull()).drop("_key", "_rank")
+    first = marked.where("_key IS NOT NULL").withColumn("_rank", rank).where("_rank = 1").drop("_key", "_rank")
+    return first.unionByName(marked.where("_key IS NULL").drop("_key"))
 
 
 def load_more(rows: DataFrame, seen: DataFrame, key: Column, seen_key: Column, order: list[Column], offset: int, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify, extract, nl, scalar
 from quern.operators import catalog, entity, evidence, geo, keyed, leads, secondary
+from quern.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -499,11 +500,10 @@ def places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
-    """Suppliers of keys divisible by 5 as points, all others as places."""
-    own = places(spark, d)
-    points = own.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("id"), "lat", "lon")
-    there = own.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), "kind")
-    return geo.within(points, there, km)
+    """Every supplier as a point, every customer as a place."""
+    k = F.col("c_custkey")
+    there = t(spark, d, "customer").select(k.alias("place"), (18.9 + (k * 53 % 9973) / 25000.0).alias("plat"), (72.8 + (k * 71 % 9967) / 25000.0).alias("plon"), (F.col("c_nationkey") % 6).alias("kind"))
+    return geo.within(places(spark, d).select(F.col("s_suppkey").alias("id"), "lat", "lon"), there, km)
 
 
 def all_pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
@@ -514,18 +514,22 @@ def all_pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
     return geo.within(points, there, km).where("id <> place")
 
 
-def all_pairs_sql(sql: str) -> str:
-    """An oracle over ``pairs`` as one over ``all_pairs``."""
-    return sql.replace("a.s_suppkey % 5 = 0 AND b.s_suppkey % 5 <> 0", "a.s_suppkey <> b.s_suppkey")
+SUPPLIER_PLACES = "SELECT s_suppkey AS id, 18.9 + (s_suppkey * 37 % 1000) / 2500.0 AS lat, 72.8 + (s_suppkey * 91 % 1000) / 2500.0 AS lon, s_nationkey % 6 AS kind FROM supplier"
+CUSTOMER_PLACES = "SELECT c_custkey AS id, 18.9 + (c_custkey * 53 % 9973) / 25000.0 AS lat, 72.8 + (c_custkey * 71 % 9967) / 25000.0 AS lon, c_nationkey % 6 AS kind FROM customer"
 
 
-def pairs_sql(km: float) -> str:
-    return f"""WITH s AS (SELECT s_suppkey, 18.9 + (s_suppkey * 37 % 1000) / 2500.0 AS lat, 72.8 + (s_suppkey * 91 % 1000) / 2500.0 AS lon, s_nationkey % 6 AS kind FROM supplier),
-h AS (SELECT a.s_suppkey AS id, b.s_suppkey AS place, b.kind, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
-  FROM s a JOIN s b ON a.s_suppkey % 5 = 0 AND b.s_suppkey % 5 <> 0),
+def pairs_sql(km: float, there: str = CUSTOMER_PLACES, fits: str = "true") -> str:
+    return f"""WITH s AS ({SUPPLIER_PLACES}), c AS ({there}),
+h AS (SELECT a.id, b.id AS place, b.kind, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h
+  FROM s a JOIN c b ON {fits}),
 p AS (SELECT id, place, kind, 2 * 6371.0 * asin(least(sqrt(h), 1.0)) AS km FROM h WHERE 2 * 6371.0 * asin(least(sqrt(h), 1.0)) <= {km})"""
 
 
+def all_pairs_sql(sql: str) -> str:
+    """An oracle over ``pairs`` as one over ``all_pairs``."""
+    return sql.replace(CUSTOMER_PLACES, SUPPLIER_PLACES).replace("ON true", "ON a.id <> b.id")
+
+
 @query(pairs_sql(5.0) + " SELECT id, place, round(km, 4) AS km FROM p")
 def haversine_within_radius(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d, 5.0).select("id", "place", F.round("km", 4).alias("km"))
@@ -553,7 +557,7 @@ def location_score_decay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def location_scores(near: DataFrame) -> DataFrame:
-    near = near.cache()
+    near = written(near, "pairs")
     names = list(geo.DIMENSIONS)
     dimension = F.element_at(F.array(*map(F.lit, names)), (F.col("kind") + 1).cast("int"))
     points = geo.location_score(near.withColumn("dim", dimension), "id", "dim", F.col("km") * 1000).select("id", "score")
@@ -625,6 +629,23 @@ def page_type_classify(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", classify.page_type(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), none, "url", none, none).alias("page_type"))
 
 
+LIFECYCLE_SAID = ["resale flat", "for rent", "ready to move", "newly launched", "pre-launch", "under construction", "near possession", "lease deed"]
+LIFECYCLE_SQL = [
+    ("RESALE", classify.RESALE), ("RENTAL", classify.RENTAL.replace(r"\blease\b(?!\s*deed)|", "")), ("READY_TO_MOVE", classify.READY), ("NEW_LAUNCH", classify.NEW_LAUNCH),
+    ("PRE_LAUNCH", classify.PRE_LAUNCH), ("UNDER_CONSTRUCTION", classify.UNDER_CONSTRUCTION), ("NEAR_POSSESSION", classify.NEAR_POSSESSION),
+]
+
+
+@query(
+    f"WITH q AS (SELECT doc_id, {LIFECYCLE_SAID!r}[doc_id % 8 + 1] || ' ' || coalesce(text, '') AS s FROM documents) SELECT doc_id, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?is){p}') THEN '{n}'" for n, p in LIFECYCLE_SQL)
+    + " ELSE 'UNKNOWN' END AS status FROM q"
+)
+def lifecycle_status(spark: SparkSession, d: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, LIFECYCLE_SAID)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return t(spark, d, "documents").select("doc_id", classify.lifecycle(said, "text", F.lit("2026-01-01").cast("date"))["status"].alias("status"))
+
+
 @query()
 def lifecycle_classify(spark: SparkSession, d: str) -> DataFrame:
     states = ["resale flat", "for rent", "ready to move", "newly launched", "pre-launch", "under construction", "near possession", "lease deed"]
@@ -633,14 +654,66 @@ def lifecycle_classify(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", found.alias("l")).select("doc_id", F.col("l.status").alias("status"), F.col("l.evidence").alias("evidence"))
 
 
-@query(r"""
-SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)metro') THEN 'Metro connectivity' END, CASE WHEN regexp_matches(text, '(?i)security|cctv') THEN 'Security' END,
-  CASE WHEN regexp_matches(text, '(?i)garden|park\b|landscap') THEN 'Green spaces' END, CASE WHEN regexp_matches(text, '(?i)\bgym') THEN 'Gym' END], lambda x: x IS NOT NULL), '|') AS points
-FROM documents""")
+AMENITIES_SQL = "CASE WHEN doc_id % 3 = 0 THEN ['Rooftop cafe', '', 'A reading room with more than thirty letters', 'Zen court', 'Fifth amenity'] ELSE []::VARCHAR[] END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {AMENITIES_SQL} AS a, doc_id % 2 = 0 AS rera, lower(coalesce(text, '') || ' ' || array_to_string({AMENITIES_SQL}, ' ')) AS s FROM documents),
+l AS (SELECT doc_id, list_filter([CASE WHEN rera THEN 'RERA Verified' END,
+  CASE WHEN regexp_matches(s, 'metro|tube|subway') THEN 'Metro Connectivity' END, CASE WHEN regexp_matches(s, 'oc received|occupancy certificate') THEN 'OC Received' END,
+  CASE WHEN regexp_matches(s, 'township|integrated') THEN 'Integrated Township' END, CASE WHEN regexp_matches(s, 'garden|landscape') THEN 'Landscaped Gardens' END,
+  CASE WHEN regexp_matches(s, 'club|clubhouse') THEN 'Clubhouse' END, CASE WHEN regexp_matches(s, 'pool|swimming') THEN 'Swimming Pool' END,
+  CASE WHEN regexp_matches(s, 'gym|fitness') THEN 'Fitness Centre' END, CASE WHEN regexp_matches(s, 'vastu') THEN 'Vastu Compliant' END,
+  CASE WHEN regexp_matches(s, 'nri') THEN 'NRI-Approved' END, CASE WHEN regexp_matches(s, 'green|eco|certified|leed') THEN 'Green Certified' END,
+  CASE WHEN regexp_matches(s, 'security|cctv|24.*hour') THEN '24/7 Security' END, CASE WHEN regexp_matches(s, 'smart home|automation') THEN 'Smart Home' END,
+  CASE WHEN regexp_matches(s, 'school|educat') THEN 'School Nearby' END, CASE WHEN regexp_matches(s, 'hospital|health') THEN 'Hospital Nearby' END,
+  CASE WHEN regexp_matches(s, 'mall|shopping') THEN 'Mall Access' END, CASE WHEN regexp_matches(s, 'highway|express') THEN 'Highway Access' END,
+  CASE WHEN regexp_matches(s, 'view|sea view|lake|hill') THEN 'Scenic Views' END] || list_filter(list_slice(a, 1, 4), lambda x: length(x) BETWEEN 1 AND 29), lambda x: x IS NOT NULL) AS l FROM d)
+SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 10), '|') AS points FROM l""")
 def usp_array_rules(spark: SparkSession, d: str) -> DataFrame:
-    wanted = ["Metro connectivity", "Security", "Green spaces", "Gym"]
-    found = classify.selling_points("text", F.lit(""), F.array().cast("array<string>"), 20)
-    return t(spark, d, "documents").select("doc_id", joined(F.array_intersect(F.array(*map(F.lit, wanted)), found), "|").alias("points"))
+    amenities = F.array(*map(F.lit, ["Rooftop cafe", "", "A reading room with more than thirty letters", "Zen court", "Fifth amenity"]))
+    own = F.when(F.col("doc_id") % 3 == 0, amenities).otherwise(F.array().cast("array<string>"))
+    return t(spark, d, "documents").select("doc_id", joined(classify.selling_points("text", F.when(F.col("doc_id") % 2 == 0, "P51800012345"), own), "|").alias("points"))
+
+
+@query(r"""
+WITH q AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN floor(p_retailprice / (8 + p_partkey % 3 * 8)) END AS price,
+    CASE p_partkey % 4 WHEN 0 THEN '1 BHK, 2 BHK' WHEN 1 THEN '3 bhk' WHEN 2 THEN '2 BHK and 4 BHK' ELSE 'Studio' END AS config, p_partkey % 2 = 0 AS rera,
+    [' near the IT Park', ' luxury homes', ' affordable entry', ' garden and hospital', ' on the first road', ' high-end', ''][p_partkey % 7 + 1] AS text FROM part),
+r AS (SELECT k, CASE WHEN price < 75 THEN 'affordable' WHEN price <= 150 THEN 'mid' WHEN price IS NOT NULL THEN 'premium' END AS tier, lower(text) AS text, rera, k % 4 IN (0, 2) AS small, k % 4 IN (1, 2) AS large FROM q),
+f AS (SELECT k, tier, unnest([
+  {'pos': 0, 'segment': 'Young Professionals (28–38)', 'fit': CASE WHEN small THEN 'High' WHEN large THEN 'Low' ELSE 'Medium' END},
+  {'pos': 1, 'segment': 'Upgrade Buyers (35–50)', 'fit': CASE WHEN large THEN 'High' WHEN small THEN 'Low' ELSE 'Medium' END},
+  {'pos': 2, 'segment': 'First-Time Homebuyers', 'fit': CASE WHEN tier = 'affordable' THEN 'High' WHEN tier = 'mid' THEN 'Medium' WHEN tier = 'premium' THEN 'Low' WHEN regexp_matches(text, 'affordable|entry|first') THEN 'Medium' ELSE 'Low' END},
+  {'pos': 3, 'segment': 'HNI / Luxury Segment', 'fit': CASE WHEN tier = 'premium' THEN 'High' WHEN tier = 'mid' THEN 'Medium' WHEN tier = 'affordable' THEN 'Low' WHEN regexp_matches(text, 'luxury|premium|high-end') THEN 'Medium' ELSE 'Low' END},
+  {'pos': 4, 'segment': 'NRI Investors', 'fit': CASE WHEN rera AND coalesce(tier, '') <> 'affordable' THEN 'High' ELSE 'Medium' END},
+  {'pos': 5, 'segment': 'Retirees / Senior Living', 'fit': CASE WHEN regexp_matches(text, 'garden|clubhouse|senior|ground floor|hospital|park') THEN 'Medium' ELSE 'Low' END},
+  {'pos': 6, 'segment': 'IT Professionals', 'fit': CASE WHEN regexp_matches(text, 'it park|tech park|software|wipro|tcs|infosys|hinjewadi|whitefield') THEN 'High' WHEN small THEN 'Medium' ELSE 'Low' END}]) AS s FROM r)
+SELECT k AS p_partkey, any_value(tier) AS tier, string_agg(s.segment || '=' || s.fit, '|' ORDER BY CASE s.fit WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, s.pos) AS fits FROM f GROUP BY k""")
+def audience_fit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    said = F.element_at(F.array(*map(F.lit, [" near the IT Park", " luxury homes", " affordable entry", " garden and hospital", " on the first road", " high-end", ""])), (k % 7 + 1).cast("int"))
+    price = F.when(k % 5 != 0, F.floor(F.col("p_retailprice") / (8 + k % 3 * 8)))
+    config = F.when(k % 4 == 0, "1 BHK, 2 BHK").when(k % 4 == 1, "3 bhk").when(k % 4 == 2, "2 BHK and 4 BHK").otherwise("Studio")
+    fits = classify.audiences(said, F.array().cast("array<string>"), F.when(k % 2 == 0, "P51800012345"), price, F.lit(None).cast("long"), config)
+    return t(spark, d, "part").select(k, classify.budget_tier(price, F.lit(None).cast("long")).alias("tier"), joined(F.transform(fits, lambda x: F.concat(x["segment"], F.lit("="), x["fit"])), "|").alias("fits"))
+
+
+@query(r"""
+WITH q AS (SELECT s_suppkey, ['lodging', 'apartment_complex', 'bank', 'vacation_rental_agency', 'premise'][s_suppkey % 5 + 1] AS kind,
+  ['Sea Tower', 'Ain View Studio (Holiday Rental)', 'OYO Rooms Marol', 'Blue Holiday Homes', 'Oyola Heights', 'Short-term rental Bay', 'Serviced Apartments JBR'][s_suppkey % 7 + 1] AS name,
+  ['https://www.booking.com/x', NULL, 'https://agoda.com', 'https://sea.in'][s_suppkey % 4 + 1] AS site FROM supplier)
+SELECT s_suppkey, kind IN ('lodging', 'hotel', 'travel_agency', 'vacation_rental_agency') OR s_suppkey % 7 IN (1, 2, 3, 5, 6) OR s_suppkey % 4 IN (0, 2) AS booking, kind IN ('lodging', 'bank') AS other FROM q""")
+def place_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+
+    def one(values: list[str | None]) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+    kinds = F.array(one(["lodging", "apartment_complex", "bank", "vacation_rental_agency", "premise"]), F.lit("establishment"))
+    name = one(["Sea Tower", "Ain View Studio (Holiday Rental)", "OYO Rooms Marol", "Blue Holiday Homes", "Oyola Heights", "Short-term rental Bay", "Serviced Apartments JBR"])
+    site = one(["https://www.booking.com/x", None, "https://agoda.com", "https://sea.in"])
+    return t(spark, d, "supplier").select(k, classify.excluded_place(kinds, name, site).alias("booking"), classify.non_residential(kinds).alias("other"))
 
 
 @query("SELECT page_id, url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS r FROM pages) WHERE r = 1")

@@ -51,10 +51,34 @@ def test_events_validate_ingest_and_adopt(frame):
 
 def test_update_fields_audits(frame):
     now = frame([(1, "a", "b"), (2, "c", None)], "id long, name string, notes string")
-    edits = frame([(1, "name", "z"), (1, "notes", ""), (2, "phone", "9"), (2, "name", "c")], "id long, field string, value string")
-    after, audit = keyed.update_fields(now, edits, "id", ["name", "notes"])
-    assert rows(after) == [(1, "z", None), (2, "c", None)]
-    assert rows(audit) == [(1, "name", "a", "z"), (1, "notes", "b", None)]
+    edits = [(1, "name", "y", 1), (1, "name", "z", 2), (1, "notes", "", 3), (2, "phone", "9", 4), (2, "name", "c", 5)]
+    for own in (edits, edits[::-1]):
+        after, audit = keyed.update_fields(now, frame(own, "id long, field string, value string, seq long"), "id", ["name", "notes"], "seq")
+        assert rows(after) == [(1, "z", None), (2, "c", None)]
+        assert rows(audit) == [(1, "name", "a", "z"), (1, "notes", "b", None)]
+
+
+def test_radius_over_the_meridian(frame):
+    import math
+    import random
+
+    rng = random.Random(1)
+    spots = [(k, rng.uniform(-60, 60) if k % 2 else rng.uniform(10, 11), (rng.uniform(179, 181) + 180) % 360 - 180) for k in range(150)] + [(200, 0.0, 179.999), (201, 0.0, -179.999), (202, 0.0, -180.0), (203, 0.0, 180.0)]
+    a = frame(spots, "id long, lat double, lon double")
+    b = frame([(k, x, y) for k, x, y in spots], "place long, plat double, plon double")
+
+    def km(p, q):
+        h = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+    for radius in (3.0, 40.0):
+        got = sorted((r.id, r.place) for r in geo.within(a, b, radius).collect())
+        assert got == sorted((p[0], q[0]) for p in spots for q in spots if km(p, q) <= radius)
+
+
+def test_collapse_keeps_rows_without_key(frame):
+    df = frame([("a", 2), ("a", 1), (None, 3), ("", 4)], "k string, seq long")
+    assert sorted(r.seq for r in keyed.collapse_first(df, F.col("k"), [F.col("seq")]).collect()) == [1, 3, 4]
 
 
 def test_retention_is_per_key(frame):
