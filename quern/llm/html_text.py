@@ -217,13 +217,14 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def stop_share(blocks_: list[Block]) -> float:
-    words = [w for b in blocks_ for w in _WORD.findall(b.text.lower())]
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
 
-def first_pass(b: Block, rules: Rules, known: bool = True) -> str:
-    """``known``: whether stop words of the page's language are known."""
+def first_pass(b: Block, rules: Rules, stop: float | None) -> str:
+    """``stop``: the share of stop words; None if those of the page's language are not known."""
     size = len(b.text)
     links = b.links / size
     if b.place == "out":
@@ -232,7 +233,8 @@ def first_pass(b: Block, rules: Rules, known: bool = True) -> str:
         return GOOD if b.heading else BAD
     if links > (rules.links_inside if b.place == "in" else rules.links):
         return BAD
-    stop = stop_share([b]) if known else rules.stop_high if size >= rules.short else 0.0
+    if stop is None:
+        stop = rules.stop_high if size >= rules.short else 0.0
     if b.marked and (size < rules.short or stop < rules.stop_high):
         return BAD
     if b.place == "in":
@@ -285,8 +287,10 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     found = blocks(page or "")
-    known = stop_share([b for b in found if b.place != "out" and b.links < rules.links * len(b.text)]) >= rules.known
-    labels = [first_pass(b, rules, known) for b in found]
+    counts = [(0, 0) if b.place == "out" else stop_words(b.text) for b in found]
+    unlinked = [c for b, c in zip(found, counts, strict=True) if b.links < rules.links * len(b.text)]
+    known = sum(s for s, _ in unlinked) >= rules.known * max(1, sum(n for _, n in unlinked))
+    labels = [first_pass(b, rules, s / max(1, n) if known else None) for b, (s, n) in zip(found, counts, strict=True)]
     return "\n".join(b.text for b, stays in zip(found, second_pass(found, labels), strict=True) if stays)
 
 
