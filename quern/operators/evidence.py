@@ -186,6 +186,12 @@ def gaps(properties: DataFrame, key: str, wanted: list[str] = (), weak: Column |
     return out.where(F.size("missing_fields") > 0)
 
 
+def gap_candidates(candidates: DataFrame, gap_rows: DataFrame, name: str, candidate: str, order: str) -> DataFrame:
+    """Candidates that have a gap row of their name, with its columns; of several the last by ``order`` counts."""
+    last = gap_rows.groupBy(F.col(candidate).alias("_name")).agg(F.max_by(F.struct(*(c for c in gap_rows.columns if c != candidate)), order).alias("_g"))
+    return candidates.join(last, F.col(name) == F.col("_name")).select(*candidates.columns, "_g.*")
+
+
 def gap_queries(gap_rows: DataFrame, name: str, area: str = "", most: int = 5) -> DataFrame:
     """Research queries of a candidate's gaps: name, gap, area; five at most."""
     words = F.transform("missing_fields", lambda f: F.trim(F.concat_ws(" ", F.col(name), F.replace(f, F.lit("_"), F.lit(" ")), F.lit(area))))

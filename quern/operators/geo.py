@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import half_up, haversine_km
+from quern.functions.scalar import in_box, half_up, haversine_km
 
 # Weight, full points within and none beyond (metres), by dimension.
 DIMENSIONS = {"rail_metro": (30, 800, 3000), "bus": (10, 300, 1200), "education": (15, 800, 2500), "healthcare": (15, 1000, 3000), "retail": (20, 1000, 3000), "green": (10, 600, 2000)}
@@ -50,6 +50,25 @@ def within(points: DataFrame, places: DataFrame, radius_km: float, *, lat: str =
     return near.join(there, ["_band", "_cell"]).drop("_band", "_cell").withColumn("km", haversine_km(lat, lon, plat, plon)).where(F.col("km") <= radius_km)
 
 
+# The box of the metropolitan belt (south, west, north, east); ranks of kinds of places.
+METRO_BOX = (18.2, 72.6, 19.6, 74.3)
+TYPE_RANK = {
+    "Railway/Metro Station": 0, "Locality": 1, "City": 1, "Town": 2, "Transit Stop": 2, "Residential Area": 2, "Street": 3, "Landmark": 3, "Commercial Area": 3,
+    "Area": 4, "Village": 5,
+}
+
+
+def location_results(rows: DataFrame, order: str, *, belt: bool = True) -> DataFrame:
+    """Found places (name, type, area, lat, lon) with ``rank``: the first of each name and area, those of the belt first, then by kind; sort by (rank, ``order``)."""
+    from quern.operators.keyed import collapse_first
+
+    named = rows.where(F.coalesce("name", F.lit("")) != "")
+    once = collapse_first(named, F.lower(F.concat_ws("|", "name", F.coalesce("area", F.lit("")))), [F.col(order)])
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in TYPE_RANK.items() for x in p)), F.col("type")), F.lit(6))
+    inside = F.coalesce(in_box("lat", "lon", *METRO_BOX), F.lit(False)) if belt else F.lit(False)
+    return once.withColumn("rank", F.when(inside, 0).otherwise(10) + kind)
+
+
 def widened(points: DataFrame, places: DataFrame, key: str, radius_km: float, wider_km: float, least: int) -> DataFrame:
     """Pairs within the radius, or the wider one for points with fewer than ``least`` within the first."""
     pairs = within(points, places, wider_km)

@@ -162,6 +162,12 @@ def collapse_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame
     return first.unionByName(marked.where("_key IS NULL").drop("_key"))
 
 
+def append_page(previous: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """The rows so far and those of a page whose key is not among them; rows of the page without key all come."""
+    known = previous.where(F.col(key).isNotNull()).select(key).distinct()
+    return previous.unionByName(page.join(known, key, "left_anti").select(*previous.columns))
+
+
 def load_more(rows: DataFrame, seen: DataFrame, key: Column, seen_key: Column, order: list[Column], offset: int, n: int) -> DataFrame:
     """The next n rows that were not seen (keys compared in lower case)."""
     known = seen.select(F.lower(seen_key).alias("_seen")).distinct()

@@ -279,3 +279,53 @@ TITLES = ["12+ flats", "Rivali Park", "Lodha Group Mumbai", "Godrej Horizon", "B
 def title_filters(spark: SparkSession, d: str) -> DataFrame:
     title = one_of(F.col("p_partkey"), TITLES)
     return t(spark, d, "part").select("p_partkey", secondary.generic_title(title).alias("generic"), secondary.corporate_name(title).alias("company"))
+
+
+# ---- results of several sources
+
+
+@query("""WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'http://x.com/' || l_partkey END AS url, l_returnflag AS source, 'Tower ' || l_suppkey AS name FROM lineitem)
+SELECT seq, url, source, name FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE source || ':' || name END ORDER BY seq) AS r FROM q) WHERE r = 1""")
+def cross_connector_dedup(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("l_partkey")
+    rows = t(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(part % 3 == 0, "").otherwise(F.concat(F.lit("http://x.com/"), part.cast("string"))).alias("url"),
+        F.col("l_returnflag").alias("source"), F.concat(F.lit("Tower "), F.col("l_suppkey").cast("string")).alias("name"),
+    )
+    return secondary.once_by_url(rows, "seq")
+
+
+PLACE_KINDS = ["Railway/Metro Station", "Village", "Street", "Palace", "City"]
+
+
+@query(f"""WITH q AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'Place ' || (c_custkey % 97) END AS name, {sql_of('c_custkey', PLACE_KINDS)} AS kind, 'Area ' || (c_nationkey % 5) AS area,
+    18.0 + c_custkey % 20 / 10.0 AS lat, 72.5 + c_custkey % 7 / 10.0 AS lon FROM customer),
+f AS (SELECT *, row_number() OVER (PARTITION BY lower(name || '|' || area) ORDER BY seq) AS r FROM q WHERE name <> '')
+SELECT seq, name, area, CASE WHEN lat BETWEEN 18.2 AND 19.6 AND lon BETWEEN 72.6 AND 74.3 THEN 0 ELSE 10 END + CASE kind WHEN 'Railway/Metro Station' THEN 0 WHEN 'Village' THEN 5 WHEN 'Street' THEN 3 WHEN 'City' THEN 1 ELSE 6 END AS rank FROM f WHERE r = 1""")
+def location_results(spark: SparkSession, d: str) -> DataFrame:
+    from quern.operators import geo
+
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer").select(
+        k.alias("seq"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("Place "), (k % 97).cast("string"))).alias("name"), one_of(k, PLACE_KINDS).alias("type"),
+        F.concat(F.lit("Area "), (F.col("c_nationkey") % 5).cast("string")).alias("area"), (18.0 + k % 20 / 10.0).alias("lat"), (72.5 + k % 7 / 10.0).alias("lon"),
+    )
+    return geo.location_results(rows, "seq").select("seq", "name", "area", "rank")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, nullif(o_custkey % 500, 7) AS id FROM orders WHERE o_orderstatus = 'O'), n AS (SELECT o_orderkey AS k, nullif(o_custkey % 900, 7) AS id FROM orders WHERE o_orderstatus <> 'O')
+SELECT * FROM p UNION ALL SELECT * FROM n WHERE id IS NULL OR id NOT IN (SELECT id FROM p WHERE id IS NOT NULL)""")
+def append_page(spark: SparkSession, d: str) -> DataFrame:
+    def page(open_: bool, n: int) -> DataFrame:
+        rows = t(spark, d, "orders").where((F.col("o_orderstatus") == "O") == open_)
+        return rows.select(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_custkey") % n, F.lit(7).cast("long")).alias("id"))
+
+    return keyed.append_page(page(True, 500), page(False, 900), "id")
+
+
+@query("""WITH g AS (SELECT p_brand AS candidate, arg_max(p_type, p_partkey) AS missing, max(p_partkey) AS seq FROM part WHERE p_size > 48 GROUP BY 1)
+SELECT p_partkey, missing, seq FROM part JOIN g ON p_brand = candidate""")
+def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "part")
+    gaps = rows.where("p_size > 48").select(F.col("p_brand").alias("candidate"), F.col("p_type").alias("missing"), F.col("p_partkey").alias("seq"))
+    return evidence.gap_candidates(rows, gaps, "p_brand", "candidate", "seq").select("p_partkey", "missing", "seq")
