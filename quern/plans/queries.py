@@ -502,7 +502,7 @@ def places(spark: SparkSession, d: str) -> DataFrame:
 def pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
     """Every supplier as a point, every customer as a place."""
     k = F.col("c_custkey")
-    there = t(spark, d, "customer").select(k.alias("place"), (18.9 + (k * 53 % 9973) / 25000.0).alias("plat"), (72.8 + (k * 71 % 9967) / 25000.0).alias("plon"), (F.col("c_nationkey") % 6).alias("kind"))
+    there = t(spark, d, "customer").select(k.alias("place"), (18.9 + (k * 53 % 9973) / 5000.0).alias("plat"), (72.8 + (k * 71 % 9967) / 5000.0).alias("plon"), (F.col("c_nationkey") % 6).alias("kind"))
     return geo.within(places(spark, d).select(F.col("s_suppkey").alias("id"), "lat", "lon"), there, km)
 
 
@@ -515,7 +515,7 @@ def all_pairs(spark: SparkSession, d: str, km: float) -> DataFrame:
 
 
 SUPPLIER_PLACES = "SELECT s_suppkey AS id, 18.9 + (s_suppkey * 37 % 1000) / 2500.0 AS lat, 72.8 + (s_suppkey * 91 % 1000) / 2500.0 AS lon, s_nationkey % 6 AS kind FROM supplier"
-CUSTOMER_PLACES = "SELECT c_custkey AS id, 18.9 + (c_custkey * 53 % 9973) / 25000.0 AS lat, 72.8 + (c_custkey * 71 % 9967) / 25000.0 AS lon, c_nationkey % 6 AS kind FROM customer"
+CUSTOMER_PLACES = "SELECT c_custkey AS id, 18.9 + (c_custkey * 53 % 9973) / 5000.0 AS lat, 72.8 + (c_custkey * 71 % 9967) / 5000.0 AS lon, c_nationkey % 6 AS kind FROM customer"
 
 
 def pairs_sql(km: float, there: str = CUSTOMER_PLACES, fits: str = "true") -> str:
