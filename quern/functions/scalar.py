@@ -243,7 +243,10 @@ def contains_any(hay: ColumnOrName, terms: ColumnOrName) -> Column:
 def context_of(text: ColumnOrName, pattern: str, around: int = 25) -> Column:
     """The first match with up to ``around`` characters on both sides, trimmed; null without one."""
     t = F.coalesce(col(text), F.lit(""))
-    return F.nullif(F.trim(F.regexp_extract(t, rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0)), F.lit(""))
+    hit = F.regexp_extract(t, f"(?is){pattern}", 0)
+    before = F.length(F.regexp_extract(t, f"(?is)^(.*?)(?:{pattern})", 1))
+    start = F.greatest(before - around, F.lit(0))
+    return F.when(hit != "", F.trim(F.substring(t, start + 1, before - start + F.length(hit) + around)))
 
 
 # ---- keys, URLs, hashes
