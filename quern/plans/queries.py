@@ -399,7 +399,14 @@ def exact_key_merge_gapfill(spark: SparkSession, d: str) -> DataFrame:
     return entity.exact_merge(rows, fields=["developer"]).select("id", "name", "location", "developer", "match_score")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS seq, list_distinct(string_split(p_name, ' ')) AS t, replace(lower(p_brand), '#', '') AS loc, replace(p_name, ' ', '') AS name,
+  CASE WHEN p_partkey % 50 = 0 THEN 'P51800' || lpad(CAST(p_partkey % 400 AS VARCHAR), 6, '0') END AS rera FROM part),
+x AS (SELECT min(seq) OVER (PARTITION BY rera) AS a, seq AS b FROM r WHERE rera IS NOT NULL UNION ALL SELECT min(seq) OVER (PARTITION BY name, loc), seq FROM r),
+late AS (SELECT DISTINCT b FROM x WHERE a <> b),
+e AS MATERIALIZED (SELECT a, b FROM x WHERE a <> b UNION SELECT p.seq, q.seq FROM r p JOIN r q ON p.seq < q.seq AND list_has_any(p.t, q.t) AND (contains(p.loc, q.loc) OR contains(q.loc, p.loc))
+  WHERE len(list_intersect(p.t, q.t)) >= 0.5 * (len(p.t) + len(q.t) - len(list_intersect(p.t, q.t))) AND q.seq NOT IN (SELECT b FROM late)),
+reach AS (SELECT seq, seq AS r FROM r UNION SELECT reach.seq, n.b FROM reach JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) n ON n.a = reach.r)
+SELECT seq, min(r) AS "group" FROM reach GROUP BY seq""")
 def entity_components(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "part").select(
         F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_brand").alias("location"), F.lit("").alias("developer"),
@@ -646,10 +653,17 @@ def lifecycle_status(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", classify.lifecycle(said, "text", F.lit("2026-01-01").cast("date"))["status"].alias("status"))
 
 
-@query()
+@query(
+    f"WITH q AS (SELECT doc_id, trim({LIFECYCLE_SAID!r}[doc_id % 8 + 1] || ' ' || coalesce(text, '')) AS s FROM documents), c AS (SELECT *, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?is){p}') THEN '{n}'" for n, p in LIFECYCLE_SQL)
+    + " ELSE 'UNKNOWN' END AS status, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?is){p}') THEN length(regexp_extract(s, '(?is)^(.*?)(?:{p})', 1))" for _, p in LIFECYCLE_SQL)
+    + " END AS b, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?is){p}') THEN length(regexp_extract(s, '(?is){p}'))" for _, p in LIFECYCLE_SQL)
+    + " END AS n FROM q) SELECT doc_id, status, trim(substr(s, greatest(b - 25, 0) + 1, b - greatest(b - 25, 0) + n + 25)) AS evidence FROM c"
+)
 def lifecycle_classify(spark: SparkSession, d: str) -> DataFrame:
-    states = ["resale flat", "for rent", "ready to move", "newly launched", "pre-launch", "under construction", "near possession", "lease deed"]
-    said = F.element_at(F.array(*map(F.lit, states)), (F.col("doc_id") % 8 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, LIFECYCLE_SAID)), (F.col("doc_id") % 8 + 1).cast("int"))
     found = classify.lifecycle(said, "text", F.lit("2026-01-01").cast("date"))
     return t(spark, d, "documents").select("doc_id", found.alias("l")).select("doc_id", F.col("l.status").alias("status"), F.col("l.evidence").alias("evidence"))
 

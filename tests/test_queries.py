@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+import quern.plans.facts  # noqa: F401  adds its queries
 import quern.plans.listings  # noqa: F401  adds its queries
 from quern.plans.queries import ORACLE, QUERIES
 
