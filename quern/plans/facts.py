@@ -9,6 +9,7 @@ from quern.functions import classify, extract, names, nl, scalar
 from quern.operators import catalog, evidence, gazetteer, secondary
 from quern.plans.listings import one_of, sql_of
 from quern.plans.queries import joined, query, t
+from quern.sources import stores
 
 # ---- facts
 
@@ -182,3 +183,78 @@ def cities_of_places(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey, contains(lower(p_name), 'red') OR contains(lower(p_name), 'blue') AS wanted FROM part""")
 def amenity_matches(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", scalar.contains_any(F.lower("p_name"), F.array(F.lit("RED"), F.lit("blue"))).alias("wanted"))
+
+
+# ---- caches, snapshots and sources
+
+
+@query("""WITH n AS (SELECT max(o_orderkey) AS k FROM orders)
+SELECT CAST(l_linenumber AS BIGINT) AS line, CAST(l_partkey AS BIGINT) AS part FROM lineitem JOIN n ON l_orderkey = k""")
+def snapshot_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as snapshots of their lines: the lines of the newest."""
+    items = F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").cast("long").alias("part")))
+    snapshots = t(spark, d, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))
+    newest = t(spark, d, "orders").agg(F.max("o_orderkey").alias("l_orderkey"))
+    return stores.latest_snapshot(newest.join(snapshots, "l_orderkey"), "l_orderkey", "items")
+
+
+@query("""WITH s AS (SELECT p_brand AS id, count(*) AS n, count(*) FILTER (p_size > 25) AS n_rera FROM part GROUP BY 1) SELECT * FROM s ORDER BY n DESC, n_rera DESC, id DESC LIMIT 1""")
+def snapshot_best(spark: SparkSession, d: str) -> DataFrame:
+    stats = t(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("n_rera"))
+    return stores.best_snapshot(stats)
+
+
+@query("""SELECT o_orderkey, o_orderdate < DATE '1995-05-31' AS stale FROM orders""")
+def cache_staleness(spark: SparkSession, d: str) -> DataFrame:
+    return stores.fresh(t(spark, d, "orders").select("o_orderkey", F.to_timestamp(F.col("o_orderdate").cast("date")).alias("at")), "at", F.lit("1995-06-01").cast("timestamp"), 24).select("o_orderkey", "stale")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'a' WHEN c_custkey % 3 = 0 THEN 'b' ELSE 'c' END AS place, CASE WHEN c_custkey % 2 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS source_rank FROM customer""")
+def geocode_chain(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "customer").select("c_custkey")
+    parts = [rows.where("c_custkey % 2 = 0").withColumn("place", F.lit("a")), rows.where("c_custkey % 3 = 0").withColumn("place", F.lit("b")), rows.withColumn("place", F.lit("c"))]
+    return stores.first_source(parts, "c_custkey")
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_regionkey <> 1 THEN n_name END AS registered_name, n_regionkey <> 1 AS registered FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def register_lookup(spark: SparkSession, d: str) -> DataFrame:
+    code = F.concat(F.lit("p5180000000"), F.col("s_nationkey").cast("string"))
+    register = t(spark, d, "nation").where("n_regionkey <> 1").select(F.concat(F.lit("P5180000000"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"), F.lit("x").alias("promoter"))
+    return stores.register_check(t(spark, d, "supplier").select("s_suppkey", code.alias("rera")), register).select("s_suppkey", "registered_name", "registered")
+
+
+@query("""WITH r AS (SELECT o_custkey, max(o_orderpriority) AS tip FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN coalesce(tip, 'TBD') ELSE c_mktsegment END AS status FROM customer LEFT JOIN r ON c_custkey = o_custkey""")
+def intel_gap_fill(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    intel = t(spark, d, "customer").select(k, F.when(k % 3 == 0, "TBD").otherwise(F.col("c_mktsegment")).alias("status"))
+    research = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("status"))
+    return secondary.merged_intel(intel, research, "c_custkey", ["status"], {"status": "TBD"})
+
+
+@query("""SELECT l_orderkey, 'P518' || lpad(CAST(arg_min(l_partkey, (l_linenumber, l_partkey)) AS VARCHAR), 8, '0') AS rera FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 2 = 0 GROUP BY 1""")
+def registration_first_hit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey")
+    said = F.when(k % 2 == 0, F.concat(F.lit("registered as P518"), F.lpad(k.cast("string"), 8, "0"), F.lit("."))).otherwise("no number")
+    return secondary.first_hit(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", said.alias("text")), "l_orderkey", "text", "l_linenumber")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)
+SELECT p_partkey, peer, pos FROM (SELECT a.p_partkey, b.p_partkey AS peer, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.r) AS pos FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) WHERE pos <= 5""")
+def peers_of_source(spark: SparkSession, d: str) -> DataFrame:
+    return secondary.other_rows(t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("source")), "p_partkey").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""SELECT p_partkey AS id, 'https://www.portal.com/' || p_partkey AS listing_url FROM part WHERE p_size > 10 AND p_partkey % 4 = 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0) ORDER BY 1 LIMIT 6""")
+def enrichment_queue(spark: SparkSession, d: str) -> DataFrame:
+    def url(k: str) -> F.Column:
+        return F.concat(F.when(F.col(k) % 2 == 1, "https://www.portal.com/").otherwise("https://x.org/"), F.col(k).cast("string"))
+
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when((F.col("p_size") <= 10) | (F.col("p_partkey") % 4 == 3), "P51800012345").alias("rera"), url("p_partkey").alias("listing_url"))
+    tried = t(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 10 = 0").select(url("l_partkey").alias("listing_url"))
+    return secondary.enrichment_batch(rows, tried, ["portal.com"]).select("id", "listing_url")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (c_custkey % 3 > 0) AS housing_total, count(*) FILTER (c_custkey % 3 = 0) AS meta_total FROM customer""")
+def crm_totals(spark: SparkSession, d: str) -> DataFrame:
+    return secondary.crm_summary(t(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).otherwise("-").alias("project_name")))
