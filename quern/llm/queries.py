@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, decontaminate, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, token_store, url_filter
+from quern.llm import chat_format, decontaminate, hmm_lm, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -227,3 +227,14 @@ pairs AS MATERIALIZED (
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id)
 """
+
+
+def _lm(spark: SparkSession, sf_dir: str) -> tuple[hmm_lm.Corpus, DataFrame]:
+    corpus = hmm_lm.prepare(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return corpus, hmm_lm.score(corpus, hmm_lm.train(corpus))
+
+
+@query
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _lm(spark, sf_dir)[1]
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
