@@ -3,7 +3,7 @@
 Tokens are words (ASCII letters in lower case) and one end. A state emits a
 *class*, a class a token. Common words, those with at least one of
 ``common_share`` training tokens, are classes of their own, and so is the end;
-all others share the class of their ending (crc32 of the last three bytes, modulo
+all others share the class of their ending (a hash of the last three bytes, modulo
 ``endings``). So there are at most ``common_share + endings + 1`` classes however
 large the vocabulary is, and the model that goes to the executors has a proven
 size; what is counted of words is never collected, but joined.
@@ -25,7 +25,7 @@ list of its words that are not common. Those are joined with the counts; a commo
 word, however many rows hold it, is never shuffled.
 
 Defined results: a null text is empty; an empty text has its end only; a very long
-one is split into words a megabyte at a time and goes through the model by segments;
+one is split by Arrow, into no Python objects, and goes through the model by segments;
 repeated rows and rows of equal or null id are scored each (the key of a row is its
 own, written once); without training rows no word is known, ``base_score`` is
 0, and the model gives all classes nearly the same share; an empty table gives no
@@ -34,21 +34,19 @@ rows; columns that are not named are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._io import frugal, stored
 
 END = 0
-_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_MIX = 2_654_435_761
 
 
 @dataclass(frozen=True)
@@ -58,7 +56,7 @@ class Shape:
     states: int = 8
     common_share: int = 10_000
     endings: int = 4096
-    rounds: int = 6
+    rounds: int = 4
     prior: float = 100.0
     segment: int = 512
     seed: int = 11
@@ -106,38 +104,54 @@ class Corpus:
     vocabulary: Vocabulary
 
 
-def words_in(data: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Words of a text, some megabytes at a time."""
-    at, n = 0, len(data)
-    while at < n:
-        cut = n if n - at <= most else (found.start() if (found := _WHITE.search(data, at + most)) else n)
-        yield data[at:cut].lower().split()
-        at = cut
+def words_of(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Words of some megabytes of consecutive texts at a time.
 
-
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:])
-
-
-def count_words(texts: DataFrame, hold: int = 200_000) -> DataFrame:
-    """``(word, n)`` of a table of one column; the empty word stands for ends. Tasks add up what they see."""
+    The first text's index, distinct words, the number in these of each token, and
+    where each text's tokens end. A longer text is taken whole.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n = 0, len(texts)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right"))))
+        own = texts.take(pa.array(range(i, j))).cast(pa.large_string())  # a copy: ascii_lower is wrong on slices
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        some = pc.not_equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[at]  # white space at a text's edges leaves empty words
+        ends = np.concatenate(([0], np.cumsum(some)))[np.asarray(split.offsets)[1:] - split.offsets[0].as_py()]
+        yield i, coded.dictionary, at[some], ends
+        i = j
+
+
+def endings_of(words: pa.Array, endings: int) -> np.ndarray:
+    """The class, from 0 on, of each word's last three bytes."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    key = np.zeros(len(words), dtype=np.int64)
+    for k in (1, 2, 3):
+        there = ends[1:] - k >= ends[:-1]
+        key[there] |= data[ends[1:][there] - k].astype(np.int64) << (8 * (k - 1))
+    return ((key * _MIX) & 0xFFFFFFFF) % endings
+
+
+def ending_column(word: str, endings: int) -> Column:
+    """``endings_of`` in SQL."""
+    key = F.coalesce(F.conv(F.hex(F.expr(f"substring({word}, -3, 3)")), 16, 10).cast("long"), F.lit(0))
+    return ((key * _MIX).bitwiseAND(0xFFFFFFFF) % endings).cast("int")
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``(word, n)`` of a table of one column; the empty word stands for ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column(0):
-                for words in words_in(text.as_py() or b""):
-                    held.update(words)
-                held[b""] += 1
-                if len(held) > hold:
-                    yield flushed()
-        yield flushed()
+            for _, words, at, ends in words_of(batch.column(0)):
+                n = np.bincount(at, minlength=len(words))
+                there = np.flatnonzero(n)
+                words = pa.concat_arrays([words.take(pa.array(there)).cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
+                yield pa.record_batch([words.cast(pa.binary()), pa.array(np.append(n[there], len(ends)))], names=["word", "n"])
 
     return texts.mapInArrow(frugal(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -149,7 +163,7 @@ def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
     ends = sum(r["n"] for r in rows if not r["word"])
     common = sorted(((bytes(r["word"]), r["n"]) for r in rows if r["word"]), key=lambda x: (-x[1], x[0]))
     rest = counts.where(~is_common & (F.octet_length("word") > 0))
-    shared = rest.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % shape.endings).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    shared = rest.groupBy(ending_column("word", shape.endings).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     own = np.zeros(1 + len(common) + shape.endings)
     own[0] = ends
     own[1 : 1 + len(common)] = [c for _, c in common]
@@ -159,17 +173,6 @@ def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
     return Vocabulary(shape, n, v, {w: k + 1 for k, (w, _) in enumerate(common)}, own, weights)
 
 
-class _Codes(dict):
-    """Classes of words; what is not common is worked out, not kept."""
-
-    def __init__(self, v: Vocabulary) -> None:
-        super().__init__(v.common)
-        self.first, self.endings = v.first_shared, v.shape.endings
-
-    def __missing__(self, word: bytes) -> int:
-        return self.first + ending(word) % self.endings
-
-
 ENCODED = (
     "row long, id long, training boolean, n_tokens long, n_known long, log_common double, log_shared double, "
     "codes binary, rare array<struct<word: binary, n: long>>"
@@ -183,37 +186,37 @@ def encode(docs: DataFrame, v: Vocabulary, training: Column, id_col: str, text_c
     shared = np.zeros(len(v.weights))
     shared[v.first_shared :] = np.log10(v.weights[v.first_shared :])
 
+    names = [x.split()[0] for x in ENCODED.split(", ")[:8]] + ["rare"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _Codes(v).__getitem__
+        common = pa.array(list(v.common), pa.large_binary())  # in the order of their classes
         for batch in batches:
-            rows = []
-            ends, words, times = [0], [], []
-            for text in batch.column(3):
-                parts, rare = [], Counter()
-                for some in words_in(text.as_py() or b""):
-                    parts.append(np.fromiter(map(code, some), dtype=np.uint16, count=len(some)))
-                    rare.update(some)
-                codes = np.concatenate([*parts, np.array([END], dtype=np.uint16)])
-                for w, n in rare.items():
-                    if w not in v.common:
-                        words.append(w)
-                        times.append(n)
-                ends.append(len(words))
-                rows.append((len(codes), int(known[codes].sum()), float(logs[codes].sum()), float(shared[codes].sum()), codes.tobytes()))
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            names = [x.split()[0] for x in ENCODED.split(", ")[:8]] + ["rare"]
-            yield pa.record_batch([*batch.columns[:3], *columns, lists], names=names)
+            for i, words, at, ends in words_of(batch.column(3)):
+                words = words.cast(pa.large_binary())
+                own = pc.index_in(words, common)
+                rare = pc.is_null(own).to_numpy(zero_copy_only=False)
+                kind = np.where(rare, v.first_shared + endings_of(words, v.shape.endings), 1 + pc.fill_null(own, 0).to_numpy(zero_copy_only=False))
+                begin = np.concatenate(([0], ends[:-1]))
+                codes = np.insert(kind[at], ends, END)  # an end after each text
+                bounds = np.concatenate(([0], ends + 1 + np.arange(len(ends))))
+                text = np.repeat(np.arange(len(ends)), ends - begin)
+                kept = rare[at]
+                pair, n = np.unique(text[kept] * len(words) + at[kept], return_counts=True)
+                lists = np.searchsorted(pair, np.arange(len(ends) + 1) * len(words))
+                pairs = pa.StructArray.from_arrays([words.take(pa.array(pair % max(len(words), 1))).cast(pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
+                per_text = [np.add.reduceat(x[codes], bounds[:-1]) for x in (known, logs, shared)]
+                data = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(2 * bounds), pa.py_buffer(codes.astype(np.uint16))])
+                own = [pa.array(np.diff(bounds)), *map(pa.array, per_text), data.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pairs)]
+                yield pa.record_batch([*(x.slice(i, len(ends)) for x in batch.columns[:3]), *own], names=names)
 
     key = F.monotonically_increasing_id().alias("row")  # of the written table, so it stays
-    ready = docs.select(key, F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    ready = docs.select(key, F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return ready.mapInArrow(frugal(run), ENCODED)
 
 
 def prepare(docs: DataFrame, training: Column, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
     """Word counts of the training rows, and all rows encoded; both written."""
-    texts = docs.where(training).select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    texts = docs.where(training).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = stored(count_words(texts), "hmm-counts")
     v = vocabulary_of(counts, shape)
     return Corpus(stored(encode(docs, v, training, id_col, text_col), "hmm-encoded"), counts, v)
