@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, decontaminate, hmm_lm, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, token_store, url_filter
+from quern.llm import chat_format, decontaminate, hmm_lm, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, ranked_search, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -238,3 +238,28 @@ def _lm(spark: SparkSession, sf_dir: str) -> tuple[hmm_lm.Corpus, DataFrame]:
 def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _lm(spark, sf_dir)[1]
     return scored.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op13_ranked_search"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM t),
+q AS (
+  SELECT item_id, x AS term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark)
+  GROUP BY 1, 2
+), p AS (
+  SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
+), w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len * s.n) // s.l)))) AS BIGINT) AS score
+  FROM p JOIN q USING (term) JOIN w USING (term), s GROUP BY 1, 2
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
