@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, decontaminate, hmm_lm, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, ranked_search, token_store, url_filter
+from quern.llm import chat_format, decontaminate, filter_audit, hmm_lm, html_text, language_id, mixing, ngram_join, quality_knn, quality_rules, ranked_search, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -228,6 +228,39 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(r) FROM reach WHERE
 FROM w LEFT JOIN n USING (doc_id)
 """
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b,
+    (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+    (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS e FROM w
+), h AS MATERIALIZED (
+  SELECT part, [a, b, c, d, e] AS m, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM f LEFT JOIN labels USING (doc_id) GROUP BY 1, 2
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM o),
+g AS (
+  SELECT part, o, k, n, good, toxic, list_transform(string_split(o, ''), lambda x: m[ascii(x) - 64]) AS fails FROM h, s
+), r AS (
+  SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step,
+    sum(n) FILTER (list_sum(fails[:k]) = 0) AS kept, sum(n) FILTER (fails[k] = 1 AND list_sum(fails[:k]) = 1) AS removed,
+    sum(n) FILTER (fails[k] = 1 AND list_sum(fails[:k]) > 1) AS redundant, sum(n) FILTER (fails[k] = 1 AND list_sum(fails) = 1) AS unique_fails,
+    sum(good) FILTER (fails[k] = 1 AND list_sum(fails[:k]) = 1) AS good_lost, sum(toxic) FILTER (fails[k] = 1 AND list_sum(fails[:k]) = 1) AS toxic_lost
+  FROM g GROUP BY 1, 2, 3
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 
 def _lm(spark: SparkSession, sf_dir: str) -> tuple[hmm_lm.Corpus, DataFrame]:
     corpus = hmm_lm.prepare(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
@@ -240,6 +273,28 @@ def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op12 that SQL can say; the model is the one before any training."""
+    corpus = hmm_lm.prepare(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    scored = hmm_lm.score(corpus, hmm_lm.first_model(corpus.vocabulary))
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+ORACLE["lm_base_scores"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 7 AS fold
+  FROM documents
+), t AS (SELECT doc_id, fold, unnest(list_append(w, '')) AS x FROM d),
+c AS MATERIALIZED (SELECT x, count(*) AS c FROM t WHERE fold <> 2 GROUP BY x),
+s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, count(*) AS n_tokens, CAST(count(*) FILTER (c > 0) AS BIGINT) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (x), s GROUP BY doc_id
+"""
+
+
 @query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ranked_search.build(table(spark, sf_dir, "documents"))
