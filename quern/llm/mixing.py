@@ -18,8 +18,8 @@ their hash, then over the blocks of one range, then over the documents of one
 block: no task holds a source, however large it is.
 
 Sources may be many. They stay in a table; alpha is bisected over their distinct
-totals (beyond ``max_totals`` of them, totals are taken to four digits for that),
-weights and quotas are columns. The table is broadcast up to ``max_sources``
+totals on the driver, or, beyond ``max_totals`` of them, by sums over the table for
+31 exponents at a time, which gives the same alpha; weights and quotas are columns. The table is broadcast up to ``max_sources``
 rows and joined beyond.
 
 With ``budget=None`` it is the smallest with which each source is used whole at
@@ -48,6 +48,7 @@ class Mix:
     """Parameters of a mixture."""
 
     entropy: float | None = None
+    evenness: float | None = None
     max_repeat: float | None = None
     budget: float | None = None
     block_tokens: int = 1_000_000
@@ -93,38 +94,89 @@ def repeat_of(tokens: np.ndarray, w: np.ndarray, mix: Mix) -> float:
     return float((budget_of(tokens, w, mix) * w[some] / np.asarray(tokens)[some]).max()) if some.any() else 0.0
 
 
-def solve(tokens: np.ndarray, mix: Mix, times: np.ndarray | None = None, steps: int = 60) -> float:
-    """Alpha for the target; the nearest end of [0, 1] where the target is out of reach."""
+class Totals:
+    """Sums over sources that an exponent's entropy and repetition follow from."""
 
-    def least(holds) -> float:  # noqa: ANN001  the smallest alpha that holds (it does from there on)
-        if holds(0.0):
-            return 0.0
-        low, high = 0.0, 1.0
-        for _ in range(steps):
-            mid = (low + high) / 2
-            low, high = (low, mid) if holds(mid) else (mid, high)
-        return high
+    def __init__(self, tokens: np.ndarray, times: np.ndarray | None = None) -> None:
+        self.tokens, self.times = np.asarray(tokens, dtype=np.float64), np.ones(len(tokens)) if times is None else times
+        self.low, self.high, self.count = (self.tokens.min(), self.tokens.max(), float(self.times.sum())) if len(self.tokens) else (1.0, 1.0, 0.0)
 
-    alpha = 1.0 if mix.entropy is None and mix.max_repeat is None else 0.0
-    if mix.entropy is not None:
-        alpha = least(lambda a: entropy_of(weights(tokens, a, times), times) <= mix.entropy)
-    if mix.max_repeat is not None:
-        alpha = max(alpha, least(lambda a: repeat_of(tokens, weights(tokens, a, times), mix) <= mix.max_repeat * (1 + 1e-9)))
-    return alpha
+    def sums(self, alphas: list[float]) -> list[tuple[float, float]]:
+        """For each exponent the sum of (total / largest) ** alpha, and of that times the log of total / largest."""
+        logs = np.log(self.tokens / self.high)
+        return [(float((p := self.times * np.exp(a * logs)).sum()), float((p * logs).sum())) for a in alphas]
+
+
+class SparkTotals(Totals):
+    """The same over a table (_mix_own, n) of any size."""
+
+    def __init__(self, distinct: DataFrame) -> None:
+        self.table = distinct
+        row = distinct.agg(F.min("_mix_own"), F.max("_mix_own"), F.sum("n")).first()
+        self.low, self.high, self.count = (float(x) for x in row)
+
+    def sums(self, alphas: list[float]) -> list[tuple[float, float]]:
+        log = F.log(F.col("_mix_own").cast("double")) - float(np.log(self.high))
+        parts = [F.col("n") * F.exp(F.lit(a) * log) for a in alphas]
+        row = self.table.agg(*(x for p in parts for x in (F.sum(p), F.sum(p * log)))).first()
+        return [(row[2 * k], row[2 * k + 1]) for k in range(len(alphas))]
+
+
+def target_entropy(totals: Totals, mix: Mix) -> float | None:
+    if mix.entropy is not None or mix.evenness is None:
+        return mix.entropy
+    own = _entropy(*totals.sums([1.0])[0], 1.0)
+    return own + mix.evenness * (float(np.log(totals.count)) - own)
+
+
+def _entropy(z: float, logs: float, alpha: float) -> float:
+    return float(np.log(z)) - alpha * logs / z
+
+
+def solve(totals: Totals | np.ndarray, mix: Mix, at_once: int = 31, steps: int = 10) -> float:
+    """Alpha for the target; the nearest end of [0, 1] where the target is out of reach.
+
+    Each step halves [low, high] five times: it looks at 31 exponents between.
+    """
+    if not isinstance(totals, Totals):
+        totals = Totals(np.asarray(totals)[np.asarray(totals) > 0])
+    if mix.entropy is None and mix.evenness is None and mix.max_repeat is None or not totals.count:
+        return 1.0
+    entropy = target_entropy(totals, mix)
+
+    def holds(alpha: float, z: float, logs: float) -> bool:  # it does from the least such alpha on
+        if entropy is not None and _entropy(z, logs, alpha) > entropy + 1e-12:
+            return False
+        if mix.max_repeat is None:
+            return True
+        # The smallest source is repeated most; a budget of None is that with which the largest is used once.
+        ratio = totals.low / totals.high
+        repeat = ratio ** (alpha - 1) if mix.budget is None else mix.budget * ratio ** (alpha - 1) / (z * totals.high)
+        return repeat <= mix.max_repeat * (1 + 1e-9)
+
+    low, high = 0.0, 1.0
+    if holds(low, *totals.sums([low])[0]):
+        return low
+    for _ in range(steps):
+        grid = [low + (high - low) * k / (at_once + 1) for k in range(1, at_once + 1)]
+        found = [holds(a, *s) for a, s in zip(grid, totals.sums(grid), strict=True)]
+        k = found.index(True) if any(found) else at_once
+        low, high = ([low, *grid][k], [*grid, high][k])
+    return high
 
 
 def quotas(totals: DataFrame, mix: Mix) -> DataFrame:
     """``totals`` (_mix_source, _mix_own) with ``_mix_weight, _mix_n, _mix_passes, _mix_rest``: blocks, whole passes, tokens of the part."""
     some = totals.where("_mix_own > 0")
     distinct = some.groupBy("_mix_own").agg(F.count("*").alias("n"))
-    if distinct.count() > mix.max_totals:
-        digits = F.pow(F.lit(10.0), F.floor(F.log10(F.col("_mix_own").cast("double"))) - 3)
-        distinct = some.groupBy((F.round(F.col("_mix_own") / digits) * digits).alias("_mix_own")).agg(F.count("*").alias("n"))
-    found = distinct.orderBy("_mix_own").collect()
-    own, times = (np.array([r[k] for r in found], dtype=np.float64) for k in (0, 1))
-    alpha = solve(own, mix, times)
-    all_, high = ((own * times).sum(), own.max()) if len(own) else (1.0, 1.0)
-    power = F.when(F.col("_mix_own") > 0, F.exp(alpha * (F.log(F.col("_mix_own").cast("double")) - float(np.log(high))))).otherwise(0.0)
+    n = distinct.count()
+    if n > mix.max_totals:
+        of = SparkTotals(stored(distinct, "mix-distinct"))
+    else:
+        found = distinct.orderBy("_mix_own").collect()
+        of = Totals(*(np.array([r[k] for r in found], dtype=np.float64) for k in (0, 1)))
+    alpha = solve(of, mix)
+    power = F.when(F.col("_mix_own") > 0, F.exp(alpha * (F.log(F.col("_mix_own").cast("double")) - float(np.log(of.high))))).otherwise(0.0)
     norm = totals.agg(F.coalesce(F.sum(power), F.lit(1.0))).first()[0] or 1.0
     weighted = totals.withColumn("_mix_weight", power / norm)
     budget = mix.budget

@@ -72,8 +72,8 @@ def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-#: Sources of equal weight would repeat small ones without end: half as often again at most, and no text is lost.
-MIX = mixing.Mix(entropy=None, max_repeat=1.5, budget=None, block_tokens=20_000)
+#: Half the way to equal sources, as far as no source comes more than half as often again; no text is lost.
+MIX = mixing.Mix(evenness=0.5, max_repeat=1.5, budget=None, block_tokens=20_000)
 
 
 @query
