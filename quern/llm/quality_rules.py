@@ -10,7 +10,12 @@ Limits are of two kinds, and both hold. Those in ``Bands`` are absolute. Those o
 ``fit`` come from the corpus: the ratios of all distinct texts that pass the base rules are counted in
 bands of a quarter of an octave of length (chunks, being of one length, are one
 band), and a ratio beyond the fences of its band's quartiles is out of its length.
-A band of fewer than ``least_texts`` texts (or chunks) has no fences.
+A band of fewer than ``least_texts`` texts takes in its neighbours, one further on
+either side at a time, until there are so many; as longer texts shrink more, theirs
+are moved by the slope of the bands' medians over these neighbours. If all bands
+together have fewer (or there are fewer chunks), all are used and the fences stand
+wider, by the root of how many times fewer. So fences exist at every size, and
+hardly depend on it. A text of a length that was not seen has its nearest band's.
 
 No limit of the ratio parts hex and base32 from prose: their few symbols alone
 shrink by 1.5 to 2, as prose does. What parts them is repetition. A chunk is a
@@ -131,14 +136,37 @@ def fit(df: DataFrame, bands: Bands = Bands(), *, text_col: str = "text") -> Ban
         steps_of = once.groupBy("band", "step").agg(F.sum("n").alias("n")).collect()
     for r in steps_of:
         counts.setdefault(r["band"], []).append((r["step"], r["n"]))
-    fitted = []
-    for band, pairs in sorted(counts.items()):
-        steps, n = (np.array(x, dtype=np.int64) for x in zip(*sorted(pairs), strict=True))
-        if n.sum() >= bands.least_texts:
-            low, high = ((steps[np.searchsorted(np.cumsum(n), q * n.sum())] + 0.5) * STEP for q in (0.25, 0.75))
-            below, above = (max(k * (high - low), bands.fence_least) for k in (bands.fence_low, bands.fence_high))
-            fitted.append((band, float(np.exp(low - below)), float(np.exp(high + above))))
-    return replace(bands, fitted=tuple(fitted))
+    return replace(bands, fitted=fences(counts, bands))
+
+
+def _quantile(at: np.ndarray, n: np.ndarray, q: float) -> float:
+    order = np.argsort(at, kind="stable")
+    return float(at[order][np.searchsorted(np.cumsum(n[order]), q * n.sum())])
+
+
+def fences(counts: dict[int, list[tuple[int, int]]], bands: Bands) -> tuple[tuple[int, float, float], ...]:
+    """(band, least ratio, largest ratio) from the (step, texts) of each band."""
+    logs = {b: tuple(np.array(x, dtype=np.float64) for x in zip(*pairs, strict=True)) for b, pairs in counts.items()}
+    logs = {b: ((steps + 0.5) * STEP, n) for b, (steps, n) in logs.items()}
+    size = {b: n.sum() for b, (_, n) in logs.items()}
+    median = {b: _quantile(*x, 0.5) for b, x in logs.items()}
+    lengths = sorted(b for b in logs if b != CHUNKS)
+    out = []
+    for band in sorted(logs):
+        reach, pool = 0, [band]
+        while band != CHUNKS and sum(size[b] for b in pool) < bands.least_texts and len(pool) < len(lengths):
+            reach += 1
+            pool = [b for b in lengths if abs(b - band) <= reach]
+        weight, at, mid = (np.array([x(b) for b in pool], dtype=np.float64) for x in (size.get, float, median.get))
+        away = at - np.average(at, weights=weight)
+        slope = float((weight * away * mid).sum() / (weight * away**2).sum()) if len(pool) > 1 else 0.0
+        ratio = np.concatenate([logs[b][0] + slope * (band - b) for b in pool])
+        n = np.concatenate([logs[b][1] for b in pool])
+        low, high = _quantile(ratio, n, 0.25), _quantile(ratio, n, 0.75)
+        wider = max(1.0, np.sqrt(bands.least_texts / n.sum()))
+        below, above = (wider * max(k * (high - low), bands.fence_least) for k in (bands.fence_low, bands.fence_high))
+        out.append((band, float(np.exp(low - below)), float(np.exp(high + above))))
+    return tuple(out)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -212,15 +240,17 @@ def verdict(n_bytes: int, whole: float, chunks: list[float], blobs: int, bands:
         return "repetitive"
     if limits and whole < limits[0]:
         return "incompressible"
-    fences = {band: limits for band, *limits in bands.fitted}
-    if n_bytes >= bands.whole[0][0] and (own := fences.get(length_band(n_bytes))):
+    fitted = {band: limits for band, *limits in bands.fitted}
+    lengths = [b for b in fitted if b != CHUNKS]
+    if n_bytes >= bands.whole[0][0] and lengths:
+        own = fitted[min(lengths, key=lambda b: abs(b - length_band(n_bytes)))]
         if whole > own[1]:
             return "repetitive for its length"
         if whole < own[0]:
             return "incompressible for its length"
     if n_bytes > bands.chunk_bytes and chunks:
         low, high = bands.chunk
-        if own := fences.get(CHUNKS):
+        if own := fitted.get(CHUNKS):
             low, high = max(low, own[0]), min(high, own[1])
         if sum(x > high for x in chunks) > bands.max_bad_chunks * len(chunks):
             return "repetitive chunks"
