@@ -82,14 +82,14 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2) of each row."""
+    """(doc_id, own_id, n, d1, d2) of each row of (_i, _t, _own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), *_digest(s)) for s in _sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(3))], names=["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(3))], names=["doc_id", "own_id", "n", "d1", "d2"])
 
-    return docs.mapInArrow(frugal(run), "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(frugal(run), "doc_id long, own_id long, n long, d1 long, d2 long")
 
 
 # ---- blocks
@@ -426,9 +426,10 @@ def components(
 ) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id`` (the smallest id reached)."""
     num, den = threshold
-    docs = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).cast("string").alias("_t"))
+    own = F.col(f"`{id_col}`").cast("long")
+    docs = df.select(own.alias("_i"), F.col(f"`{text_col}`").cast("string").alias("_t"), own.alias("_own"))
     with small_batches(df.sparkSession):
-        return _components(docs, k, num, den, task_shingles, task_docs)
+        return _components(docs, k, num, den, task_shingles, task_docs).drop("own_id")
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int, task_shingles: int, task_docs: int) -> DataFrame:
@@ -443,22 +444,30 @@ def _components(docs: DataFrame, k: int, num: int, den: int, task_shingles: int,
     found = connected_components(_tree_join(dealt, num, den, k)).withColumnRenamed("component", "_c")
     reps = nodes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("_c", "node").alias("_c"))
     return (
-        profiles.select("doc_id", "n", "d1", "d2")
+        profiles.select("doc_id", "own_id", "n", "d1", "d2")
         .join(reps, ["d1", "d2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "own_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def keep_one(df: DataFrame, *, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``df`` with one row of each component: that of the smallest id. Columns stay as they are.
+    """``df`` with one row of each component: that of the smallest id (null is the largest). Columns stay as they are.
 
-    Rows without id belong to no component and stay; of rows of one id one stays.
+    What is compared are texts, whatever their ids: rows that are equal in id and
+    text are one document, of which one stays; rows of one id and other texts are
+    documents of their own, and so are rows without id. A document without words stays.
     """
-    found = components(df, k=k, threshold=threshold, id_col=id_col, text_col=text_col, **options)
-    # What goes and what comes again is told by ids alone; only rows of such ids are shuffled with their texts.
-    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("component_id").alias("_c"))
-    odd = stored(ids.where("_n > 1 OR _c <> doc_id").select(F.col("doc_id").alias("_near_id"), (F.col("_c") == F.col("doc_id")).alias("_near_stays")), "odd-ids")
-    rows = _flagged(df, id_col, odd, "_near_id")
+    # A document is known by a hash of id and text; whatever two documents of one hash could be, both are kept or go by what links they have.
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    key = F.xxhash64(own.isNull(), own, text.isNull(), text).alias("_near_key")
+    with small_batches(df.sparkSession):
+        found = stored(_components(df.select(key.alias("_i"), text.alias("_t"), own.alias("_own")), k, *threshold, options.get("task_shingles", 2_000_000), options.get("task_docs", 4096)), "near-found")
+    # What goes and what comes again is told by keys alone; only rows of such keys are shuffled with their texts.
+    times = found.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("_none"), "own_id", "doc_id"))["doc_id"].alias("doc_id"))
+    told = times.join(first.select("doc_id", F.lit(True).alias("_near_stays")), "doc_id", "left")
+    odd = stored(told.where("_n > 1 OR _near_stays IS NULL").select(F.col("doc_id").alias("_near_id"), F.col("_near_stays").isNotNull().alias("_near_stays")), "odd-ids")
+    rows = _flagged(df.withColumn("_near_key", key), "_near_key", odd, "_near_id")
     columns = [F.col(f"`{c}`") for c in df.columns]
-    close = rows.where("_near_flag").join(odd, F.col(id_col) == F.col("_near_id"), "left").where(F.coalesce("_near_stays", F.lit(True)))
-    return rows.where("NOT _near_flag").select(columns).unionByName(close.select(columns).dropDuplicates([id_col]))
+    close = rows.where("_near_flag").join(odd, F.col("_near_key") == F.col("_near_id"), "left").where(F.coalesce("_near_stays", F.lit(True)))
+    return rows.where("NOT _near_flag").select(columns).unionByName(close.select(columns).dropDuplicates([id_col, text_col]))
