@@ -1,13 +1,17 @@
 """Main text of HTML by two-pass block rules.
 
 The page is cut into blocks at block tags (and at two line breaks in a row).
-First pass: each block is classed by itself, from where it stands (menus,
-headers, footers, sidebars, forms, adverts, notices and comments are known by
-element, role or a word of their container's class or id; so is an article or
-main element) and from its length, its share of stop words and the share of its
-characters in links: good, bad, or, where the text is too short to tell, open. A
-word in a paragraph's own class never decides alone: a marked paragraph that is
-short or has few stop words is bad, another is judged as any.
+First pass: each block is classed by itself, from its length, its share of stop
+words and the share of its characters in links (a link may span blocks): good, bad,
+or, where the text is too short to tell, open. What stands in an element for menus,
+asides, footers or the page's header, in a hidden one, in one of a class like ``ad``, or
+among readers' comments, is bad; an article or main element lowers the limits. A word of a container's class or
+id (``promo``, ``sidebar``), and a form, are no more than a suspicion, which density
+decides: of the dense text around, where the container stands, it has to hold more
+than half, and what is outside of such containers at most a quarter as much, none of
+it in an article element; then it is a page's frame and no promotion. A marked
+paragraph that is short or has few stop words is bad, another is judged as any. Where
+no block is good, dense ones that are too short for it are.
 
 Stop words are known for four languages. Where hardly any word of a page's
 unlinked text is one, the page is in another language or script, and stop words
@@ -57,14 +61,21 @@ STOP_WORDS = frozenset(
 )
 # Words of classes, ids and roles that mark what is not the text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies disclaimer dialog disqus footer gdpr hidden infobar login masthead menu modal nav navbar navigation newsletter notice "
-    "notification notifications outbrain paywall pager pagination popup promo promoted promotion recommended related replies respond "
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent cookie "
+    "cookies disclaimer dialog footer gdpr hidden infobar login masthead menu modal nav navbar navigation newsletter notice "
+    "notification notifications outbrain paywall pager pagination popup promo promoted promotion recommended related "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toast toolbar tooltip topbar "
     "tracking widget widgets contentinfo complementary".split()
 )
+# Those that, as a whole class, no page's frame has.
+SURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr menu nav navbar navigation newsletter outbrain pager pagination sidebar taboola".split())
+# Words that mark readers' comments; the second line only outside of articles, which have such sections.
+COMMENTS = frozenset("comment comments commentlist commentary commenters disqus kommentar kommentare commentaires comentarios replies reply respond responses talkback".split())
+TALK = frozenset("discussion discussions feedback forum thread threads conversation".split())
+# A class with such a word says what a page has, or lacks.
+SAYING = frozenset("has have with without no not hide open enabled disabled".split())
 ARTICLE_MARKS = frozenset("articlebody article-body article-content post-body post-content entry-content story-body main-content".split())
-OUT = frozenset("nav aside footer form menu dialog fieldset select button noscript template iframe object svg".split())
+OUT = frozenset("nav aside footer menu dialog fieldset select button noscript template iframe object svg".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea select button canvas audio video title".split())
 HOLDERS = frozenset("body div section article main nav aside header footer form ul ol dl menu table tbody thead tfoot figure details dialog fieldset blockquote center".split())
 BLOCKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption figcaption pre address hr html head summary legend option".split())
@@ -78,6 +89,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"\w+")
 GOOD, BAD, OPEN = "good", "bad", "open"
+#: Suspect containers in one another that are told apart; further ones count as the last.
+MOST = 6
 
 
 @dataclass(frozen=True)
@@ -100,10 +113,11 @@ class Block:
     place: str  #: "out", "in" (an article or main element) or ""
     heading: bool
     marked: bool = False  #: by a word of its own class or id
+    suspects: tuple[int, ...] = ()  #: containers around that a word or a form makes suspect, from the outside in
 
 
 def _place(attributes: str, tag: str) -> str:
-    """What an element's attributes say: hidden, out, in or nothing."""
+    """What an element's attributes say: hidden, comments, talk, suspect, in or nothing."""
     said = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "").lower()
@@ -113,8 +127,16 @@ def _place(attributes: str, tag: str) -> str:
             for word in value.split():
                 if word in ARTICLE_MARKS or name == "role" and word in ("main", "article"):
                     said = said or "in"
-                elif tag not in ("html", "body") and (word in MARKS or len(pieces := re.split(r"[-_]+", word)) > 1 and (pieces[0] in MARKS or pieces[-1] in MARKS)):
-                    return "out"
+                elif tag not in ("html", "body") and not SAYING.intersection(pieces := re.split(r"[-_]+", word)):
+                    ends = {word, pieces[0], pieces[-1]}
+                    if ends & COMMENTS:
+                        return "comments"
+                    if word in SURE:
+                        return "hidden"
+                    if ends & TALK:
+                        said = "talk" if said != "in" else said
+                    elif ends & MARKS and said != "in":
+                        said = "suspect" if said != "talk" else said
     return said
 
 
@@ -122,13 +144,15 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
     held: list[str] = []
-    # open holders: (tag, place, in comments or the like)
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # open holders: tag, place, suspects
     open_tags: Counter[str] = Counter()
-    deep = 0  # open holders of comments
     place = ""
+    suspects: tuple[int, ...] = ()
+    n_suspects = 0
     marked = hidden = False
     in_link = in_link_chars = breaks = 0
+    link_depth = 0  # open holders where the link began
+    in_block = inline = False  # in a paragraph or the like; if the link began there
     heading = False
 
     def flush() -> None:
@@ -137,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, min(in_link_chars, len(text)), "out" if hidden else place, heading, marked))
+                out.append(Block(text, min(in_link_chars, len(text)), "out" if hidden else place, heading, marked, suspects))
             held.clear()
         in_link_chars = breaks = 0
 
@@ -161,7 +185,7 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else n
             continue
         if tag == "a":
-            in_link = 0 if closing else 1
+            in_link, link_depth, inline = int(not closing and "href" in attributes.lower()), len(stack), in_block
             continue
         if tag == "br":
             held.append(" ")
@@ -175,39 +199,45 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCKS:
             continue
         flush()
-        in_link, marked, hidden, heading = 0, False, False, False
+        if inline and (closing or tag not in HOLDERS):  # a link that began inside a paragraph ends with it
+            in_link = 0
+        in_block = tag not in HOLDERS and not closing
+        marked, hidden, heading = False, False, False
         if tag in HOLDERS:
             if closing:
                 while open_tags[tag]:  # what is open inside ends too
-                    ended, was = stack.pop()
+                    ended, _, _ = stack.pop()
                     open_tags[ended] -= 1
-                    deep -= was == "deep"
                     if ended == tag:
                         break
+                if len(stack) < link_depth:
+                    in_link = 0
             elif not attributes.endswith("/"):
-                said = _place(attributes, tag).replace("hidden", "out")
-                up = stack[-1][1] if stack else ""
-                if tag in OUT or said == "out":
-                    said = "out"
-                elif tag == "header":
-                    said = "out" if up != "in" else "head"
+                said = _place(attributes, tag)
+                _, up, around = stack[-1] if stack else ("", "", ())
+                if up == "comments" or said == "comments" or said == "talk" and up != "in":
+                    own = "comments"
+                elif tag in OUT or said == "hidden":
+                    own = "out"
                 elif tag in ("article", "main") or said == "in":
-                    said = "in" if up != "out" or not deep else "out"
+                    own = "in"
+                elif tag == "header":
+                    own = "head" if up == "in" else "out"
                 else:
-                    said = up
-                if said == "out" and re.search(r"comment|respond|repl(y|ies)|disqus", attributes, re.I):
-                    said = "deep"
-                elif up == "deep":
-                    said = "deep"
-                stack.append((tag, said))
+                    own = up
+                if own == up and (said == "suspect" or tag == "form") and len(around) < MOST:
+                    n_suspects += 1
+                    around = (*around, n_suspects)
+                elif own == "in" and up != "in":
+                    around = ()
+                stack.append((tag, own, around))
                 open_tags[tag] += 1
-                deep += said == "deep"
-            place = stack[-1][1] if stack else ""
-            place = "out" if place == "deep" else place
+            place, suspects = stack[-1][1:] if stack else ("", ())
+            place = "out" if place == "comments" else place
         elif not closing:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             said = _place(attributes, tag) if attributes else ""
-            marked, hidden = said == "out", said == "hidden"
+            marked, hidden = said in ("suspect", "comments", "talk"), said == "hidden"
     if at < n:  # no tag ends here any more; an open comment or declaration is none of the text
         rest = _OPEN.split(page[at:], maxsplit=1)[0]
         held.append(rest)
@@ -229,7 +259,7 @@ def first_pass(b: Block, rules: Rules, stop: float | None) -> str:
     links = b.links / size
     if b.place == "out":
         return BAD
-    if b.place == "head":  # an article's own header: its title, not its by-lines
+    if b.place == "head" and (b.heading or size < rules.short):  # an article's own header: its title and lead, not its by-lines
         return GOOD if b.heading else BAD
     if links > (rules.links_inside if b.place == "in" else rules.links):
         return BAD
@@ -237,6 +267,8 @@ def first_pass(b: Block, rules: Rules, stop: float | None) -> str:
         stop = rules.stop_high if size >= rules.short else 0.0
     if b.marked and (size < rules.short or stop < rules.stop_high):
         return BAD
+    if b.place == "head":
+        return GOOD if stop >= rules.stop_low else BAD
     if b.place == "in":
         return GOOD if size >= rules.short or stop >= rules.stop_low or b.heading else OPEN
     if size < rules.short or b.heading:
@@ -285,12 +317,44 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     return out
 
 
+def cleared(found: list[Block], dense: list[bool], least: int) -> list[bool]:
+    """Whether each block stands only in suspect containers that hold the text of their surroundings."""
+    clear: dict[int, bool] = {}
+    sizes = [len(b.text) * d for b, d in zip(found, dense, strict=True)]
+    for depth in range(max((len(b.suspects) for b in found), default=0)):
+        # Dense text by what is around: all, and that in no further suspect; blocks of articles; dense text by suspect.
+        every, plain, article, held = (Counter() for _ in range(4))
+        for b, n in zip(found, sizes, strict=True):
+            around = b.suspects[:depth]
+            every[around] += n
+            if len(b.suspects) > depth:
+                held[b.suspects[depth]] += n
+            elif len(b.suspects) == depth:
+                plain[around] += n
+                article[around] += b.place == "in"
+        for b in found:
+            if len(b.suspects) > depth and (own := b.suspects[depth]) not in clear:
+                around = b.suspects[:depth]
+                clear[own] = held[own] >= least and 2 * held[own] > every[around] and 4 * plain[around] <= held[own] and (b.place == "in" or not article[around])
+    return [all(clear[x] for x in b.suspects) for b in found]
+
+
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     found = blocks(page or "")
     counts = [(0, 0) if b.place == "out" else stop_words(b.text) for b in found]
     unlinked = [c for b, c in zip(found, counts, strict=True) if b.links < rules.links * len(b.text)]
     known = sum(s for s, _ in unlinked) >= rules.known * max(1, sum(n for _, n in unlinked))
-    labels = [first_pass(b, rules, s / max(1, n) if known else None) for b, (s, n) in zip(found, counts, strict=True)]
+    shares = [s / max(1, n) if known else None for s, n in counts]
+    dense = [
+        b.place != "out" and b.links <= rules.links * len(b.text) and len(b.text) >= rules.short and not b.heading and (x is None or x >= rules.stop_high)
+        for b, x in zip(found, shares, strict=True)
+    ]
+    clear = cleared(found, dense, rules.long)
+    for b, x in zip(found, clear, strict=True):
+        b.place = b.place if x else "out"
+    labels = [first_pass(b, rules, x) for b, x in zip(found, shares, strict=True)]
+    if GOOD not in labels:
+        labels = [GOOD if x == OPEN and d else x for x, d in zip(labels, dense, strict=True)]
     return "\n".join(b.text for b, stays in zip(found, second_pass(found, labels), strict=True) if stays)
 
 

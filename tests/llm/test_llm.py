@@ -180,6 +180,9 @@ def test_alpha_meets_its_target():
     for target in (0.5, 0.9, 1.05):
         mix = mixing.Mix(entropy=target)
         assert mixing.entropy_of(mixing.weights(tokens, mixing.solve(tokens, mix))) == pytest.approx(min(target, 1.0986), abs=1e-6) or target < mixing.entropy_of(mixing.weights(tokens, 1.0))
+    for part in (0.1, 0.5, 0.9):
+        own, alpha = mixing.entropy_of(mixing.weights(tokens, 1.0)), mixing.solve(tokens, mixing.Mix(evenness=part))
+        assert 0 < alpha < 1 and mixing.entropy_of(mixing.weights(tokens, alpha)) == pytest.approx(own + part * (math.log(np.count_nonzero(tokens)) - own), abs=1e-6)
     mix = mixing.Mix(max_repeat=2.0)
     assert mixing.repeat_of(tokens, mixing.weights(tokens, mixing.solve(tokens, mix)), mix) == pytest.approx(2.0, rel=1e-6)
 
@@ -382,12 +385,22 @@ def naive_fences(texts, bands):
         if len(data) > 4096:
             pieces = [data[i : i + 4096] for i in range(0, len(data) - 4095, 4096)] + ([data[-4096:]] if len(data) % 4096 else [])
             logs.setdefault(-1, []).extend(math.floor(math.log(4096 / len(zstd.compress(x))) / step) for x in pieces)
-    out = {}
+    def quantile(values, q):
+        return sorted(values)[math.ceil(q * len(values)) - 1]
+
+    logs = {b: [(v + 0.5) * step for v in values] for b, values in logs.items()}
+    lengths, out = [b for b in logs if b >= 0], {}
     for band, values in logs.items():
-        if len(values) >= bands.least_texts:
-            values.sort()
-            a, b = ((values[math.ceil(q * len(values)) - 1] + 0.5) * step for q in (0.25, 0.75))
-            out[band] = math.exp(a - max(3 * (b - a), 0.05)), math.exp(b + max(1.5 * (b - a), 0.05))
+        reach, near = 0, [band]
+        while band >= 0 and sum(len(logs[b]) for b in near) < bands.least_texts and len(near) < len(lengths):
+            reach += 1
+            near = [b for b in lengths if band - reach <= b <= band + reach]
+        each = [(b, quantile(logs[b], 0.5)) for b in near for _ in logs[b]]
+        slope = float(np.polyfit(*zip(*each), 1)[0]) if len(near) > 1 else 0.0
+        moved = [v + slope * (band - b) for b in near for v in logs[b]]
+        a, b = quantile(moved, 0.25), quantile(moved, 0.75)
+        wider = max(1, math.sqrt(bands.least_texts / len(moved)))
+        out[band] = math.exp(a - wider * max(3 * (b - a), 0.05)), math.exp(b + wider * max(1.5 * (b - a), 0.05))
     return out
 
 
@@ -458,6 +471,27 @@ def test_junk_at_the_end_is_in_a_chunk():
         assert why_of(vocabulary_prose(rng, n)) is None
 
 
+def test_fences_hardly_depend_on_the_number_of_texts(frame):
+    rng = random.Random(33)
+    texts = []
+    for k in range(3000):
+        t = vocabulary_prose(rng, int(2 ** rng.uniform(9, 13)))
+        texts.append(t if k % 20 else t[:100] + t[100:400] * (len(t) // 300))
+    bands = [quality_rules.fit(docs(frame, some)) for some in (texts, texts[::10], texts[::60], texts[1:2])]
+    assert all(b.fitted for b in bands)
+    zstd = zstandard.ZstdCompressor(level=3)
+
+    def out(t, b):
+        data = t.encode()
+        return quality_rules.verdict(len(data), *quality_rules.ratios(data, b, zstd), b) is not None
+
+    everywhere = [out(t, bands[0]) for t in texts]
+    for b, step in zip(bands[1:3], (10, 60)):
+        own = [out(t, b) for t in texts[::step]]
+        want = everywhere[::step]
+        assert sum(a == c for a, c in zip(own, want)) >= 0.95 * len(own) and sum(a and c for a, c in zip(own, want)) >= 0.9 * sum(want)
+
+
 # ---- 7
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page sidebar-left">
@@ -530,6 +564,82 @@ def test_second_pass_equals_brute_force():
         assert html_text.second_pass(found, labels) == naive_second_pass(found, labels)
 
 
+def test_suspect_containers_by_density():
+    p = [
+        "The old town of the region was built in the years after the war, and it is known for all of the houses that are in the streets by the river, which was the way of trade for it.",
+        "It is said that the people who lived there had been of the sea, and that they came with the ships from the south to this place, where they were to stay for most of their lives.",
+    ]
+    body, want = "".join(f"<p>{x}</p>" for x in p), "\n".join(p)
+    more = "<p>I think that this is the best of all the texts that I have read on this site, and I will be back for more of it when it is there for us to read in the week.</p>"
+    nav, side = '<nav><a href="/">Home</a></nav>', f'<div class="sidebar">{more}</div>'
+    holders = {
+        '<div class="wrapper no-sidebar">': "</div>", '<div class="layout has-sidebar">': "</div>", '<div class="widget-content">': "</div>", '<section class="share-story">': "</section>",
+        '<form id="aspnetForm">': "</form>", '<div class="promo-layout"><div class="related-wrap">': "</div></div>",
+    }
+    for start, end in holders.items():
+        for inner in (body, f"<article>{body}</article>", f'<div class="ad">{more}</div><article>{body}</article>', body + side, body + f'<div id="comments">{more}{more}{more}</div>'):
+            assert html_text.main_text(f"<body>{nav}{start}{inner}{end}<footer>x</footer></body>") == want, (start, inner)
+    card = f"<a href='/x'><h3>Another story that you will like</h3><p>{p[0]}</p></a>"
+    for holder in ("article", "div"):
+        for after in (f"<div id='discussion'>{more}{more}{more}</div>", f"<div class='feedback-thread'>{more}</div>", card, f"<div class=card>{card}</div>", f"<div class='promo'>{more}</div>", f"<section class='advert box'>{more}</section>"):
+            assert html_text.main_text(f"<body><{holder}>{body}</{holder}>{after}</body>") == want, (holder, after)
+    assert html_text.main_text(f"<body><article>{body}<div class='promo'>{more}</div></article></body>") == want
+    assert html_text.main_text(f"<body><article><header><h1>Title</h1><p class=byline>By A B</p><p>{p[0]}</p></header><p>{p[1]}</p></article></body>") == f"Title\n{want}"
+    assert html_text.main_text(f"<body><div><p>{p[0]} <a href=x>is it</p><p>{p[1]}</p></div></body>") == f"{p[0]} is it\n{p[1]}"
+    assert html_text.main_text(f"<body><div><a name=top><p>{p[0]}</p><p>{p[1]}</p></div></body>") == want
+    short = ["It was the best of the times that we had in all of the years of the war there.", "And it is known to all of us that they were not to be there when it was the end of it."]
+    assert html_text.main_text("<body><div>" + "".join(f"<p>{x}</p>" for x in short) + "</div></body>") == "\n".join(short)
+    assert html_text.main_text("<div class=promo>" * 30_000 + body) == want
+
+
+def naive_cleared(found, dense, least):
+    """From the definition, for each suspect container by itself."""
+    size = [len(b.text) if d else 0 for b, d in zip(found, dense)]
+    out = {}
+    for b in found:
+        for k, own in enumerate(b.suspects):
+            around = b.suspects[:k]
+            near = [(x, n) for x, n in zip(found, size) if x.suspects[:k] == around]
+            held = sum(n for x, n in near if x.suspects[k : k + 1] == (own,))
+            plain = [(x, n) for x, n in near if len(x.suspects) == k]
+            out[own] = held >= least and held > sum(n for _, n in near) / 2 and sum(n for _, n in plain) <= held / 4 and (b.place == "in" or not any(x.place == "in" for x, n in plain))
+    return [all(out[x] for x in b.suspects) for b in found]
+
+
+def test_suspects_equal_brute_force():
+    rng = random.Random(15)
+    for _ in range(300):
+        chains = [()]
+        for k in range(1, 8):
+            chains.append((*rng.choice(chains), k))
+        some = [rng.choice(chains) for _ in range(rng.randint(0, 14))]
+        found = [html_text.Block("x" * rng.choice([5, 20, 90, 220]), 0, "in" if rng.random() < 0.1 and not c or c and c[0] == 3 else "", False, False, c) for c in some]
+        dense = [rng.random() < 0.6 for _ in found]
+        assert html_text.cleared(found, dense, 160) == naive_cleared(found, dense, 160)
+
+
+def naive_first_pass(b, rules, stop):
+    """The rules as a table: the first line that fits decides."""
+    size = len(b.text)
+    links, short, long, low, high = b.links / size, size < rules.short, size >= rules.long, rules.stop_low, rules.stop_high
+    s = stop if stop is not None else 0.0 if short else high
+    head, inside = b.place == "head", b.place == "in"
+    lines = [
+        (b.place == "out", "bad"), (head and b.heading, "good"), (head and short, "bad"), (links > rules.links_inside, "bad"), (not inside and links > rules.links, "bad"),
+        (b.marked and (short or s < high), "bad"), (head, "good" if s >= low else "bad"), (inside and (not short or s >= low or b.heading), "good"), (inside, "open"),
+        (short or b.heading, "bad" if b.links else "open"), (s >= high and long, "good"), (s >= high, "open"), (s >= low and size >= 2 * rules.long, "good"), (s >= low, "open"), (long, "bad"), (True, "open"),
+    ]
+    return next(label for fits, label in lines if fits)
+
+
+def test_first_pass_equals_its_table():
+    rng, rules = random.Random(16), html_text.Rules()
+    for _ in range(4000):
+        size = rng.choice([1, 59, 60, 159, 160, 319, 320, 900])
+        b = html_text.Block("x" * size, int(size * rng.choice([0, 0, 0.3, 0.5, 0.7])), rng.choice(["", "in", "out", "head"]), rng.random() < 0.2, rng.random() < 0.2)
+        stop = rng.choice([None, 0.0, 0.05, 0.1, 0.15, 0.22, 0.4])
+        assert html_text.first_pass(b, rules, stop) == naive_first_pass(b, rules, stop)
+
 def test_broken_pages_take_linear_time():
     import time
 
@@ -707,6 +817,25 @@ def test_join_equals_brute_force(frame, k, threshold, options):
         assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_keep_one_tells_documents_by_id_and_text(frame):
+    rng = random.Random(21)
+    base = [prose(rng, 40) for _ in range(12)]
+    rows = [(rng.choice([None, *range(8)]), rng.choice([t, t, t.upper(), t + " more", None, ""])) for t in base * 6]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(frame(rows, "doc_id long, text string"), k=5, threshold=(80, 100)).collect())
+    documents = sorted(set(rows), key=repr)
+    parts = naive_components([t for _, t in documents], 5, 80, 100)
+    groups = {}
+    for k, d in enumerate(documents):
+        groups.setdefault(parts[k][1], []).append(d)
+    assert set(kept.values()) == {1}
+    for group in groups.values():
+        stays = [d for d in group if d in kept]
+        least = min(group, key=lambda d: (d[0] is None, d[0] or 0))
+        assert len(stays) == 1 and stays[0][0] == least[0]
+    two = frame([(1, base[0]), (1, base[1]), (1, base[1])], "doc_id long, text string")
+    assert sorted(r.text for r in ngram_join.keep_one(two).collect()) == sorted(base[:2])
+
+
 def test_signatures_never_miss_a_link():
     rng = np.random.default_rng(3)
     for num, den in ((85, 100), (80, 100), (50, 100)):
