@@ -14,7 +14,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, written as Parquet and read again: short plans, and a lost executor costs a read."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` computed once, written as Parquet and read again: short plans, and a lost executor costs a read.
+
+    The folder goes when the application ends, or by ``dropped``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _system(spark, path).deleteOnExit(_path(spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote; nothing may read it any more."""
+    _system(df.sparkSession, df.written_path).delete(_path(df.sparkSession, df.written_path), True)
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202  a Hadoop path
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _system(spark: SparkSession, path: str):  # noqa: ANN202  the Hadoop file system of a path
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

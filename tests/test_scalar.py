@@ -1,10 +1,14 @@
 import hashlib
 import hmac
+import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import classify, extract, nl, scalar
+from quern.operators import json_walk, page_facts
 
 
 def values(frame, column, rows, schema="x string"):
@@ -116,24 +120,118 @@ def test_page_facts(frame):
     text = "Sky Park by Rivali Group near Metro Mall. Carpet 758 sq ft, built up 900 sq ft. G+22, 3 towers. Metro station 2 km. Possession by Dec 2027. P51800012345. ₹1.2 Cr"
     df = frame([(text,)], "x string")
     row = df.select(
-        extract.floors("x"), extract.towers("x"), extract.developer("x"), extract.possession_in_context("x"), scalar.rera_of("x"), extract.price_cr("x")["display"], extract.area_facts("x")
+        extract.floors("x"), extract.towers("x"), extract.developer("x"), extract.possession_in_context("x"), scalar.rera_of("x"), extract.price_cr("x")["display"]
     ).first()
-    assert list(row[:6]) == ["G+22", 3, "Rivali Group", "Dec 2027", "P51800012345", "₹1.2 Cr"]
-    assert tuple(row[6]) == ("758 sq ft", "900 sq ft")
+    assert list(row) == ["G+22", 3, "Rivali Group", "Dec 2027", "P51800012345", "₹1.2 Cr"]
+    areas = {r[2]: r[3] for r in page_facts.rows_of([text], [None]) if r[2].endswith("area")}
+    assert areas == {"carpet_area": "758 sq ft", "built_up_area": "900 sq ft"}
 
 
-def test_structured_data(spark):
+def test_structured_data(frame):
     block = '{"@graph":[{"@type":"Residence","name":"Sky","floorSize":{"value":758,"unitText":"SQFT"},"brand":{"name":"Rivali"},"geo":{"latitude":19.2,"longitude":72.8},"amenityFeature":[{"name":"Gym"},{"name":"Pool","value":false}]}]}'
-    got = dict(extract.StructuredFacts(F.lit(block)).collect())
-    assert got["carpet_area"] == "758 sq ft" and got["developer"] == "Rivali" and got["latitude"] == "19.2" and got["amenities"] == "Gym"
-    assert extract.StructuredFacts(F.lit("{broken")).collect() == []
+    rows = [(1, block), (2, "{broken"), (3, None), (4, '[1, "x"]'), (5, '{"@type": ["http://schema.org/AggregateOffer"], "lowPrice": 5, "highPrice": 7, "name": "no"}'), (None, block), (1, block)]
+    got = {}
+    for r in json_walk.structured_facts(frame(rows, "k long, j string").withColumn("path", F.lit("x")), id_col="k", json_col="j").collect():
+        got.setdefault(r.id, {})[r.field] = r.value
+    assert got[1]["carpet_area"] == "758 sq ft" and got[1]["developer"] == "Rivali" and got[1]["latitude"] == "19.2" and got[1]["amenities"] == "Gym"
+    assert got[None] == got[1] and got[5] == {"price": "5 - 7"} and set(got) == {1, 5, None}
+
+
+def naive_nodes(value, depth=0):
+    if isinstance(value, dict):
+        yield value
+    if depth < 8:
+        for x in [value[k] for k in sorted(value)] if isinstance(value, dict) else value if isinstance(value, list) else ():
+            yield from naive_nodes(x, depth + 1)
+
+
+def test_walk_equals_recursion(frame):
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.random()
+        if depth > 11 or kind < 0.3:
+            return rng.choice([1, "x", None, True, 2.5])
+        return {rng.choice("abcde"): made(depth + 1) for _ in range(rng.randint(0, 3))} if kind < 0.7 else [made(depth + 1) for _ in range(rng.randint(0, 3))]
+
+    values = [{"a": made(1), "b": [made(2)]} for _ in range(40)] + [{"a": [[[[[[[[{"deep": 1}]]]]]]]]}]
+    rows = [(k, json.dumps(v)) for k, v in enumerate(values)] + [(100, "{"), (101, None)]
+    got = {}
+    for r in json_walk.nodes(frame(rows, "k long, j string"), id_col="k", json_col="j").select("id", "path", F.to_json("node").alias("node")).orderBy("id", "path").collect():
+        got.setdefault(r.id, []).append(json.loads(r.node))
+    assert got == {k: list(naive_nodes(v)) for k, v in enumerate(values)}
+
+
+def test_project_objects(frame):
+    state = {"x": {"list": [{"name": "Sky Park", "id": 1}, {"name": "ab"}, {"project_name": "Hill"}, 5], "other": [{"id": 3, "in": [{"ProjectName": "Deep One"}]}], "names": ["name"], "empty": []}, "name": "no"}
+    rows = json_walk.project_objects(frame([(1, json.dumps(state)), (2, "{"), (3, None)], "k long, j string"), id_col="k", json_col="j").collect()
+    assert sorted((r.id, r.name, json.loads(r.item).get("id")) for r in rows) == [(1, "Deep One", None), (1, "Hill", None), (1, "Sky Park", 1)]
+
+
+def test_scopes_and_sub_listings(frame):
+    df = frame([("Each apartment has a private deck. " + "x" * 80 + " The podium of the tower has parking.",), (None,), ("",)], "x string")
+    rows = {(r.field, r.scope) for r in df.select(F.inline(page_facts.placed("x", F.lit(None).cast("string")))).collect()}
+    assert rows == {("deck", "unit"), ("parking", "project")}
+    got = frame([("Sky Park P51800012345 2 BHK. Green Hill P51800054321 3 BHK",), (None,)], "x string").select(F.inline(page_facts.sub_listings("x"))).collect()
+    assert [(r.rera, r.name) for r in got] == [("P51800012345", "Sky Park"), ("P51800054321", "Green Hill")]
 
 
-def test_scopes_and_sub_listings(spark):
-    rows = {(r.feature, r.scope) for r in extract.FeatureScopes(F.lit("Each apartment has a private deck. " + "x" * 80 + " The podium of the tower has parking.")).collect()}
-    assert ("deck", "unit") in rows and ("parking", "project") in rows or ("parking", "tower") in rows
-    got = extract.SubListings(F.lit("Sky Park P51800012345 2 BHK. Green Hill P51800054321 3 BHK")).collect()
-    assert [(r.rera, r.name) for r in got] == [("P51800012345", "Sky Park"), ("P51800054321", "Green Hill")]
+def naive_scope(text, start, end):
+    window = [(m.start(), m.end(), m[0].lower()) for m in page_facts.BUILDING_SCOPE.finditer(text) if m.start() >= start - 60 and m.end() <= end + 60][:1]
+    unit = [m.start() for m in page_facts.UNIT_SCOPE.finditer(text) if m.start() >= start - 60 and m.end() <= end + 60][:1]
+    if unit and window:
+        return "unit" if abs(unit[0] - start) < abs(window[0][0] - start) else "project"
+    if unit:
+        return "unit"
+    if window:
+        return next((w for w in ("tower", "building") if w in window[0][2]), "project")
+    return "unknown"
+
+
+def naive_label(text, at):
+    before = [m for m in page_facts.BHK.finditer(text) if m.start() >= at - 100 and m.end() <= at]
+    after = [m for m in page_facts.BHK.finditer(text) if m.start() >= at and m.end() <= at + 100]
+    return f"{(before[-1:] or after[:1])[0][1]} BHK" if before or after else None
+
+
+def naive_nearest(text, name, pattern):
+    hits = list(pattern.finditer(text))
+    spots = [m.start() for m in re.finditer(re.escape(name), text, re.I)] if name and len(hits) > 1 else []
+    return min(hits, key=lambda m: min((abs(m.start() - s) for s in spots), default=0)) if hits else None
+
+
+def test_facts_by_place_equal_brute_force(frame):
+    rng = random.Random(8)
+    words = "2 BHK;3bhk;1 Bhk;643 sq ft;900 sq.ft.;1,064 sq ft;carpet;built-up;super  built;Rs. 85 L;₹1.7 Cr;rs 2 crore;deck;private decks;balconies;parking;own;each flat;tower;building;podium;amenities;P51800012345;p99999999999;Sky Park;sky park;é ß 日本;of the day;and;so".split(";")
+    texts = [None, "", *("".join(rng.choice(words) + rng.choice([" ", ". ", " - ", " " * 30]) for _ in range(rng.randint(1, 60))) for _ in range(150))]
+    rows = [(k, t, rng.choice(["Sky Park", None, "", "Nowhere"])) for k, t in enumerate(texts)]
+    got = {}
+    for r in page_facts.facts(frame(rows, "page_id long, text string, name string").withColumn("_t", F.lit("x")), name_col="name").where("place is not null").collect():
+        got.setdefault(r.page_id, []).append((r.place, r.field, r.value, r.configuration, r.scope))
+    for k, text, name in rows:
+        text, want = text or "", []
+        if m := naive_nearest(text, name, page_facts.RERA):
+            want.append((m.start(), "rera_number", m[1].upper(), None, None))
+        crores, lakhs = naive_nearest(text, name, page_facts.CRORES), naive_nearest(text, name, page_facts.LAKHS)
+        if m := crores or lakhs:
+            want.append((m.start(), "price", f"₹{m[1]} Cr" if crores else f"₹{m[1]}L", None, None))
+        carpet = built = None
+        for m in page_facts.AREA.finditer(text):
+            around = [p for p in (page_facts.CARPET, page_facts.BUILT_UP) if any(x.start() >= m.start() - 20 and x.end() <= m.end() + 20 for x in p.finditer(text))]
+            if page_facts.CARPET in around and not carpet:
+                carpet = m
+            elif page_facts.BUILT_UP in around and not built:
+                built = m
+            elif not carpet:
+                carpet = m
+        want += [(m.start(), f, f"{m[1]} sq ft", None, None) for f, m in (("carpet_area", carpet), ("built_up_area", built)) if m]
+        for f, p in (("carpet_area", page_facts.SCOPED_AREA), ("price", page_facts.SCOPED_PRICE)):
+            for m in p.finditer(text):
+                if own := naive_label(text, m.start()):
+                    want.append((m.start(), f, f"{m[1]} sq ft" if f == "carpet_area" else f"₹{m[1]} {'Cr' if m[2].lower().startswith('cr') else 'L'}", own, None))
+        for f, p in page_facts.FEATURES.items():
+            want += [(m.start(), f, m[0], naive_label(text, m.start()), naive_scope(text, *m.span())) for m in p.finditer(text)]
+        assert sorted(got.get(k, []), key=repr) == sorted(want, key=repr), text
 
 
 def test_parse_query(frame):
