@@ -13,6 +13,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps").rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own among the steps, for streams and exports; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _system(spark, path).mkdirs(_path(spark, path))
+    _system(spark, path).deleteOnExit(_path(spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once, written as Parquet and read again: short plans, and a lost executor costs a read.
 

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from quern.operators import keyed
-from quern.streaming import events
+from quern.sources import cursor
+from quern.streaming import delivery, events, state
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -35,3 +36,51 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_events_wait_for_their_lead_over_restarts(spark, tmp_path):
+    home = str(tmp_path)
+    events_of = lambda *x: state.arrivals(events=spark.createDataFrame(x, "phone string, seq long, event_id long"))
+    leads_of = lambda *x: state.arrivals(leads=spark.createDataFrame(x, "phone string, seq long, lead_id long, name string, email string"))
+    feeds = [events_of(("1", 1, 10), ("2", 2, 11), (None, 3, 12)), leads_of(("1", 4, 7, None, "a@x")), events_of(("1", 5, 13), ("2", 6, 14)), leads_of(("1", 7, 7, "Asha", "b@x"), ("3", 8, 9, "Ravi", None))]
+    for feed in feeds:
+        feed.write.mode("append").parquet(f"{home}/in")
+        state.run(spark, f"{home}/in", f"{home}/out", f"{home}/checkpoint")
+    rows = spark.read.schema(state.OUT).parquet(f"{home}/out").collect()
+    assert sorted((r.event_id, r.lead_id, r.waited) for r in rows if r.event_id) == [(10, 7, True), (13, 7, False)]
+    assert sorted((r.phone, r.touches, r.name, r.email) for r in rows if r.event_id is None) == [("1", 1, None, "a@x"), ("1", 2, "Asha", "a@x"), ("3", 1, "Ravi", None)]
+    assert spark.conf.get(state.PROVIDER, None) is None or "Rocks" not in spark.conf.get(state.PROVIDER)
+
+
+def test_lanes_in_any_order_deliver_once(spark, tmp_path):
+    rows = [(k % 20, "abc"[k % 3]) for k in range(60)] + [(None, "a"), (1, None)]
+    states = spark.createDataFrame(rows, "lead_id long, state string").withColumn("lane", F.lit("clash"))
+    good = F.col("state") != "c"
+    for order in ("hrhr", "rh", "hh", "rrhh"):
+        path = str(tmp_path / order)
+        for k, lane in enumerate(order):
+            if lane == "h":
+                delivery.deliver(states, path, "hot", 0, good)  # the same batch each time
+            else:
+                delivery.reconcile(states, path, k, F.lit(True))
+        got = delivery.delivered(spark, path)
+        want = {(k % 20, "abc"[k % 3]) for k in range(60)}
+        assert got.count() == got.select("lead_id", "state").distinct().count() == len(want if "r" in order else [x for x in want if x[1] != "c"])
+
+
+def test_cursor_reads_each_record_once_and_opens_few_pages(spark, tmp_path):
+    home, schema = str(tmp_path), "id long, created long"
+    rows = lambda a, b: spark.range(a, b).select("id", (F.col("id") * 10).alias("created"))
+    for k in range(3):
+        cursor.export(rows(100 * k, 100 * k + 100).repartition(3), f"{home}/pages", "created", page_rows=20)
+        for _ in range(2):  # the second run finds nothing new
+            cursor.pull(spark, f"{home}/pages", schema, "created", f"{home}/out", f"{home}/checkpoint")
+    assert sorted(r.id for r in spark.read.schema(schema).parquet(f"{home}/out").collect()) == list(range(300))
+    reader = cursor.CursorStream(spark.createDataFrame([], schema).schema, {"path": f"{home}/pages"})
+    assert reader.latestOffset() == {"after": 2990} and reader.initialOffset() == {"after": -1}
+    some = reader.partitions({"after": 990}, {"after": 1490})
+    assert 0 < len(some) <= 6 < len(reader.client.pages())
+    again = [sorted(r for p in reader.partitions({"after": 990}, {"after": 1490}) for r in reader.read(p)) for _ in range(2)]  # a replay
+    assert again[0] == again[1] == [(k, 10 * k) for k in range(100, 150)]
+    assert cursor.window(spark, f"{home}/pages", schema, "created", 2000, 2100).count() == 10
+    assert cursor.window(spark, f"{home}/none", schema, "created").count() == 0
