@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.schemas import GAZETTEER_ALIAS, GAZETTEER_LOCALITY
 
@@ -46,33 +47,65 @@ def resolve_terms(terms: DataFrame, localities: DataFrame, aliases: DataFrame, m
     )
 
 
-def near_miss(known: list[str], cutoff: float = 0.86, least: int = 5):  # noqa: ANN201
-    """An Arrow UDF: the most similar known name (difflib ratio), same direction, a common word or stem; else null.
+# Names that differ in one of these are other places.
+DIRECTIONS = ["east", "west", "north", "south"]
 
-    The known names are the gazetteer's, some hundreds; they travel with the function.
+
+def _grams(s: Column, size: int) -> Column:
+    """Parts of ``size`` characters, each with the number of its kind so far: equal ones count apart."""
+    parts = F.when(F.length(s) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - size + 1, F.lit(1))), lambda k: F.substring(s, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(parts, lambda x, k: F.concat(x, F.size(F.filter(F.slice(parts, 1, k + 1), lambda y: y == x)).cast("string")))
+
+
+def _rarest(words: DataFrame, often: DataFrame, cutoff: float) -> DataFrame:
+    """(w, n, gram): as many of a word's rarest pairs of characters as one of them has to be shared by any word that is similar enough.
+
+    With M characters matched, in at most 1 + (a - M) + (b - M) blocks, 3 M - a - b - 1
+    neighbouring pairs are shared; M is at least cutoff / 2 of both lengths together,
+    and b at least cutoff / (2 - cutoff) of a.
+    """
+    grams = words.select("w", F.length("w").alias("n"), F.explode(_grams(F.col("w"), 2)).alias("gram")).join(often, "gram", "left")
+    shared = F.greatest(F.lit(1), F.ceil((1.5 * cutoff - 1) * F.col("n") * (1 + cutoff / (2 - cutoff)) - 1 - 1e-9))
+    place = F.row_number().over(Window.partitionBy("w").orderBy(F.coalesce("often", F.lit(0)), "gram"))
+    return grams.withColumn("_r", place).where(F.col("_r") <= F.col("n") - 1 - shared + 1).select("w", "n", "gram")
+
+
+def near_pairs(terms: DataFrame, names: DataFrame, cutoff: float = 0.86) -> DataFrame:
+    """``(term, name)`` that can reach the cutoff: they share a rare pair of characters, and enough characters at all."""
+    often = names.select(F.explode(_grams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    a, b = (_rarest(x, often, cutoff).select("gram", F.col("w").alias(w), F.col("n").alias(n)) for x, w, n in ((terms, "term", "a"), (names, "name", "b")))
+    close = 2 * F.least("a", "b") >= cutoff * (F.col("a") + F.col("b")) - 1e-9
+    pairs = a.join(b, "gram").where(close).select("term", "name").distinct()
+    both = F.size(F.array_intersect(_grams(F.col("term"), 1), _grams(F.col("name"), 1)))
+    return pairs.where(2 * both >= cutoff * (F.length("term") + F.length("name")) - 1e-9)
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(terms: pd.Series, names: pd.Series) -> pd.Series:
+    """The difflib ratio of each name and term."""
+    out, matcher = [], difflib.SequenceMatcher()
+    for term, name in zip(terms, names, strict=True):
+        matcher.set_seqs(name, term)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def near_misses(terms: DataFrame, names: DataFrame, *, term: str = "term", name: str = "name", cutoff: float = 0.86, least: int = 5) -> DataFrame:
+    """``(term, match, ratio)``: of each distinct term, in lower case, the most similar name, if that is near enough and may be meant.
+
+    Terms of fewer than ``least`` characters and terms that are names have none. The
+    most similar name (the last by alphabet of equal ones) has to have the same
+    direction, and a word in common or the same first four letters. Null terms and
+    names are left out; rows that repeat count once.
     """
-    names = sorted({k.lower() for k in known})
-    directions = {"east", "west", "north", "south"}
-
-    def one(term: str | None) -> str | None:
-        key = (term or "").strip().lower()
-        if len(key) < least:
-            return None
-        hits = difflib.get_close_matches(key, names, n=1, cutoff=cutoff)
-        if not hits:
-            return None
-        a, b = key.split(), hits[0].split()
-        if next((w for w in a if w in directions), None) != next((w for w in b if w in directions), None):
-            return None
-        if not set(a) & set(b) and not (a[0].startswith(b[0][:4]) or b[0].startswith(a[0][:4])):
-            return None
-        return hits[0]
-
-    @F.pandas_udf("string")
-    def udf(terms: pd.Series) -> pd.Series:
-        return terms.map(one)
-
-    return udf
+    own = names.select(F.lower(F.trim(F.col(f"`{name}`"))).alias("w")).where("w <> ''").distinct()
+    asked = terms.select(F.lower(F.trim(F.col(f"`{term}`"))).alias("w")).where(F.length("w") >= least).distinct().join(own, "w", "left_anti")
+    rated = near_pairs(asked, own, cutoff).withColumn("ratio", similarity("term", "name")).where(F.col("ratio") >= cutoff)
+    best = rated.groupBy("term").agg(F.max(F.struct("ratio", "name")).alias("b")).select("term", F.col("b.name").alias("match"), F.col("b.ratio").alias("ratio"))
+    a, b = (F.split(F.col(c), r"\s+") for c in ("term", "match"))
+    way = lambda x: F.coalesce(F.get(F.filter(x, lambda y: y.isin(DIRECTIONS)), 0), F.lit(""))
+    stem = F.startswith(a[0], F.substring(b[0], 1, 4)) | F.startswith(b[0], F.substring(a[0], 1, 4))
+    return best.where((way(a) == way(b)) & (F.arrays_overlap(a, b) | stem))
 
 
 def city_of(location: Column, localities: DataFrame, rows: DataFrame, key: str) -> DataFrame:

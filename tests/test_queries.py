@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 import quern.plans.facts  # noqa: F401  adds its queries
 import quern.plans.listings  # noqa: F401  adds its queries
 import quern.plans.pages  # noqa: F401  adds its queries
+import quern.plans.searches  # noqa: F401  adds its queries
 import quern.plans.streams  # noqa: F401  adds its queries
 from quern.plans.queries import ORACLE, QUERIES
 
