@@ -205,3 +205,13 @@ def test_components_of_a_path(frame, n):
     nodes, edges = frame([(k,) for k in range(2 * n)], "seq long"), frame([(k, k + 1) for k in range(n)], "a long, b long")
     got = {r.seq: r.group for r in entity.label_components(nodes, edges).collect()}
     assert got == {k: 0 if k <= n else k for k in range(2 * n)}
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_hubs_and_large_components(frame, monkeypatch, heavy):
+    monkeypatch.setattr(entity, "heavy_of", lambda n: heavy)
+    edges = [(5, k) for k in range(6, 200)] + [(200 + k, 6 + k) for k in range(50)] + [(k, k + 1) for k in range(1000, 1040)] + [(9000, 9001)]
+    nodes = frame([(k,) for k in {x for e in edges for x in e} | {1, 2}], "seq long")
+    got = {r.seq: r.group for r in entity.label_components(nodes, frame(edges, "a long, b long")).collect()}
+    assert got == {k: 5 for k in range(5, 250)} | {k: 1000 for k in range(1000, 1041)} | {9000: 9000, 9001: 9000, 1: 1, 2: 2}
+    assert {r.seq: r.group for r in entity.label_components(nodes, frame([], "a long, b long")).collect()} == {r.seq: r.seq for r in nodes.collect()}
