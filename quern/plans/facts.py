@@ -128,6 +128,49 @@ def candidate_names(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", names.candidate_reason(said, PLACES).alias("reason"), names.candidate_name(said, PLACES).alias("name"))
 
 
+def _listed_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+TITLE_CITIES = ["navi mumbai", "thane", "china", "japan"]
+#: Titles of all pages, and names of parts and of customers' nations with what portals add to them.
+TITLES_SQL = """q AS (SELECT 'page' || page_id AS id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS s FROM pages
+  UNION ALL SELECT 'part' || p_partkey, ['', 'New ', 'The ', 'Buy ', '12 '][p_size % 5 + 1] || p_name || [' Park', ' - Price & Review | Site', ': floor plan of it', ' - Avenue 2', ', Thane', ' – x.com', ' road', ' of', ' on Facebook', ' sq ft', ' - portal.com'][p_partkey % 11 + 1] FROM part
+  UNION ALL SELECT 'customer' || c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'gym and ' ELSE '' END || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN ' - ' ELSE ' ' END || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    def pick(k: F.Column, values: list[str]) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+    a = t(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("id"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("s"))
+    ends = [" Park", " - Price & Review | Site", ": floor plan of it", " - Avenue 2", ", Thane", " – x.com", " road", " of", " on Facebook", " sq ft", " - portal.com"]
+    b = t(spark, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")), F.concat(pick(F.col("p_size"), ["", "New ", "The ", "Buy ", "12 "]), "p_name", pick(F.col("p_partkey"), ends)))
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select(F.concat(F.lit("customer"), k.cast("string")), F.concat(F.when(k % 3 == 0, "gym and ").otherwise(""), F.lower("c_mktsegment"), F.when(k % 2 == 0, " - ").otherwise(" "), "n_name"))
+    return a.union(b).union(c)
+
+
+@query(rf"""WITH RECURSIVE {TITLES_SQL},
+h AS (SELECT id, trim(coalesce(s, '')) AS n, trim(regexp_replace(trim(coalesce(s, '')), '(?s)\s*[|—–].*$', '')) AS f FROM q),
+p AS (SELECT id, trim(regexp_replace(CASE WHEN f = '' THEN n ELSE f END, '\s+[-–—]\s+[A-Za-z0-9][\w-]*\.[A-Za-z]{{2,5}}\s*$', '')) AS h FROM h),
+c AS (SELECT id, h, trim(regexp_extract(h, '(?s)^(.*?)(?::|\s-\s|\s–\s)(.*)$', 1)) AS a, lower(regexp_extract(h, '(?s)^(.*?)(?::|\s-\s|\s–\s)(.*)$', 2)) AS b FROM p),
+cut AS (SELECT id, 0 AS k, CASE WHEN length(a) >= 4 AND len(list_filter({_listed_sql(names.TAIL)}, lambda m: contains(b, m))) > 0 THEN a ELSE h END AS h FROM c
+  UNION ALL SELECT id, k + 1, CASE WHEN ends_with(lower(h), ', ' || x) AND length(h) > length(x) + 5 THEN rtrim(rtrim(h[:length(h) - length(x) - 2]), ',-–—') WHEN ends_with(lower(h), ' - ' || x) AND length(h) > length(x) + 6 THEN rtrim(rtrim(h[:length(h) - length(x) - 3]), ',-–—')
+    WHEN ends_with(lower(h), ' ' || x) AND length(h) > length(x) + 4 THEN rtrim(rtrim(h[:length(h) - length(x) - 1]), ',-–—') ELSE h END FROM (SELECT *, {_listed_sql(TITLE_CITIES)}[k + 1] AS x FROM cut WHERE k < {len(TITLE_CITIES)})),
+n AS (SELECT id, trim(trim(trim(h), ',-–—')) AS n FROM cut WHERE k = {len(TITLE_CITIES)}),
+w AS (SELECT id, n, lower(n) AS low, regexp_extract_all(lower(n), '[a-z]+') AS w FROM n),
+r AS (SELECT id, n, CASE WHEN n = '' THEN 'empty' WHEN length(n) < 3 THEN 'too short' WHEN length(n) > 90 THEN 'too long' WHEN len(w) = 0 THEN 'no words' WHEN len(w) > 10 THEN 'too many words' WHEN contains(n, ':') THEN 'headline'
+  WHEN len(list_filter({_listed_sql(names.FURNITURE)}, lambda m: contains(low, m))) > 0 THEN 'page furniture' WHEN len(list_filter({_listed_sql(names.SOCIAL)}, lambda m: contains(low, m))) > 0 THEN 'social platform'
+  WHEN len(list_filter({_listed_sql([*names.LISTING, "portal.com"])}, lambda m: contains(low, m))) > 0 THEN 'listing title' WHEN list_contains({_listed_sql(names.ROADS)}, w[-1]) THEN 'road or station'
+  WHEN w[-1] IN ('the', 'a', 'an', 'of', 'in', 'at', 'and') THEN 'fragment' WHEN len(list_filter(w, lambda x: NOT list_contains({_listed_sql([*names.AMENITY_WORDS, *names.SMALL_WORDS, *classify.FILLER])}, x))) = 0 THEN 'amenity' END AS reason FROM w)
+SELECT id, reason, CASE WHEN reason IS NULL THEN n END AS name FROM r""")
+def candidate_names_of_titles(spark: SparkSession, d: str) -> DataFrame:
+    said = F.col("s")
+    return titles(spark, d).select("id", names.candidate_reason(said, [], TITLE_CITIES, ["portal.com"]).alias("reason"), said).select("id", "reason", F.when(F.col("reason").isNull(), names.title_head(said, TITLE_CITIES)).alias("name"))
+
+
 GATE_PLACES = ["Malad East", "malad", "Powai", "MALAD West", "Vashi"]
 
 
