@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import quern.plans.facts  # noqa: F401  adds its queries
 import quern.plans.folding  # noqa: F401  adds its queries
+import quern.plans.intake  # noqa: F401  adds its queries
 import quern.plans.listings  # noqa: F401  adds its queries
 import quern.plans.pages  # noqa: F401  adds its queries
 import quern.plans.searches  # noqa: F401  adds its queries
