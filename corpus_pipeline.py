@@ -8,14 +8,20 @@ the last give the columns of ``documents``.
 2. n-gram Jaccard join: of each group of near copies (five-word shingles,
    similarity 0.8 or more, linked over any number of steps) that with the
    smallest doc_id stays;
+   (documents are told by id and text: rows of one id and other texts are documents
+   of their own, rows without id are compared too);
 3. benchmark decontamination: passages of test items are cut out, texts with
    more than half their words in such passages go;
-4. mixing: sources are brought to temperature weights by repeating smaller ones,
-   at most half as often again; no text is lost;
+4. mixing: sources are brought half the way to equal weights (in entropy) by
+   repeating smaller ones, at most half as often again; no text is lost;
 5. token ids: texts are encoded into a store of directly addressable codes; the
    result is what the store says of each text.
 
-Nulls: a null text is empty and goes in stage 1. An empty table stays empty.
+A null text is empty and goes in stage 1; a null source is a source; a row without id
+is kept like any. Rows that repeat whole leave one in stage 2; of near copies with equal
+ids the first by a hash of the text stays. Very long texts go through each stage as its
+module says. Columns beyond those of ``documents``, whatever their names, go through
+stages 1 to 4 unchanged. An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -28,8 +28,8 @@ least once: nothing is lost, and smaller sources come again.
 Defined results: a null source is the source ''; null or empty texts have no
 tokens; a source without tokens has weight 0 and no copies; documents of equal id
 are chosen alike; a document of any length is one unit, in or out; an empty table
-gives no rows; a clashing column name does no harm, for own columns start with
-``_mix_`` and are dropped.
+gives no rows. Own columns start with ``_mix_``: columns of the input whose names do
+so too are left out of a plan; ``mixed`` keeps them.
 """
 
 from __future__ import annotations
@@ -205,6 +205,7 @@ def _last(rows: DataFrame, own: str, *order: str) -> DataFrame:
 def plan(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """``docs`` with ``_mix_tokens, _mix_weight, _mix_block, _mix_copies`` (0 or more)."""
     tokens = word_count(F.col("text")) if tokens is None else tokens
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("_mix_")))
     ready = docs.select("*", tokens.cast("long").alias("_mix_tokens"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_mix_source"), F.xxhash64(F.col(id_col), F.lit(mix.seed)).alias("_mix_hash"))
     narrow = stored(ready.select("_mix_source", "_mix_tokens", "_mix_hash"), "mix-rows")  # texts are read once for all sums
     totals = stored(narrow.groupBy("_mix_source").agg(F.sum("_mix_tokens").alias("_mix_own")), "mix-totals")
@@ -238,8 +239,10 @@ def plan(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", source_col: str =
 
 def mixed(docs: DataFrame, mix: Mix, **options: str) -> DataFrame:
     """``docs`` with each row as often as the mixture uses it; columns stay as they are."""
-    planned = plan(docs, mix, **options).where("_mix_copies > 0")
-    return planned.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    safe = docs.toDF(*(f"_of{c}" if c.startswith("_mix_") else c for c in docs.columns))
+    planned = plan(safe, mix, **options).where("_mix_copies > 0")
+    copies = planned.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    return copies.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(safe.columns, docs.columns, strict=True)))
 
 
 def schedule(planned: DataFrame, mix: Mix, *, id_col: str = "doc_id") -> DataFrame:

@@ -16,8 +16,12 @@ projection ``TERMS * dims``.
 Defined results: null and empty texts have no terms and get ``prior`` (the share
 of label 1 in the sample), as do all texts if nothing is labelled; labels that
 are null or not 0 or 1 are not used; an id that is labelled more than once uses
-its largest label; repeated rows are scored each. Only the named columns are
-read; a score reads the text only.
+its largest label; repeated rows are scored each; an empty table gives no rows. Of
+labelled texts that are equally near at the k-th place those of the smaller hash count
+(the sample is in that order), so a tie is decided alike everywhere. A very long text
+is hashed a megabyte at a time, 24 bytes for each byte of that; only its counts of terms
+(``TERMS`` numbers) are kept. Only the named columns are read; a score reads the text
+only.
 """
 
 from __future__ import annotations
