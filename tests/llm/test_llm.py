@@ -239,7 +239,7 @@ def naive_plan(rows, mix, hashed, keyed):
     return copies
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(max_repeat=1.5, block_tokens=100), mixing.Mix(entropy=1.2, budget=4000, block_tokens=60), mixing.Mix(max_repeat=1.5, block_tokens=100, max_sources=0, max_totals=0)])
+@pytest.mark.parametrize("mix", [mixing.Mix(max_repeat=1.5, block_tokens=100), mixing.Mix(entropy=1.2, budget=4000, block_tokens=60), mixing.Mix(max_repeat=1.5, block_tokens=100, max_sources=0, max_totals=0), mixing.Mix(evenness=0.4, max_repeat=3.0, block_tokens=80, max_totals=0)])
 def test_mixture_equals_a_walk_through_the_permutation(frame, mix):
     rng = random.Random(3)
     rows = [(i, prose(rng, rng.randint(1, 30)), rng.choices(["a", "b", "c", None, "d"], [60, 20, 10, 5, 5])[0]) for i in range(300)] + [(900, None, "e")]
@@ -247,12 +247,20 @@ def test_mixture_equals_a_walk_through_the_permutation(frame, mix):
     hashed = {r[0]: (r[1], r[2]) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(mix.seed)).alias("h")).select("doc_id", "h", F.xxhash64("h")).collect()}
     keys = {tuple(r)[:3]: r[3] for r in df.select(F.coalesce("source", F.lit("")).alias("s")).distinct().crossJoin(df.sparkSession.range(4).toDF("p")).crossJoin(df.sparkSession.range(200).toDF("b")).select("s", "p", "b", F.xxhash64("s", "p", "b", F.lit(mix.seed))).collect()}
     planned = mixing.plan(df, mix).collect()
-    if mix.max_totals:
-        assert {r.doc_id: r._mix_copies for r in planned} == naive_plan(rows, mix, hashed, lambda *k: keys[k])
-        assert len({(r._mix_source, r._mix_block) for r in planned if r._mix_source == "a"}) > 10 and len({r._mix_weight for r in planned}) > 3
-    else:  # joined sources and rounded totals: near the same
-        want = naive_plan(rows, mix, hashed, lambda *k: keys[k])
-        assert sum(r._mix_copies != want[r.doc_id] for r in planned) < 9
+    assert {r.doc_id: r._mix_copies for r in planned} == naive_plan(rows, mix, hashed, lambda *k: keys[k])
+    assert len({(r._mix_source, r._mix_block) for r in planned if r._mix_source == "a"}) > 10 and len({r._mix_weight for r in planned}) > 3
+
+
+def test_the_target_of_the_queries_binds(spark):
+    from quern.llm.queries import MIX
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    totals = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("_mix_own"))
+    tokens = np.array([r[1] for r in totals.collect()])
+    alpha = mixing.solve(tokens, MIX)
+    table = mixing.SparkTotals(totals.groupBy("_mix_own").agg(F.count("*").alias("n")))
+    assert 0 < alpha < 1 and mixing.solve(table, MIX) == pytest.approx(alpha, abs=1e-9)
+    assert mixing.entropy_of(mixing.weights(tokens, 1.0)) < mixing.entropy_of(mixing.weights(tokens, alpha)) < math.log(len(tokens))
 
 
 # ---- 5
