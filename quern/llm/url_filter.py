@@ -2,18 +2,19 @@
 
 Rules are strings ``host + path``. Their 64-bit xxhash keys are sorted in one
 array, beside it the verdicts and the full strings. A worker maps the array
-into memory (an unlinked temporary file), so its pages are shared and may be
-larger than what it touches. A URL's candidates (every suffix of its host at a
+into memory (an unlinked temporary file of its own, in the executor's temporary
+folder), so the array may be larger than what a worker touches or holds. A URL's candidates (every suffix of its host at a
 label, with every prefix of its path that has the length of some rule's path)
 are hashed and probed together by vectorised binary search; a key that is found
 is confirmed by its full string, so equal keys of different strings never
 decide. The longest rule that fits wins (then the longest host).
 
-A rule table is measured first. Beyond ``max_bytes`` it is dealt, by a hash of the
-host, into arrays of about that size; the driver fetches and packs one at a time,
+A rule table is measured first. Beyond ``max_bytes`` it is dealt, by a hash of
+host and path, into arrays of about that size; the driver fetches and packs one at a time,
 each is broadcast (Spark keeps it on the executors' disks) and mapped, and URLs
 are probed against one after the other. A worker drops the bytes once they are
-mapped, so its memory does not grow with the rules.
+mapped, so its memory does not grow with the rules. It keeps 256 maps; of more arrays
+(beyond 16 GB of rules) it maps all again for each batch: slow, but the same result.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and
 no rule but an empty host's fits; an empty table gives no rows; repeated rows
