@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import catalog, evidence, geo, keyed, leads, secondary
+from quern.operators import catalog, evidence, gazetteer, geo, keyed, leads, secondary
 from quern.plans.queries import query, t
 from quern.sources import stores
+from quern.sources.shared import new_folder
 
 
 def s(c: str | F.Column) -> F.Column:
@@ -263,3 +264,103 @@ def united_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     both = secondary.primary_then_fallback(F.array("c_mktsegment", "n_name"), F.array("r_name", "c_mktsegment"), 10)
     return rows.select("c_custkey", F.size(both).cast("long").alias("n_words"))
+
+
+# ---- catalog rows, places, evidence
+
+
+@query("""WITH a AS (SELECT DISTINCT lower(p_brand) AS alias, p_size AS seq, 'C' || p_size AS canonical, 'P' || (p_size % 4) AS parent, 'X' || (p_size % 3) AS city, CASE WHEN p_size % 2 = 0 THEN 'home' ELSE 'far' END AS market FROM part WHERE p_size % 5 < 2),
+l AS (SELECT n_name AS name, r_name AS city, CASE WHEN n_nationkey % 2 = 0 THEN 'home' ELSE 'far' END AS market FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT p_brand, 'Brandville', 'home' FROM part WHERE p_size > 48),
+terms AS (SELECT DISTINCT p_brand AS term FROM part UNION SELECT upper(n_name) FROM nation UNION SELECT 'nowhere'),
+ma AS (SELECT alias, market, list(struct_pack(c := canonical, p := parent, t := city) ORDER BY seq) AS e FROM a GROUP BY 1, 2),
+ba AS (SELECT alias, arg_min(e, CASE market WHEN 'home' THEN 0 ELSE 1 END) AS e, min(CASE market WHEN 'home' THEN 0 ELSE 1 END) AS o FROM ma GROUP BY 1),
+bl AS (SELECT lower(name) AS name, arg_min(city, CASE market WHEN 'home' THEN 0 ELSE 1 END) AS city, min(CASE market WHEN 'home' THEN 0 ELSE 1 END) AS o FROM l GROUP BY 1),
+j AS (SELECT term, e, bl.city, e IS NOT NULL AND (bl.o IS NULL OR ba.o <= bl.o) AS use, e IS NOT NULL OR bl.name IS NOT NULL AS known FROM terms LEFT JOIN ba ON ba.alias = lower(trim(term)) LEFT JOIN bl ON bl.name = lower(trim(term)))
+SELECT term, CASE WHEN use THEN e[1].c ELSE term END AS canonical, CASE WHEN use THEN e[1].p END AS parent, CASE WHEN use THEN e[1].t ELSE city END AS city, use AS is_micro_alias, CASE WHEN use THEN len(e) - 1 ELSE 0 END AS n_alternatives, known FROM j""")
+def places_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Brands and nations as terms, against aliases made of brands and localities made of nations, in two markets."""
+    n = F.col("p_size")
+    part, nation = t(spark, d, "part"), t(spark, d, "nation").join(t(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    market = lambda k: F.when(k % 2 == 0, "home").otherwise("far")
+    aliases = part.where("p_size % 5 < 2").select(F.lower("p_brand").alias("alias"), n.alias("seq"), F.concat(F.lit("C"), s(n)).alias("canonical"), F.concat(F.lit("P"), s(n % 4)).alias("parent"), F.concat(F.lit("X"), s(n % 3)).alias("city"), market(n).alias("market")).distinct()
+    places = nation.select(F.col("n_name").alias("name"), F.col("r_name").alias("city"), market(F.col("n_nationkey")).alias("market")).union(part.where("p_size > 48").select("p_brand", F.lit("Brandville"), F.lit("home")).distinct())
+    terms = part.select(F.col("p_brand").alias("term")).union(nation.select(F.upper("n_name"))).union(spark.range(1).select(F.lit("nowhere"))).distinct()
+    found = gazetteer.resolve_terms(terms, places, aliases, "home")
+    return found.select("term", "canonical", "parent", "city", "is_micro_alias", F.greatest(F.coalesce(F.size("alternatives"), F.lit(0)), F.lit(0)).cast("long").alias("n_alternatives"), "known")
+
+
+@query("""WITH l AS (SELECT *, (l_linenumber % 3 + 1) || ' BHK' AS kind, CASE WHEN l_quantity < 5 THEN 0.0 ELSE floor(l_extendedprice) * 100 END AS price FROM lineitem),
+g AS (SELECT l_partkey, min(price) FILTER (price > 0) AS low, max(price) FILTER (price > 0) AS high, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS available, count(*) AS units FROM l GROUP BY 1)
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, floor(low / 1e5 + 0.5) AS budget_min_l, floor(high / 1e5 + 0.5) AS budget_max_l, CASE WHEN p_size % 3 = 0 THEN 'Unknown Developer' ELSE p_brand END AS developer, available, units FROM g JOIN part ON p_partkey = l_partkey""")
+def catalog_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as the inventory of their part."""
+    item = F.struct(F.concat(s(F.col("l_linenumber") % 3 + 1), F.lit(" BHK")).alias("type"), F.when(F.col("l_quantity") < 5, 0.0).otherwise(F.floor("l_extendedprice") * 100).alias("price"), F.col("l_quantity").cast("long").alias("available"))
+    raw = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_list(item).alias("inventory")).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    raw = raw.select(F.col("p_partkey").alias("id"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("name"), F.col("p_type").alias("location"), F.lit("x").alias("city"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("developer"), "inventory")
+    return catalog.normalized_projects(raw).select("id", "name", F.col("budget_min_l").cast("double").alias("budget_min_l"), F.col("budget_max_l").cast("double").alias("budget_max_l"), "developer", "available", F.size("inventory").cast("long").alias("units"))
+
+
+@query("""SELECT p_partkey, unnest([1, 2]) AS pos, unnest([(p_size % 4 + 1) || ' BHK', (p_size % 3 + 2) || ' BHK']) AS type, CAST(unnest([p_size + 400, p_size * 20 + 1000]) AS INTEGER) AS carpet_min, CAST(unnest([p_size + 450, p_size * 20 + 1100]) AS INTEGER) AS carpet_max, CAST(unnest([p_size * 10000000, p_size * 100000]) AS BIGINT) AS price FROM part""")
+def unit_mixes(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions with two unit types each, as rows."""
+    n = F.col("p_size")
+    said = F.concat(
+        F.col("p_name"), F.lit(". "), s(n % 4 + 1), F.lit(" BHK homes, Carpet Area: Approx. **"), s(n + 400), F.lit(" to "), s(n + 450), F.lit(" sq. ft.**. Starting Price: **₹"), s(n), F.lit(" Crore. "),
+        s(n % 3 + 2), F.lit("bhk Carpet Area "), F.format_number(n * 20 + 1000, 0), F.lit(" - "), F.format_number(n * 20 + 1100, 0), F.lit(" sqft by the "), "p_type", F.lit(". Starting price ₹ "), s(n), F.lit(" Lakh"),
+    )
+    rows = t(spark, d, "part").select("p_partkey", F.posexplode(secondary.unit_mix(said)).alias("pos", "u"))
+    return rows.select("p_partkey", (F.col("pos") + 1).alias("pos"), "u.*")
+
+
+@query("""SELECT p_partkey AS seq, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS developer, CASE p_size % 3 WHEN 0 THEN (p_size % 4 + 1) || ' BHK,' || (p_size % 4 + 2) || ' BHK' WHEN 1 THEN '2 BHK' ELSE '' END AS configuration,
+  CAST(CASE WHEN p_size % 2 = 0 THEN p_size * 1000000 WHEN p_size % 3 = 2 THEN round_even(1.5 * 1e7, 0) END AS BIGINT) AS price_max_inr, CASE WHEN p_size % 2 = 0 THEN 'P' || p_size WHEN p_size % 3 = 2 THEN '₹1.5 Cr' END AS price_display,
+  CASE WHEN p_size % 5 = 0 THEN 2027 WHEN p_size % 5 = 1 THEN 2026 END AS possession_year, CASE WHEN p_size % 5 = 0 THEN 'Dec 2027' WHEN p_size % 5 = 1 THEN 'Ready to Move' END AS possession_display, 'Gym,Pool' AS amenities FROM part""")
+def properties_of_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as rows of evidence: what is given stays, what is missing is read from the text."""
+    n, none = F.col("p_size"), F.lit(None).cast("string")
+    price = F.struct(F.lit(None).cast("long").alias("min_inr"), F.when(n % 2 == 0, n * 1_000_000).cast("long").alias("max_inr"), F.when(n % 2 == 0, F.concat(F.lit("P"), s(n))).alias("display"))
+    rows = t(spark, d, "part").select(
+        F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.when(n % 3 == 1, "homes of 2 BHK").when(n % 3 == 2, "all at 1.5 Cr").otherwise("by the sea").alias("description"), F.when(n % 2 == 0, F.col("p_brand")).otherwise(" ").alias("developer"),
+        F.col("p_type").alias("location"), none.alias("city"), F.when(n % 3 == 0, F.array(F.concat(s(n % 4 + 1), F.lit(" & "), s(n % 4 + 2), F.lit(" BHK")))).otherwise(F.array().cast("array<string>")).alias("configuration"), price.alias("price"),
+        F.struct(F.lit(None).cast("double").alias("value_sqft"), none.alias("display")).alias("carpet_area"), F.when(n % 5 == 0, "Dec 2027").when(n % 5 == 1, "ready").alias("possession"), none.alias("rera"), F.array(F.lit(" Gym"), F.lit(""), F.lit("Pool ")).alias("amenities"),
+        F.lit("web").alias("source"), F.lit("https://a.b/c").alias("source_url"), F.lit("web").alias("source_type"), F.lit("2026-01-01").alias("captured_at"),
+    )
+    out = evidence.to_properties(rows, F.lit("2026-06-01").cast("date"))
+    return out.select("seq", "name", "developer", F.array_join("configuration", ",").alias("configuration"), "price_max_inr", "price_display", "possession_year", "possession_display", F.array_join("amenities", ",").alias("amenities"))
+
+
+@query("""SELECT CASE WHEN o_orderpriority < '3' THEN 'urgent' ELSE 'later' END AS log, count(*) * 2 AS rows, CAST(sum(o_orderkey) * 2 AS BIGINT) AS keys FROM orders GROUP BY 1
+UNION ALL SELECT 'index', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders""")
+def logs_and_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Orders appended twice to a log by priority, and once uploaded in batches of a thousand; both read back."""
+    home = new_folder(spark, "logs")
+    rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") < "3", "urgent").otherwise("later").alias("log"))
+    for _ in range(2):
+        stores.append(rows, f"{home}/log", "log")
+    stores.upload_batches(rows, f"{home}/index")
+    log = spark.read.schema("o_orderkey long, log string").parquet(f"{home}/log").groupBy("log").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+    index = stores.read_json(spark, f"{home}/index", "o_orderkey long, log string").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+    return log.unionByName(index.select(F.lit("index").alias("log"), "rows", "keys"))
+
+
+@query("""WITH w AS (SELECT c_custkey, list_filter(string_split_regex(lower(c_mktsegment || ' of ' || n_name), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS a, list_filter(string_split_regex(lower(r_name || '-' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS b
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) SELECT c_custkey, len(list_intersect(a, b)) > 0 AS same FROM w""")
+def registered_name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a registered name shares any word of weight with the one that is claimed."""
+    rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = rows.select("c_custkey", F.concat_ws(" of ", "c_mktsegment", "n_name").alias("a"), F.concat(F.col("r_name"), F.lit("-"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise("")).alias("b"))
+    return rows.select("c_custkey", leads.tokens_overlap("a", "b").alias("same"))
+
+
+@query("""SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate), 6) AS rank,
+  count(*) OVER (PARTITION BY o_custkey ORDER BY epoch(o_orderdate::TIMESTAMP)::BIGINT // 86400 RANGE BETWEEN 90 PRECEDING AND CURRENT ROW) AS in_90_days FROM orders""")
+def ext_window_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Quarters, percent ranks and a range of days (extensions)."""
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    own = Window.partitionBy("o_custkey")
+    return t(spark, d, "orders").select(
+        "o_orderkey",
+        F.ntile(4).over(own.orderBy("o_orderdate", "o_orderkey")).cast("long").alias("quarter"),
+        F.round(F.percent_rank().over(own.orderBy("o_orderdate")), 6).alias("rank"),
+        F.count("*").over(own.orderBy(day).rangeBetween(-90, Window.currentRow)).alias("in_90_days"),
+    )
