@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import nl
 from quern.operators import catalog, evidence, gazetteer, geo, keyed, leads, secondary
 from quern.plans.queries import query, t
 from quern.sources import stores
@@ -364,3 +365,28 @@ def ext_window_ranks(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.percent_rank().over(own.orderBy("o_orderdate")), 6).alias("rank"),
         F.count("*").over(own.orderBy(day).rangeBetween(-90, Window.currentRow)).alias("in_90_days"),
     )
+
+
+# ---- questions with places
+
+
+@query("""WITH q AS (SELECT c_custkey, c_custkey % 4 AS k, n_nationkey % 4 + 1 AS n, c_custkey % 9 + 1 AS cr, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS place, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS seg FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, CASE k WHEN 0 THEN place WHEN 1 THEN seg || '|' || place WHEN 3 THEN seg || '|' || place ELSE '' END AS locations, CASE k WHEN 0 THEN n || ' BHK' WHEN 3 THEN 'Studio' ELSE '' END AS configuration, CASE k WHEN 0 THEN CAST(n AS INTEGER) END AS bedrooms,
+  CASE k WHEN 0 THEN cr * 10000000 END::DOUBLE AS budget_max, CASE k WHEN 1 THEN '2027' WHEN 3 THEN '2028' ELSE '' END AS possession, CASE k WHEN 0 THEN 'gym' WHEN 1 THEN 'sea view' WHEN 2 THEN 'pool' ELSE '' END AS amenities, true AS wanted FROM q""")
+def questions_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that name nations and market segments, which are the gazetteer (two dimensions of a few names each)."""
+    nation, customer = t(spark, d, "nation"), t(spark, d, "customer")
+    names = [r[0] for r in nation.select("n_name").union(customer.select("c_mktsegment")).distinct().collect()]
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    said = (
+        F.when(k % 4 == 0, F.concat(s(F.col("n_nationkey") % 4 + 1), F.lit(" BHK in "), F.lower("n_name"), F.lit(" under "), s(k % 9 + 1), F.lit(" cr with gym")))
+        .when(k % 4 == 1, F.concat(F.lit("flats near "), F.lower(seg), F.lit(" and "), "n_name", F.lit(", with a sea view, by 2027")))
+        .when(k % 4 == 2, F.concat("n_name", F.lit("x or x"), seg, F.lit(" pool")))
+        .otherwise(F.concat(F.lit("studio "), seg, F.lit(" "), F.lower(seg), F.lit(" "), "n_name", F.lit(" possession 2028")))
+    )
+    rows = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", said.alias("said"))
+    parsed = rows.withColumn("q", nl.parse_query("said", names))
+    return parsed.select(
+        "c_custkey", F.array_join("q.locations", "|").alias("locations"), "q.configuration", "q.bedrooms", F.col("q.budget_max").cast("double").alias("budget_max"), "q.possession", F.array_join("q.amenities", "|").alias("amenities"),
+        nl.is_property_query("said", F.col("q"), names).alias("wanted"),
+    )
