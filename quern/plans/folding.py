@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import classify
-from quern.operators import folds
+from quern.operators import assertions, folds
 from quern.plans.queries import query, t
 
 #: A line as a fact of its part, in the order of orders; a tenth of the lines tell of a configuration.
@@ -112,3 +112,38 @@ def research_priorities(spark: SparkSession, d: str) -> DataFrame:
         F.lit("").alias("price_display"),
     )
     return folds.prioritized(rows).select("seq", "penalty", "priority")
+
+
+# ---- rules of data quality
+
+
+@query("""WITH l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+p AS MATERIALIZED (SELECT o_orderkey AS run, o_orderstatus AS market, pos, CASE WHEN o_orderkey % 2 = 0 THEN '2 BHK in Brand#1' ELSE 'homes' END AS q, p_name || CASE WHEN l_quantity > 45 THEN ': the best' ELSE '' END AS name, p_brand AS location, l_returnflag AS life,
+  CASE l_linenumber % 3 WHEN 0 THEN 'P51800' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') WHEN 1 THEN 'bad' END AS rera, l_linenumber % 2 = 0 AS twice, CASE WHEN l_quantity < 10 THEN 'Villa' WHEN l_quantity < 20 THEN 'Flat' END AS kind, l_linenumber % 4 AS pr, l_discount > 0.05 AS claim, l_tax > 0.04 AS placed, l_quantity > 20 AS b1, l_quantity > 40 AS b2 FROM l),
+v AS (
+  SELECT market, 'V2 locality' AS rule, contains(lower(location || '  ' || name), 'brand#1') AS ok FROM p WHERE contains(q, 'Brand#1')
+  UNION ALL SELECT market, 'V3 lifecycle', life = 'N' FROM p UNION ALL SELECT market, 'V4 name', NOT contains(name, ':') FROM p UNION ALL SELECT market, 'V5 registration', rera <> 'bad' FROM p WHERE rera IS NOT NULL
+  UNION ALL SELECT market, 'V6 configuration', NOT twice FROM p UNION ALL SELECT market, 'V7 kind', NOT (q LIKE '2%' AND kind = 'Villa') FROM p WHERE kind IS NOT NULL UNION ALL SELECT market, 'V8 price', pr > 1 FROM p UNION ALL SELECT market, 'V9 place', placed FROM p WHERE claim
+), d AS (SELECT market, (rera IS NOT NULL AND row_number() OVER (PARTITION BY run, rera ORDER BY pos) > 1)::INT + (row_number() OVER (PARTITION BY run, regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(location), '[^a-z0-9]', '', 'g') ORDER BY pos) > 1)::INT AS n FROM p)
+SELECT market, rule, CAST(count(*) FILTER (ok) AS BIGINT) AS passed, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failed FROM v GROUP BY 1, 2
+UNION ALL SELECT o_orderstatus, 'V1 answer', count(*) FILTER (o_orderpriority < '4'), count(*) FILTER (o_orderpriority >= '4') FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1
+UNION ALL SELECT market, 'V10 panels', CAST(sum(1 + b1::INT + b2::INT) AS BIGINT), CAST(sum(2 - b1::INT - b2::INT) AS BIGINT) FROM p WHERE pos = 0 GROUP BY 1
+UNION ALL SELECT market, 'V11 ledger', CAST(sum(1 + b1::INT) AS BIGINT), CAST(sum(1 + (NOT b1)::INT) AS BIGINT) FROM p WHERE pos = 0 GROUP BY 1
+UNION ALL SELECT market, 'V12 duplicates', CAST(sum(1 - n) AS BIGINT), CAST(sum(n) AS BIGINT) FROM d GROUP BY 1""")
+def rules_by_market(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as searches, their lines as the properties that were returned, nested; twelve rules by market."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    pick = lambda k, *v: F.element_at(F.array(*(F.lit(x).cast("string") for x in v)), (k + 1).cast("int"))
+    item = F.struct(
+        n.alias("o1"), F.col("l_partkey").alias("o2"), F.col("l_suppkey").alias("o3"), q.alias("o4"),
+        F.concat("p_name", F.when(q > 45, ": the best").otherwise("")).alias("name"), F.col("p_brand").alias("location"), F.lit("").alias("city"), pick(F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2), "RESALE", "NEW_LAUNCH", "READY_TO_MOVE").alias("lifecycle_status"),
+        F.when(n % 3 == 0, F.concat(F.lit("P51800"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))).when(n % 3 == 1, "bad").alias("rera"), pick(n % 2, "2 BHK & 2 BHK", "2 BHK, 3 BHK").alias("config"), F.when(q < 10, "Villa").when(q < 20, "Flat").alias("property_type"),
+        pick(n % 4, "₹2 Cr - ₹1 Cr", " ₹ ", "₹1 Cr - ₹2 Cr", None).alias("price"), F.when(F.col("l_discount") > 0.05, "by the sea").alias("nearby_landmarks"), F.lit("").alias("connectivity"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.0).alias("lat"), F.lit(None).cast("double").alias("lon"),
+        F.array(F.lit(True), q > 20, q > 40).alias("panels"), F.create_map(F.lit("a"), F.lit("filled"), F.lit("b"), F.when(q > 20, "filled").otherwise("never_researched"), F.lit("c"), F.lit("searched_not_found")).alias("ledger"),
+    )
+    lines = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", item.alias("item"))
+    key = lambda x: F.struct(x["o1"], x["o2"], x["o3"], x["o4"])
+    nested = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item"), lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)).alias("properties"))
+    orders = t(spark, d, "orders").join(nested, F.col("l_orderkey") == F.col("o_orderkey"))
+    searches = orders.select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("market"), F.when(F.col("o_orderkey") % 2 == 0, "2 BHK in Brand#1").otherwise("homes").alias("query"), F.lit("agent").alias("pipeline"), F.when(F.col("o_orderpriority") < "4", 200).otherwise(500).alias("http_status"), "properties")
+    return assertions.assertions(searches, ["Brand#1"])
