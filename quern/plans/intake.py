@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import nl
+from quern.functions import nl, scalar
 from quern.operators import catalog, evidence, gazetteer, geo, keyed, leads, secondary
 from quern.plans.queries import query, t
 from quern.sources import stores
@@ -390,3 +390,46 @@ def questions_parsed(spark: SparkSession, d: str) -> DataFrame:
         "c_custkey", F.array_join("q.locations", "|").alias("locations"), "q.configuration", "q.bedrooms", F.col("q.budget_max").cast("double").alias("budget_max"), "q.possession", F.array_join("q.amenities", "|").alias("amenities"),
         nl.is_property_query("said", F.col("q"), names).alias("wanted"),
     )
+
+
+# ---- texts of many rows
+
+
+LINES_SQL = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, CAST(l_quantity AS BIGINT) % 5 + 1 AS n FROM lineitem)"
+
+
+def lines_of(spark: SparkSession, d: str, text: F.Column, key: str = "l_orderkey") -> DataFrame:
+    """(key, parts): a text for each line, in their order."""
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", text.alias("x")))), lambda r: r["x"]).alias("parts"))
+
+
+@query(f"""WITH {LINES_SQL}, x AS (SELECT l_orderkey, pos, unnest(CASE l_returnflag WHEN 'A' THEN [CAST(l_linenumber AS VARCHAR), CAST(n AS VARCHAR)] WHEN 'N' THEN [n || '.5'] ELSE [] END) AS u, unnest(CASE l_returnflag WHEN 'A' THEN [1, 2] WHEN 'N' THEN [1] ELSE [] END) AS k FROM l),
+f AS (SELECT l_orderkey, u, min(pos * 10 + k) AS at FROM x GROUP BY 1, 2), g AS (SELECT l_orderkey, string_agg(u || ' BHK', ',' ORDER BY at) AS units FROM f GROUP BY 1)
+SELECT o.l_orderkey, coalesce(units, 'Studio') AS units FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN g USING (l_orderkey)""".replace("AS at FROM x", "AS place FROM x").replace("ORDER BY at)", "ORDER BY place)"))
+def configurations_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations in texts of all lines of an order: shared units, halves, studios where there is nothing else."""
+    n = s(F.col("l_quantity").cast("long") % 5 + 1)
+    said = F.when(F.col("l_returnflag") == "A", F.concat(s("l_linenumber"), F.lit(" & "), n, F.lit(" BHK flats"))).when(F.col("l_returnflag") == "N", F.concat(n, F.lit(".5bhk"))).otherwise("a Studio")
+    rows = lines_of(spark, d, said)
+    return rows.select("l_orderkey", F.array_join(scalar.bhk_list(F.array_join("parts", "; ")), ",").alias("units"))
+
+
+@query(f"""WITH {LINES_SQL}, c AS (SELECT l_partkey, 'P518' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS code, min(struct_pack(a := l_linenumber, b := l_orderkey, c := l_suppkey, d := l_quantity)) AS f FROM l GROUP BY 1, 2)
+SELECT l_partkey, string_agg(code, '|' ORDER BY f) AS codes, (SELECT count(*) FROM lineitem i WHERE i.l_partkey = c.l_partkey) AS n_entries FROM c GROUP BY 1""")
+def registrations_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Registration numbers in a text of all lines of a part, and the entries of the same as a list."""
+    code = F.concat(F.lit("p518"), F.lpad(s("l_suppkey"), 8, "0"))
+    rows = t(spark, d, "lineitem").select("l_partkey", F.struct("l_linenumber", "l_orderkey", "l_suppkey", "l_quantity", code.alias("x")).alias("r"))
+    texts = rows.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias("parts"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("parts", lambda p: F.concat(p, F.lit("|2026-01-01|Phase 1"))), " , "), F.lit("]"))
+    return texts.select("l_partkey", F.array_join(scalar.rera_list(F.array_join("parts", " and ")), "|").alias("codes"), F.size(F.filter(scalar.rera_entries(listed), lambda e: e["phase"] == "Phase 1")).cast("long").alias("n_entries"))
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey, unnest([p_name, split_part(p_name, ' ', 1), p_brand]) AS w FROM lineitem JOIN part ON p_partkey = l_partkey), k AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.l_orderkey = a.l_orderkey AND length(b.w) > length(a.w) AND contains(b.w, a.w)))
+SELECT l_orderkey, (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) FROM x WHERE x.l_orderkey = o.l_orderkey) AS longest, (SELECT string_agg(w, '|' ORDER BY w) FROM k WHERE k.l_orderkey = o.l_orderkey) AS kept FROM (SELECT DISTINCT l_orderkey FROM lineitem) o""")
+def terms_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Names, first words and brands of an order's parts: longest first, and without those inside a longer one."""
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    terms = rows.groupBy("l_orderkey").agg(F.array_distinct(F.flatten(F.collect_list(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_brand")))).alias("terms"))
+    return terms.select("l_orderkey", F.array_join(scalar.longest_first("terms"), "|").alias("longest"), F.array_join(F.array_sort(scalar.drop_contained("terms")), "|").alias("kept"))
