@@ -72,11 +72,9 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows in the actions inside: of whole texts, 10,000 rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -86,6 +84,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of at most ``rows`` rows in the actions inside: of whole texts, 10,000 rows are large."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def tidy(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of frames made inside go when their action ends, not when the driver happens to collect its garbage.
+
+    For frames of one action each; what is returned to others is made outside.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not with glibc

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -825,6 +826,19 @@ def test_join_equals_brute_force(frame, k, threshold, options):
         assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_blocks_by_shared_passages_are_split(frame, monkeypatch):
+    rng, seen = random.Random(31), []
+    passages = [prose(rng, 50) for _ in range(81)]
+    texts = [f"{a} {prose(rng, 50)} {b}" for a, b in itertools.pairwise(passages)]  # each shares a passage with the next: a chain, but no link
+    texts += [t + " more" for t in texts[::10]]
+    join = ngram_join._tree_join
+    monkeypatch.setattr(ngram_join, "_tree_join", lambda dealt, *a: seen.append(dealt.count()) or join(dealt, *a))
+    df = docs(frame, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, k=5, threshold=(80, 100), task_docs=2).collect()}
+    assert got == naive_components(texts, 5, 80, 100)
+    assert 16 <= seen[0] < 20  # hardly any texts but those that are alike, once each
+
+
 def test_keep_one_tells_documents_by_id_and_text(frame):
     rng = random.Random(21)
     base = [prose(rng, 40) for _ in range(12)]
