@@ -20,9 +20,10 @@ for the longest text: sequences are cut into segments that run side by side, and
 a segment that is not its text's only one gives the product of its steps as a
 matrix, by which the state before it is carried on.
 
-One pass counts words and one encodes: each text becomes two bytes a token, and a
-list of its words that are not common. Those are joined with the counts; a common
-word, however many rows hold it, is never shuffled.
+One pass counts words and one encodes: each text becomes two bytes a token, and
+some megabytes of texts at a time a list of their words that are not common. Such a
+word is joined with its count once for these texts, not for each row that holds it;
+a common word is never shuffled.
 
 Defined results: a null text is empty; an empty text has its end only; a very long
 one is split by Arrow, into no Python objects, and goes through the model by segments;
@@ -175,12 +176,18 @@ def vocabulary_of(counts: DataFrame, shape: Shape) -> Vocabulary:
 
 ENCODED = (
     "row long, id long, training boolean, n_tokens long, n_known long, log_common double, log_shared double, "
-    "codes binary, rare array<struct<word: binary, n: long>>"
+    "codes binary, rare array<struct<words: array<binary>, rows: binary, numbers: binary, at: binary>>"
 )
+#: Words of a part of ``rare``: places in it are two bytes.
+PART = 1 << 16
 
 
 def encode(docs: DataFrame, v: Vocabulary, training: Column, id_col: str, text_col: str) -> DataFrame:
-    """A row for each of ``docs``: its classes, and its words that are not common."""
+    """A row for each of ``docs``: its classes; with the first of some megabytes of texts, their words that are not common.
+
+    These are in parts of ``PART`` distinct words. A part tells the texts' keys (``rows``), how many of
+    its words each has (``numbers``), and the words' places in it, text by text (``at``).
+    """
     logs = np.log10(v.counts + 1)
     known = (v.counts > 0).astype(np.int64)
     shared = np.zeros(len(v.weights))
@@ -201,12 +208,10 @@ def encode(docs: DataFrame, v: Vocabulary, training: Column, id_col: str, text_c
                 bounds = np.concatenate(([0], ends + 1 + np.arange(len(ends))))
                 text = np.repeat(np.arange(len(ends)), ends - begin)
                 kept = rare[at]
-                pair, n = np.unique(text[kept] * len(words) + at[kept], return_counts=True)
-                lists = np.searchsorted(pair, np.arange(len(ends) + 1) * len(words))
-                pairs = pa.StructArray.from_arrays([words.take(pa.array(pair % max(len(words), 1))).cast(pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
+                lists = _parts(words, at[kept], text[kept], batch.column(0).slice(i, len(ends)))
                 per_text = [np.add.reduceat(x[codes], bounds[:-1]) for x in (known, logs, shared)]
                 data = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(2 * bounds), pa.py_buffer(codes.astype(np.uint16))])
-                own = [pa.array(np.diff(bounds)), *map(pa.array, per_text), data.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pairs)]
+                own = [pa.array(np.diff(bounds)), *map(pa.array, per_text), data.cast(pa.binary()), lists]
                 yield pa.record_batch([*(x.slice(i, len(ends)) for x in batch.columns[:3]), *own], names=names)
 
     key = F.monotonically_increasing_id().alias("row")  # of the written table, so it stays
@@ -214,6 +219,40 @@ def encode(docs: DataFrame, v: Vocabulary, training: Column, id_col: str, text_c
     return ready.mapInArrow(frugal(run), ENCODED)
 
 
+def _parts(words: pa.Array, at: np.ndarray, text: np.ndarray, rows: pa.Array) -> pa.Array:
+    """``rare`` of consecutive texts, of which token k is word ``at[k]`` of text ``text[k]``: all of it stands with the first text."""
+    used = np.flatnonzero(np.bincount(at, minlength=len(words)))
+    place = np.zeros(len(words), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    place, cuts = place[at], np.append(np.arange(0, len(used), PART), len(used))
+    chosen = [(place >= cut) & (place < cut + PART) for cut in cuts[:-1]]
+    parts = pa.StructArray.from_arrays(
+        [
+            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words.take(pa.array(used)).cast(pa.binary())),
+            pa.array([rows.to_numpy().tobytes()] * len(chosen), pa.binary()),
+            pa.array([np.bincount(text[x], minlength=len(rows)).tobytes() for x in chosen], pa.binary()),
+            pa.array([(place[x] % PART).astype(np.uint16).tobytes() for x in chosen], pa.binary()),
+        ],
+        names=["words", "rows", "numbers", "at"],
+    )
+    return pa.ListArray.from_arrays(pa.array([0] + [len(chosen)] * len(rows), pa.int32()), parts)
+
+
+def _log_rare(known: pa.Table, parts: pa.Table) -> pa.Table:
+    """(row, n, log_rare) of a part's texts, by the counts ``c`` of its known words."""
+    logs, some = np.zeros(PART), np.zeros(PART)
+    at = known.column("place").to_numpy()
+    logs[at], some[at] = np.log10(known.column("c").to_numpy() + 1.0), 1.0
+    made = []
+    for part in parts.select(["rows", "numbers", "at"]).to_pylist():
+        rows, numbers = (np.frombuffer(part[x], dtype=np.int64) for x in ("rows", "numbers"))
+        words = np.frombuffer(part["at"], dtype=np.uint16)
+        text = np.repeat(np.arange(len(rows)), numbers)
+        n, log_rare = (np.bincount(text, x[words], len(rows)) for x in (some, logs))
+        made.append(pa.table({"row": rows, "n": n.astype(np.int64), "log_rare": log_rare}))
+    return pa.concat_tables(made) if made else pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "log_rare": pa.array([], pa.float64())})
+
+
 def prepare(docs: DataFrame, training: Column, shape: Shape = Shape(), *, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
     """Word counts of the training rows, and all rows encoded; both written."""
     texts = docs.where(training).select(F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -457,9 +496,11 @@ def score(corpus: Corpus, model: Model, tokens_at_once: int = 400_000) -> DataFr
                 yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(log_likelihoods(held, model, segment) / np.log(10))], names=["row", "hmm"])
 
     hmm = corpus.encoded.select("row", "codes").mapInArrow(frugal(run), SCORED)
-    rare = corpus.encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    known = rare.join(corpus.counts.withColumnRenamed("n", "c"), "word")
-    known = known.groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log_rare"))
+    parts = corpus.encoded.select("row", F.posexplode("rare").alias("part", "r")).select("row", "part", "r.*")
+    words = parts.select("row", "part", F.posexplode("words").alias("place", "word"))
+    known = words.join(corpus.counts.withColumnRenamed("n", "c"), "word").select(F.col("row").alias("of"), F.col("part").alias("of_part"), "place", "c")
+    known = known.groupBy("of", "of_part").cogroup(parts.drop("words").groupBy("row", "part")).applyInArrow(_log_rare, "row long, n long, log_rare double")
+    known = known.groupBy("row").agg(F.sum("n").alias("n"), F.sum("log_rare").alias("log_rare"))
     flat = corpus.encoded.drop("codes", "rare")
     joined = flat.join(hmm, "row").join(known, "row", "left")
     log_rare = F.coalesce(F.col("log_rare"), F.lit(0.0))

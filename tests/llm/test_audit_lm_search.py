@@ -268,3 +268,34 @@ def test_bytes_bound_impacts():
     own = ranked_search.impacts(counts, m)
     level = -(-own // ranked_search.UNIT)
     assert level.max() <= 255 and (own <= level * ranked_search.UNIT).all() and (own >= np.where(level > 0, (level - 1) * ranked_search.UNIT + 1, 0)).all()
+
+
+def test_rare_words_are_joined_once_for_many_texts(frame):
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(300)]
+    texts = [" ".join(words[k % 7 :]) for k in range(200)]
+    made = hmm_lm.prepare(frame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").coalesce(1), F.lit(True), SMALL)
+    joined = made.encoded.select(F.explode("rare").alias("r")).select(F.explode("r.words")).count()
+    assert joined <= len(words)  # not one for each of 200 rows
+    n = Counter(w for x in texts for w in x.split())
+    total = sum(n.values()) + len(texts) + len(n) + 1 + 1
+    for r in hmm_lm.score(made, hmm_lm.first_model(made.vocabulary)).collect():
+        own = texts[r.id].split()
+        assert r.n_known == len(own) + 1
+        assert math.isclose(r.base_score, sum(math.log10((n[w] + 1) / total) for w in own) + math.log10((len(texts) + 1) / total), rel_tol=1e-9)
+
+
+def test_parts_of_rare_words(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "PART", 64)
+    rng = np.random.default_rng(9)
+    text, at = np.sort(rng.integers(0, 20, 900)), rng.integers(0, 300, 900)
+    parts = hmm_lm._parts(pa.array([b"w%d" % k for k in range(300)], pa.large_binary()), at, text, pa.array(range(100, 120)))
+    assert len(parts) == 20 and len(parts[0]) > 3 and not any(len(x) for x in parts[1:])
+    total, want = np.zeros((2, 20)), np.zeros((2, 20))
+    for part in parts[0].as_py():
+        known = [(k, int(w[1:])) for k, w in enumerate(part["words"]) if int(w[1:]) % 3]
+        got = hmm_lm._log_rare(pa.table({"place": [k for k, _ in known], "c": [c for _, c in known]}), pa.Table.from_pylist([part]))
+        assert got["row"].to_pylist() == list(range(100, 120))
+        total += [got["n"].to_numpy(), got["log_rare"].to_numpy()]
+    for t, w in zip(text, at):
+        want[:, t] += [1, math.log10(w + 1)] if w % 3 else [0, 0]
+    assert np.allclose(total, want)
