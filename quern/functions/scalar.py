@@ -253,8 +253,8 @@ def context_of(text: ColumnOrName, pattern: str, around: int = 25) -> Column:
 
 
 def url_key(url: ColumnOrName) -> Column:
-    """URL-safe base64 without padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(col(url), "UTF-8")), "+/", "-_"), F.lit("="))
+    """URL-safe base64 without padding; on one line, as Spark's own breaks lines of 76 characters."""
+    return F.rtrim(F.translate(F.base64(F.encode(col(url), "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
 def url_host(url: ColumnOrName) -> Column:

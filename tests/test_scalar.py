@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import hmac
 import json
@@ -53,6 +54,11 @@ def test_money_and_dates(frame):
     assert values(frame, scalar.possession_month("x"), ["2027-06-01", "December 2027", "soon"]) == ["2027-06", "2027-12", None]
 
 
+def test_url_keys_are_one_line(frame):
+    urls = ["http://a.example/" + "x" * n for n in (1, 39, 40, 41, 57, 300)] + ["http://a.example/?>~" + "\u00ff" * 60, ""]
+    assert values(frame, scalar.url_key("x"), urls) == [base64.urlsafe_b64encode(u.encode()).decode().rstrip("=") for u in urls]
+
+
 def test_keys_and_hmac(frame):
     assert values(frame, scalar.core_name_key("x"), ["Sky Park - Price List", "Sky Park"]) == ["skypark", "skypark"]
     want = hmac.new(b"secret", b"payload", hashlib.sha256).hexdigest()
