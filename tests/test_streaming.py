@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quern.operators import keyed
@@ -84,3 +86,36 @@ def test_cursor_reads_each_record_once_and_opens_few_pages(spark, tmp_path):
     assert again[0] == again[1] == [(k, 10 * k) for k in range(100, 150)]
     assert cursor.window(spark, f"{home}/pages", schema, "created", 2000, 2100).count() == 10
     assert cursor.window(spark, f"{home}/none", schema, "created").count() == 0
+
+
+def test_state_by_joins_equals_rules_row_by_row_in_any_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "WHOLE", 3)
+    draw, home, seen, want, schema = random.Random(4), str(tmp_path), {}, [], state.ARRIVALS
+    for batch in range(8):
+        rows = []
+        for seq in range(60):
+            phone, event = draw.choice([None, *"abcdefghijklmnopqrstuvwxyz"[: 10 + 2 * batch]]), draw.random() < 0.6
+            rows.append((phone, 100 * batch + seq // 2, None if event or draw.random() < 0.2 else seq, 1000 * batch + seq if event else None, *(None if event else draw.choice([None, "", f"{f}{seq}"]) for f in "nep")))
+        own, early = [r for r in rows if r[0]], {p: dict(x) for p, x in seen.items()}
+        for p in {r[0] for r in own}:
+            lead, touches = seen.setdefault(p, {"waiting": []}), [r for r in own if r[0] == p and r[3] is None]
+            if touches and "id" not in lead:
+                lead["id"], lead["n"] = min((r[2] for r in touches if r[2] is not None), default=None), 0
+                want += [(p, e, lead["id"], True, None, None, None, None) for e in lead["waiting"]]
+            if touches:
+                for k in (4, 5, 6):
+                    lead[k] = lead.get(k) or min(((r[1], r[k]) for r in touches if r[k]), default=(0, None))[1]
+                lead["n"] += len(touches)
+                want.append((p, None, lead["id"], None, lead[4], lead[5], lead[6], lead["n"]))
+            events = [r[3] for r in own if r[0] == p and r[3] is not None]
+            if "id" in lead:
+                want += [(p, e, lead["id"], False, None, None, None, None) for e in events]
+            else:
+                lead["waiting"] = early.get(p, {"waiting": []})["waiting"] + events
+        feed = spark.createDataFrame(rows, schema)
+        for _ in range(1 + batch % 2):  # a batch that runs again
+            state.take(feed, batch, f"{home}/out", f"{home}/kept")
+        got = [tuple(r) for r in spark.read.schema(state.OUT).parquet(f"{home}/out").drop("batch").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(list((tmp_path / "kept" / "leads").glob("*-*"))) <= 5  # older ones have gone
+    assert any(r[3] for r in want)
