@@ -119,3 +119,16 @@ def test_state_by_joins_equals_rules_row_by_row_in_any_batch(spark, tmp_path, mo
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert len(list((tmp_path / "kept" / "leads").glob("*-*"))) <= 5  # older ones have gone
     assert any(r[3] for r in want)
+
+
+def test_a_feed_of_many_phones_is_taken_by_joins_as_by_one_operator(spark, tmp_path):
+    events_of = spark.range(300).selectExpr("cast(id % 70 as string) AS phone", "id AS seq", "id AS event_id")
+    leads_of = spark.range(100).selectExpr("cast(id % 50 as string) AS phone", "id + 150 AS seq", "id AS lead_id", "if(id % 3 = 0, '', concat('n', id)) AS name")
+    for k, feed in enumerate((state.arrivals(events=events_of.where("seq < 100")), state.arrivals(leads_of, events_of.where("seq >= 100")))):
+        feed.write.mode("append").parquet(f"{tmp_path}/in")
+        state.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        with state.rocks(spark):
+            query = state.tracked(spark.readStream.schema(state.ARRIVALS).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/one").option("checkpointLocation", f"{tmp_path}/steps").trigger(availableNow=True).start()
+        query.awaitTermination()
+        both = [sorted(map(tuple, spark.read.schema(state.OUT).parquet(f"{tmp_path}/{x}").drop("batch").collect()), key=repr) for x in ("out", "one")]
+        assert both[0] == both[1] and len(both[0]) == (0, 270)[k]
