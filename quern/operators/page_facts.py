@@ -101,18 +101,41 @@ class Axis:
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
         self.base = np.concatenate(([0], np.cumsum([len(x) + self.GAP for x in texts], dtype=np.int64)))
+        self.low = [x.lower() for x in texts]
 
     def places(self, pattern: re.Pattern, hint: str | None = None) -> Places:
         """Matches of a pattern; texts without the ``hint`` (in lower case) are left out."""
         starts, ends, found = [], [], []
-        for text, base in zip(self.texts, self.base.tolist(), strict=False):
-            if text and (hint is None or hint in text.lower()):
+        for text, low, base in zip(self.texts, self.low, self.base.tolist(), strict=False):
+            if text and (hint is None or hint in low):
                 for m in pattern.finditer(text):
                     starts.append(base + m.start())
                     ends.append(base + m.end())
                     found.append(m)
         return Places(starts, ends, found)
 
+    def near(self, pattern: re.Pattern, spots: list[Places], reach: int) -> Places:
+        """Matches of a pattern that has no full stop, around some places: what lies whole within reach of one is there.
+
+        From the stop before to the stop after: what is found is what ``places`` finds there.
+        """
+        spans = sorted(x for p in spots for x in zip(p.starts.tolist(), p.ends.tolist(), strict=True))
+        of = self.text_of(np.array([a for a, _ in spans], dtype=np.int64)).tolist()
+        starts, ends, found, last, done = [], [], [], -1, 0
+        for (a, b), k in zip(spans, of, strict=True):
+            text, base = self.texts[k], int(self.base[k])
+            if k != last:
+                last, done = k, 0
+            low = max(text.rfind(".", 0, max(a - base - reach, 0)) + 1, done)
+            high = text.find(".", max(b - base + reach, done))
+            high = len(text) if high < 0 else high
+            for m in pattern.finditer(text, low, high):
+                starts.append(base + m.start())
+                ends.append(base + m.end())
+                found.append(m)
+            done = max(done, high)
+        return Places(starts, ends, found)
+
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.base, at, side="right") - 1
 
@@ -167,7 +190,7 @@ def scopes(feature: Places, unit: Places, building: Places) -> list[str]:
 def kinds_of_area(axis: Axis, areas: Places) -> list[tuple[int, str]]:
     """(match, field): the carpet and the built-up area of each text."""
     low, reach = areas.starts - AREA_REACH, areas.ends - areas.starts + 2 * AREA_REACH
-    carpet, built = (axis.places(p, h).after(low, reach) >= 0 for p, h in ((CARPET, "carpet"), (BUILT_UP, "built")))
+    carpet, built = (axis.near(p, [areas], AREA_REACH).after(low, reach) >= 0 for p in (CARPET, BUILT_UP))
     out, has = [], set()
     for k, (text, c, b) in enumerate(zip(axis.text_of(areas.starts).tolist(), carpet.tolist(), built.tolist(), strict=True)):
         for field, fits in (("carpet_area", c), ("built_up_area", b), ("carpet_area", True)):
@@ -208,7 +231,7 @@ def rows_of(texts: list[str], names: list[str | None]) -> list[tuple]:
                 add(p, k, field, value, own, None, axis.around(m, SHOWN))
     features = {f: p for f, p in ((f, axis.places(p, f[:6])) for f, p in FEATURES.items()) if p.found}
     if features:
-        unit, building = axis.places(UNIT_SCOPE), axis.places(BUILDING_SCOPE)
+        unit, building = (axis.near(p, list(features.values()), SCOPE_REACH) for p in (UNIT_SCOPE, BUILDING_SCOPE))
         for feature, p in features.items():
             for k, (scope, own) in enumerate(zip(scopes(p, unit, building), configurations(labels, p.starts), strict=True)):
                 add(p, k, feature, p.found[k][0], own, scope, axis.around(p.found[k], SCOPE_SHOWN))
@@ -230,22 +253,30 @@ def placed(texts: pa.Array, names: pa.Array) -> pa.Array:
     return _lists([(*r, r[1]) for r in rows], len(texts), FACT.elementType.names, [pa.string()] * 5 + [pa.int32()])
 
 
-def amenities(text: ColumnOrName, name: ColumnOrName) -> Column:
-    """Words of amenities outside the page's own name; not those inside a longer one that is there too."""
-    own = F.concat(F.lit(r"(?i)\Q"), F.replace(F.coalesce(col(name), F.lit("")), F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
-    t = F.lower(F.when(F.coalesce(col(name), F.lit("")) == "", col(text)).otherwise(F.regexp_replace(col(text), own, F.lit(" "))))
-    return F.transform(F.array(F.struct(F.coalesce(t, F.lit("")).alias("t"))), lambda x: _longest(F.filter(F.array(*map(F.lit, AMENITIES)), lambda a: F.contains(x["t"], a))))[0]
+def unnamed(text: ColumnOrName, name: ColumnOrName) -> Column:
+    """A text in lower case without the page's own name."""
+    low, own = F.lower(F.coalesce(col(text), F.lit(""))), F.lower(F.coalesce(col(name), F.lit("")))
+    return F.replace(low, own, F.lit(" "))  # of an empty name nothing
+
+
+def amenities(text: ColumnOrName) -> Column:
+    """Words of amenities in an ``unnamed`` text; not those inside a longer one that is there too."""
+    t = col(text)
+    longer = {a: [b for b in AMENITIES if b != a and a in b] for a in AMENITIES}
 
+    def hit(a: str) -> Column:
+        out = F.contains(t, F.lit(a))
+        for b in longer[a]:
+            out = out & ~F.contains(t, F.lit(b))
+        return out
 
-def _longest(hits: Column) -> Column:
-    return F.filter(hits, lambda a: ~F.exists(hits, lambda b: (b != a) & F.contains(b, a)))
+    return F.array_compact(F.array(*(F.when(hit(a), F.lit(a)) for a in AMENITIES)))
 
 
-def single(text: ColumnOrName, name: ColumnOrName) -> Column:
-    """The facts of a text that one match tells, as ``FACT``; absent ones are not there."""
-    per_sqft = extract.price_per_sqft(text)
-    values = {
-        "price_per_sqft": F.concat(F.lit("₹"), per_sqft.cast("string"), F.lit("/sq ft")),
+def single(text: ColumnOrName, other: ColumnOrName) -> dict[str, Column]:
+    """The value of each field that one match tells, null if absent; ``other`` is the ``unnamed`` text."""
+    return {
+        "price_per_sqft": F.concat(F.lit("₹"), extract.price_per_sqft(text).cast("string"), F.lit("/sq ft")),
         "possession": extract.possession_in_context(text),
         "developer": extract.developer(text),
         "property_type": extract.property_type(text),
@@ -253,19 +284,24 @@ def single(text: ColumnOrName, name: ColumnOrName) -> Column:
         "tower_count": extract.towers(text).cast("string"),
         "connectivity": extract.connectivity(text),
         "nearby_landmarks": F.nullif(F.array_join(extract.landmarks(text), "; "), F.lit("")),
-        "amenities": F.nullif(F.array_join(amenities(text, name), "; "), F.lit("")),
+        "amenities": F.nullif(F.array_join(amenities(other), "; "), F.lit("")),
     }
-    none = F.lit(None).cast("string")
-    rows = [F.struct(F.lit(f).alias("field"), v.alias("value"), none.alias("configuration"), none.alias("scope"), none.alias("evidence"), F.lit(None).cast("int").alias("place")) for f, v in values.items()]
-    return F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
 
 
 def facts(pages: DataFrame, *, id_col: str = "page_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """``(id, field, value, configuration, scope, evidence, place)``: a row for each fact of each page."""
+    """``(id, field, value, configuration, scope, evidence, place)``: a row for each fact of each page.
+
+    Values of single matches are columns of a projection of their own: there an
+    expression that occurs twice is computed once, in the array of facts it is not.
+    """
     name = F.col(f"`{name_col}`").cast("string") if name_col else F.lit(None).cast("string")
     ready = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), name.alias("_n"))
-    both = F.concat(single("_t", "_n"), placed("_t", "_n"))
-    return ready.select("_id", F.inline(both)).withColumnRenamed("_id", id_col)
+    values = single("_t", "_o")
+    found = ready.withColumn("_o", unnamed("_t", "_n")).select("_id", placed("_t", "_n").alias("_placed"), *(v.alias(f"_{f}") for f, v in values.items()))
+    none = F.lit(None).cast("string")
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value"), none.alias("configuration"), none.alias("scope"), none.alias("evidence"), F.lit(None).cast("int").alias("place")) for f in values]
+    both = F.concat(F.filter(F.array(*rows), lambda r: r["value"].isNotNull()), "_placed")
+    return found.select("_id", F.inline(both)).withColumnRenamed("_id", id_col)
 
 
 def listings_of(texts: list[str]) -> list[tuple]:

@@ -240,6 +240,42 @@ def test_facts_by_place_equal_brute_force(frame):
         assert sorted(got.get(k, []), key=repr) == sorted(want, key=repr), text
 
 
+class Counted:
+    """A pattern that counts the characters it is led over."""
+
+    def __init__(self, pattern):
+        self.pattern, self.read = pattern, 0
+
+    def finditer(self, text, low=0, high=None):
+        self.read += (len(text) if high is None else high) - low
+        return self.pattern.finditer(text, low, len(text) if high is None else high)
+
+
+def test_scopes_are_looked_for_around_features_only(monkeypatch):
+    rng = random.Random(3)
+    words = "deck;balcony;parking;own;private;in unit;each flat;5th floor 6;level 2 floor;tower;podium;3 bhk;900 sq ft;carpet;built up;super  built;and;so;é".split(";")
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ". ", ".", ", "]) for _ in range(rng.randint(0, 80))) for _ in range(200)]
+    axis = page_facts.Axis(texts)
+    spots = [axis.places(p) for p in page_facts.FEATURES.values()]
+    for pattern in (page_facts.UNIT_SCOPE, page_facts.BUILDING_SCOPE, page_facts.CARPET, page_facts.BUILT_UP):
+        near, everywhere = axis.near(pattern, spots, 60), axis.places(pattern)
+        for p in spots:
+            low, reach = p.starts - 60, p.ends - p.starts + 120
+            a, b = near.after(low, reach), everywhere.after(low, reach)
+            assert (a >= 0).tolist() == (b >= 0).tolist()
+            assert [near.found[k].span() for k in a if k >= 0] == [everywhere.found[k].span() for k in b if k >= 0]
+    for name in ("UNIT_SCOPE", "BUILDING_SCOPE", "CARPET", "BUILT_UP"):
+        monkeypatch.setattr(page_facts, name, Counted(getattr(page_facts, name)))
+    found = page_facts.rows_of(["A tower of prose. " * 5000 + "Own deck in the tower, 900 sq ft carpet. " + "A built up word. " * 5000], [None])
+    assert len(found) == 2 and all(0 < getattr(page_facts, n).read < 500 for n in ("UNIT_SCOPE", "BUILDING_SCOPE", "CARPET", "BUILT_UP"))
+
+
+def test_amenities_in_the_name_do_not_count_in_any_case(frame):
+    rows = [(1, "\u00e9clat pool has a gym", "\u00c9CLAT Pool"), (2, "a Swimming Pool", None), (3, "pool", ""), (4, None, "Spa")]
+    got = page_facts.facts(frame(rows, "page_id long, text string, name string"), name_col="name").where("field = 'amenities'").collect()
+    assert sorted((r.page_id, r.value) for r in got) == [(1, "gym"), (2, "swimming pool"), (3, "pool")]
+
+
 def test_parse_query(frame):
     q = nl.parse_query("x", ["Malad West", "Malad", "Liberty Garden"])
     df = frame([("2 bhk on Liberty Garden Malad West under 1.5 cr with sea view and gym by 2027",), ("3 bhk near Powai with pool",)], "x string").select(q.alias("q")).select("q.*")
