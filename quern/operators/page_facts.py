@@ -37,13 +37,13 @@ from pyspark.sql import types as T
 from quern.functions import extract
 from quern.functions.scalar import ColumnOrName, col
 
-# What is looked for in pages.
+# What is looked for in pages. Those that begin with a set of characters (not with \d+ or \b) are found faster.
 BHK = re.compile(r"(\d)\s*bhk", re.I)
-RERA = re.compile(r"\b(P[A-Z]{0,2}\d{9,13})\b", re.I)
-CRORES = re.compile(r"(\d+\.?\d*)\s*(?:cr|crore)\b", re.I)
-LAKHS = re.compile(r"(\d+\.?\d*)\s*(?:l|lakh|lakhs)\b", re.I)
-AREA = re.compile(r"(?<![\d,.])(\d{3,5})\s*sq\.?\s*\.?\s*ft\.?", re.I)
-SCOPED_AREA = re.compile(r"(\d{3,5})\s*sq\.?\s*\.?\s*ft\.?", re.I)
+RERA = re.compile(r"([Pp](?<!\w[Pp])(?i:[A-Z]{0,2})\d{9,13})\b")
+CRORES = re.compile(r"(\d\d*\.?\d*)\s*(?:cr|crore)\b", re.I)
+LAKHS = re.compile(r"(\d\d*\.?\d*)\s*(?:l|lakh|lakhs)\b", re.I)
+AREA = re.compile(r"(\d(?<![\d,.]\d)\d{2,4})\s*sq\.?\s*\.?\s*ft\.?", re.I)
+SCOPED_AREA = re.compile(r"(\d\d{2,4})\s*sq\.?\s*\.?\s*ft\.?", re.I)
 SCOPED_PRICE = re.compile(r"(?:₹|rs\.?)\s*(\d+\.?\d*)\s*(cr|crore|l|lakh|lakhs)\b", re.I)
 CARPET = re.compile(r"carpet", re.I)
 BUILT_UP = re.compile(r"built[\s-]?up|super\s*built", re.I)
@@ -253,19 +253,15 @@ def placed(texts: pa.Array, names: pa.Array) -> pa.Array:
     return _lists([(*r, r[1]) for r in rows], len(texts), FACT.elementType.names, [pa.string()] * 5 + [pa.int32()])
 
 
-def unnamed(text: ColumnOrName, name: ColumnOrName) -> Column:
-    """A text in lower case without the page's own name."""
-    low, own = F.lower(F.coalesce(col(text), F.lit(""))), F.lower(F.coalesce(col(name), F.lit("")))
-    return F.replace(low, own, F.lit(" "))  # of an empty name nothing
-
-
 def amenities(text: ColumnOrName) -> Column:
-    """Words of amenities in an ``unnamed`` text; not those inside a longer one that is there too."""
+    """Words of amenities in a text in lower case; not those inside a longer one that is there too."""
     t = col(text)
     longer = {a: [b for b in AMENITIES if b != a and a in b] for a in AMENITIES}
 
     def hit(a: str) -> Column:
         out = F.contains(t, F.lit(a))
+        for b in (b for b in AMENITIES if b != a and b in a):  # with a longer one the shorter is there, so is looked for first
+            out = F.contains(t, F.lit(b)) & out
         for b in longer[a]:
             out = out & ~F.contains(t, F.lit(b))
         return out
@@ -273,17 +269,17 @@ def amenities(text: ColumnOrName) -> Column:
     return F.array_compact(F.array(*(F.when(hit(a), F.lit(a)) for a in AMENITIES)))
 
 
-def single(text: ColumnOrName, other: ColumnOrName) -> dict[str, Column]:
-    """The value of each field that one match tells, null if absent; ``other`` is the ``unnamed`` text."""
+def single(text: ColumnOrName, low: ColumnOrName, other: ColumnOrName) -> dict[str, Column]:
+    """The value of each field that one match tells, null if absent; ``low`` is the text in lower case, ``other`` that without the page's own name."""
     return {
-        "price_per_sqft": F.concat(F.lit("₹"), extract.price_per_sqft(text).cast("string"), F.lit("/sq ft")),
-        "possession": extract.possession_in_context(text),
-        "developer": extract.developer(text),
-        "property_type": extract.property_type(text),
-        "total_floors": extract.floors(text),
-        "tower_count": extract.towers(text).cast("string"),
-        "connectivity": extract.connectivity(text),
-        "nearby_landmarks": F.nullif(F.array_join(extract.landmarks(text), "; "), F.lit("")),
+        "price_per_sqft": F.concat(F.lit("₹"), extract.price_per_sqft(text, low=low).cast("string"), F.lit("/sq ft")),
+        "possession": extract.possession_in_context(text, low=low),
+        "developer": extract.developer(text, low=low),
+        "property_type": extract.property_type(text, low=low),
+        "total_floors": extract.floors(text, low=low),
+        "tower_count": extract.towers(text, low=low).cast("string"),
+        "connectivity": extract.connectivity(text, low=low),
+        "nearby_landmarks": F.nullif(F.array_join(extract.landmarks(text, low=low), "; "), F.lit("")),
         "amenities": F.nullif(F.array_join(amenities(other), "; "), F.lit("")),
     }
 
@@ -291,13 +287,15 @@ def single(text: ColumnOrName, other: ColumnOrName) -> dict[str, Column]:
 def facts(pages: DataFrame, *, id_col: str = "page_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
     """``(id, field, value, configuration, scope, evidence, place)``: a row for each fact of each page.
 
-    Values of single matches are columns of a projection of their own: there an
-    expression that occurs twice is computed once, in the array of facts it is not.
+    The text in lower case and the values of single matches are columns of
+    projections of their own: in the array of facts they would be computed for each use.
     """
     name = F.col(f"`{name_col}`").cast("string") if name_col else F.lit(None).cast("string")
     ready = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"), name.alias("_n"))
-    values = single("_t", "_o")
-    found = ready.withColumn("_o", unnamed("_t", "_n")).select("_id", placed("_t", "_n").alias("_placed"), *(v.alias(f"_{f}") for f, v in values.items()))
+    values = single("_t", "_l", "_o")
+    ready = ready.withColumn("_l", F.lower(F.coalesce("_t", F.lit(""))))
+    ready = ready.withColumn("_o", F.replace("_l", F.lower(F.coalesce("_n", F.lit(""))), F.lit(" ")))  # of an empty name nothing
+    found = ready.select("_id", placed("_t", "_n").alias("_placed"), *(v.alias(f"_{f}") for f, v in values.items()))
     none = F.lit(None).cast("string")
     rows = [F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value"), none.alias("configuration"), none.alias("scope"), none.alias("evidence"), F.lit(None).cast("int").alias("place")) for f in values]
     both = F.concat(F.filter(F.array(*rows), lambda r: r["value"].isNotNull()), "_placed")

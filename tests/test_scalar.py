@@ -270,6 +270,21 @@ def test_scopes_are_looked_for_around_features_only(monkeypatch):
     assert len(found) == 2 and all(0 < getattr(page_facts, n).read < 500 for n in ("UNIT_SCOPE", "BUILDING_SCOPE", "CARPET", "BUILT_UP"))
 
 
+def test_patterns_that_begin_with_a_set_find_the_same():
+    plain = {
+        "RERA": r"\b(P[A-Z]{0,2}\d{9,13})\b", "CRORES": r"(\d+\.?\d*)\s*(?:cr|crore)\b", "LAKHS": r"(\d+\.?\d*)\s*(?:l|lakh|lakhs)\b",
+        "AREA": r"(?<![\d,.])(\d{3,5})\s*sq\.?\s*\.?\s*ft\.?", "SCOPED_AREA": r"(\d{3,5})\s*sq\.?\s*\.?\s*ft\.?",
+    }
+    rng, parts, n = random.Random(1), "cr;crore;l;lakhs;sq ft;sq. . ft;P;pq;51800012345;9.5;1,064;p99999999999;12;123;12345;123456;.;,; ;\n;x;\u212a;\u0661\u0662\u0663;\u017f".split(";"), 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        for name, pattern in plain.items():
+            got, want = ([(m.span(), m[1]) for m in p.finditer(text)] for p in (getattr(page_facts, name), re.compile(pattern, re.I)))
+            assert got == want, (name, text)
+            n += len(want)
+    assert n > 1000
+
+
 def test_amenities_in_the_name_do_not_count_in_any_case(frame):
     rows = [(1, "\u00e9clat pool has a gym", "\u00c9CLAT Pool"), (2, "a Swimming Pool", None), (3, "pool", ""), (4, None, "Spa")]
     got = page_facts.facts(frame(rows, "page_id long, text string, name string"), name_col="name").where("field = 'amenities'").collect()
